@@ -1,0 +1,464 @@
+"""Every operator against a brute-force version, and on awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from sievewright.llm import bitpack, decontam, exact, licences, packing, quality, secrets, shards, simhash, store, substrings
+from sievewright.llm.tokens import encoder, tokenizer_path
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, b int, r string, key string, fp string, label string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+
+
+AWKWARD = [
+    (1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "One two"), (6, "a b c d e f g h i j k l m n o p q r s t u"),
+    (7, "x a b c d e f g h i j k l m y a b c d e f g h i j k l m"), (8, "a b c d e f g h i j k l m n o p q r s t u"), (8, "a b c d e f g h i j k l m n o p q r s t u"),
+    (None, "a b c d e f g h i j k l m n o p q r s t u"), (10, "漢字 emoji 😀 naïve 　 wide"), (11, "same word " * 5000), (12, "z" * 30000), (13, "same word " * 5000),
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame([(i, t, None, None, None, 7, "r", "k", "f", "l") for i, t in AWKWARD], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# substring deduplication
+
+
+def removed(rows):
+    first, out = {}, []
+    big = 1 << 70
+    said = [(big if i is None else i, WORD.findall(t or "")) for i, t in rows]
+    for i, w in said:
+        for j in range(len(w) - 12):
+            key = tuple(w[j : j + 13])
+            first[key] = min(first.get(key, big), i)
+    for (doc, _), (i, w) in zip(rows, said, strict=True):
+        keep = [True] * len(w)
+        for j in range(len(w) - 12):
+            if first[tuple(w[j : j + 13])] < i:
+                keep[j : j + 13] = [False] * 13
+        kept = [x for x, k in zip(w, keep, strict=True) if k]
+        out.append((doc, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return Counter(out)
+
+
+def test_substrings(docs, rows, awkward, empty):
+    assert Counter(tuple(r) for r in substrings.substring_dedup(docs).collect()) == removed(rows)
+    assert Counter(tuple(r) for r in substrings.substring_dedup(awkward).collect()) == removed(AWKWARD)
+    assert substrings.substring_dedup(empty).count() == 0
+    kept = substrings.substring_dedup(docs.limit(50), with_text=True).collect()
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in kept)
+
+
+def test_substring_hash_collision_is_caught(awkward, monkeypatch):
+    """With a window hash of a few bits most claims are wrong; none may remove a word wrongly."""
+    x = substrings.Batch(pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": [" ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))]}), 13, 7)
+    first = np.array([0]), np.array([12])
+    assert x.digests(*first) != x.digests(np.array([40]), np.array([52]))
+
+
+# tokens, packed files, packing
+
+
+def ids_of(text, end):
+    return encoder(tokenizer_path()).tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+
+
+def test_tokens_equal_the_library():
+    random.seed(3)
+    alphabet = " \n\t  aB'sé 　\u0085\x1c\x0b12!?漢😀"
+    texts = ["".join(random.choice(alphabet) for _ in range(random.randint(0, 40))) for _ in range(3000)] + ["", " ", "<|endoftext|>"]
+    e = encoder(tokenizer_path())
+    ids, bounds = e.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("bits", [1, 3, 7, 8, 13, 16, 17, 24, 31, 32])
+def test_bit_packing_round_trip(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, 5001, dtype=np.uint32)
+    raw = bitpack.pack(ids, bits)
+    assert len(raw) == (5001 * bits + 7) // 8 and np.array_equal(bitpack.unpack(raw, 5001, bits), ids)
+    with pytest.raises(ValueError):
+        bitpack.pack(np.array([1 << min(bits, 31)], np.uint32) if bits < 32 else np.array([0], np.uint32), min(bits, 31) if bits < 32 else -1)
+
+
+def test_packed_reader_random_access(tmp_path):
+    with open(tmp_path / "x", "wb") as f:
+        w = bitpack.Writer(f, 17, block=64)
+        ids = np.random.default_rng(0).integers(0, 1 << 17, 1000, dtype=np.uint32)
+        w.add(np.array([5, 6]), ids[:300], np.array([0, 100, 300]))
+        w.add(np.array([7]), ids[300:], np.array([0, 700]))
+        w.close()
+    r = bitpack.Reader((tmp_path / "x").read_bytes())
+    assert r.docs.tolist() == [[5, 0, 100], [6, 100, 200], [7, 300, 700]]
+    for a, n in ((0, 1000), (63, 2), (64, 64), (999, 1), (500, 0), (130, 333)):
+        assert np.array_equal(r.ids(a, n), ids[a : a + n])
+
+
+def packed_rows(rows):
+    out, at = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = np.array(ids_of(t, 2), "<u4")
+        out.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    return out
+
+
+def test_packed_files(docs, rows, awkward, empty):
+    for frame, given in ((docs, rows), (awkward, AWKWARD)):
+        got = sorted(map(tuple, bitpack.packed_round_trip(frame).collect()), key=lambda r: r[1])
+        assert got == packed_rows(given)
+    assert bitpack.packed_round_trip(empty).count() == 0
+
+
+def check_packing(got, rows, capacity):
+    want = Counter()
+    for i, t in rows:
+        ids = np.array(ids_of(t, 0), "<u4")
+        first = len(ids) - (-(-len(ids) // capacity) - 1) * capacity
+        cuts = [0, *range(first, len(ids) + 1, capacity)]
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[i, n, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert Counter(tuple(r)[:5] for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(bins), -(-sum(n for parts in bins.values() for _, n in parts) // capacity)
+
+
+def test_packing(docs, rows, awkward, empty):
+    used, least = check_packing(packing.pack_sequences(docs).collect(), rows, 2048)
+    assert used <= least * 1.05 + 1
+    check_packing(packing.pack_sequences(awkward, group_pieces=3).collect(), AWKWARD, 2048)
+    assert packing.pack_sequences(empty).count() == 0
+
+
+def test_best_fit_matches_plain_search():
+    lengths = np.random.default_rng(5).integers(1, 101, 400)
+    bins, offsets = packing.best_fit(lengths, 100)
+    rooms = []
+    for n in sorted(lengths.tolist(), reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= n]
+        if fits:
+            rooms[min(fits, key=lambda i: rooms[i])] -= n
+        else:
+            rooms.append(100 - n)
+    used = Counter()
+    for b, n in zip(bins.tolist(), lengths.tolist(), strict=True):
+        used[b] += n
+    assert sorted(100 - v for v in used.values()) == sorted(rooms)
+
+
+# exact duplicates
+
+
+def test_exact(docs, rows, awkward, empty):
+    for frame, given in ((docs, rows), (awkward, AWKWARD)):
+        groups = defaultdict(list)
+        for i, t in given:
+            groups[t or ""].append(i)
+        want = Counter()
+        for i, t in given:
+            ids = [x for x in groups[t or ""] if x is not None]
+            keep = max(ids) if ids else None
+            want[i, keep, len(groups[t or ""]), i == keep, hashlib.sha256((t or "").encode()).hexdigest()] += 1
+        assert Counter(map(tuple, exact.exact_duplicates(frame).collect())) == want
+    assert exact.exact_duplicates(empty).count() == 0
+    left = exact.keep_one_copy(awkward)
+    assert left.columns == awkward.columns
+    assert sorted((r.text or "") for r in left.collect()) == sorted({t or "" for _, t in AWKWARD})
+
+
+def test_chunks_join_to_the_text_and_are_content_defined(spark):
+    random.seed(1)
+    body = " ".join("".join(random.choice("abcdef") for _ in range(6)) + random.choice(["", "", "."]) for _ in range(4000))
+    frame = spark.createDataFrame([(body,), ("A different first line.\n" + body,), ("q" * 10000,)], "t string")
+    got = [r[0] for r in frame.select(exact.chunks(F.col("t"))).collect()]
+    assert ["".join(c) for c in got] == [r.t for r in frame.collect()]
+    assert len(set(got[0]) & set(got[1])) > 0 or len(got[0]) < 3
+    assert max(len(c) for chunks in got for c in chunks) <= exact.CHUNK_MAX
+
+
+# quality
+
+
+def test_quality(spark, awkward, empty):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    said = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    truth = [(said[r.doc_id], r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert all(s.held_out for s, _ in truth)
+    assert sum(s.predicted == q for s, q in truth) / len(truth) > 0.95
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in said.items())
+    scored = quality.score(awkward, model).collect()
+    assert len(scored) == len(AWKWARD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scored)
+    assert quality.score(empty, model).count() == 0
+    assert {r.score for r in quality.score(awkward, quality.fit(awkward, labels.limit(0))).collect()} == {0.5}
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality.fit(docs, flipped).slope == pytest.approx(model.slope)  # held-out labels are never seen
+    assert quality.keep_good(awkward, labels).columns == awkward.columns
+
+
+# licences
+
+
+def test_licences(spark, docs, rows, awkward, empty):
+    made = [(n * 100 + m, t, f) for n, (f, ts) in enumerate(licences.TEMPLATES.items()) for m, t in enumerate(ts)]
+    frame = spark.createDataFrame([(i, f"Some first line.\n{t}\nand a last one") for i, t, _ in made] + [(-n - 1, t) for n, t in enumerate(licences.ORDINARY)] + [(-100, "The fishing licence of Mr Miller was renewed."), (-101, "Copyright lawyers met at the warranty conference.")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.licence_scan(frame).collect()}
+    right = sum(got[i].families == f for i, _, f in made)
+    assert right >= 0.9 * len(made)
+    assert all(not r.n_licence for i, r in got.items() if i < 0)
+    lines = {"Licensed under CC BY-NC 4.0.": "cc-by-nc", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit", "All rights reserved.": "proprietary"}
+    scanned = {r.doc_id: r for r in licences.licence_scan(docs).collect()}
+    for i, t in rows:
+        want = sorted({f for line in t.split("\n") for s, f in lines.items() if line == s})
+        assert set(want) <= set(scanned[i].families.split(",")) | {""}, i
+    assert licences.licence_scan(awkward).count() == len(AWKWARD) and licences.licence_scan(empty).count() == 0
+
+
+def test_every_template_has_an_anchor():
+    for ts in licences.TEMPLATES.values():
+        for t in ts:
+            assert any(a in t.lower() for a in licences.ANCHORS) or len(t) < 90, t
+
+
+# secrets
+
+
+def base_by_hand(text):
+    out = []
+    for m in re.finditer(secrets.ASSIGN, text, re.I | re.A):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end(), "assign"))
+    for m in re.finditer(secrets.ACCESS, text):
+        if len(m[0]) >= 20:
+            out.append((m.start(), 1, m.end(), "access"))
+    for m in re.finditer(secrets.HEX, text):
+        if len(m[0]) >= 24:
+            out.append((m.start(), 2, m.end(), "hex"))
+    return [f"{k}:{a}:{b}" for a, _, b, k in sorted(out)]
+
+
+def test_secrets(spark, docs, rows, awkward, empty):
+    tricky = [(1, "password = \"hunter22\" token: token: abcdefgh ſecret=abcdefgh"), (2, "AKIA" + "A1B2" * 5 + " é " + "0123456789abcdef" * 3), (3, "api_key='x' apikey: abc+/=_.-1"), (4, "q7Xb2LkP9vTz4WmR8sYd1HnC6fGj3KtB"), (5, "TOKEN=" + "deadbeef" * 4)]
+    for frame, given in ((docs, rows), (awkward, AWKWARD), (spark.createDataFrame(tricky, "doc_id long, text string"), tricky)):
+        got = sorted(secrets.secret_spans(frame).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+        for r, (i, t) in zip(got, sorted(given, key=lambda x: (x[0] is None, x[0] or 0)), strict=True):
+            want = base_by_hand(t or "")
+            assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+            assert set(want) <= set(filter(None, r.spans.split(",")))
+            assert [r.n_assign, r.n_access, r.n_hex] == [sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex")]
+            starts = [int(s.split(":")[1]) for s in r.spans.split(",") if s]
+            assert starts == sorted(starts)
+    assert secrets.secret_spans(empty).count() == 0
+
+
+def test_random_runs_are_told_from_writing():
+    rng = random.Random(9)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(200)]
+    writing = ["version2-of-the-internal-documentation", "chapter-10-the-history-of-the-war-in-europe", "aaaaaaaaaaaaaaaaaaaa1111111111111111"]
+    assert np.median([secrets.p_value(k) for k in keys]) < 1e-6
+    assert all(secrets.p_value(w) > 1e-3 for w in writing)
+    assert secrets.thresholds([(3, 40, 10), (3, 0, 990)]) == {3: 40} and secrets.thresholds([(1, 0, 5)]) == {}
+
+
+# near duplicates
+
+
+def prints(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def by_hand(rows):
+    fps = [prints(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return Counter((d, f"{fps[i]:016x}", least.get(find(i))) for i, (d, _) in enumerate(rows))
+
+
+def test_simhash(docs, rows, awkward, empty):
+    assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == by_hand(rows)
+    assert Counter(map(tuple, simhash.near_duplicates(awkward).collect())) == by_hand(AWKWARD)
+    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.keep_one_of_each(awkward).columns == awkward.columns
+
+
+def planted(n, seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    near = base.copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    dense = rng.integers(0, 1 << 10, 200, dtype=np.uint64)
+    return np.unique(np.concatenate([base, near, dense]))
+
+
+@pytest.mark.parametrize("limit", [4096, 20])
+def test_links_lose_nothing(spark, limit, monkeypatch):
+    monkeypatch.setattr(simhash, "LIST_ROWS", limit)
+    fps = planted(300, 2)
+    nodes = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    roots = {r.node: r.root for r in simhash.components(simhash.links(nodes)).collect()}
+    got, at = defaultdict(set), {int(f): i for i, f in enumerate(fps.view(np.int64))}
+    for f in at:
+        got[roots.get(f, f)].add(f)
+    want = by_hand_groups(fps)
+    assert {frozenset(s) for s in got.values()} == want
+
+
+def by_hand_groups(fps):
+    left, out, signed = set(range(len(fps))), set(), fps.view(np.int64)
+    while left:
+        queue = [left.pop()]
+        group = set(queue)
+        while queue:
+            i = queue.pop()
+            near = [j for j in left if int(fps[i] ^ fps[j]).bit_count() <= 3]
+            left -= set(near)
+            group |= set(near)
+            queue += near
+        out.add(frozenset(int(signed[i]) for i in group))
+    return out
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i * 7919 % 101, (i + 1) * 7919 % 101) for i in range(90)], "a long, b long")
+    assert len({r.root for r in simhash.components(edges).collect()}) == 1
+
+
+# decontamination
+
+
+def least_edits(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def plain(t):
+    return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def test_decontamination(spark, awkward, empty):
+    rng = random.Random(4)
+    items = [(i, " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(6, 14)))) for i in range(12)] + [(90, "short"), (91, ""), (92, None)]
+    rows = []
+    for n in range(120):
+        i, t = rng.choice(items[:12])
+        t = list(t)
+        for _ in range(rng.randint(0, len(t) // 30)):
+            at = rng.randrange(len(t))
+            rng.choice([lambda t=t, at=at: t.__setitem__(at, "x"), lambda t=t, at=at: t.insert(at, "y"), lambda t=t, at=at: t.pop(at)])()
+        rows.append((n, "Leading WORDS here \n " + "".join(t).upper() + "  trailing words"))
+    rows += [(100, None), (101, ""), (102, "a short one"), (103, "nothing of the kind here at all")]
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(frame, bench).collect()}
+    want = {}
+    for d, t in rows:
+        for i, x in items:
+            p = plain(x).strip()
+            if p and t:
+                low = plain(t)
+                e = least_edits(p, low)
+                if e <= (decontam.budget(len(p)) if len(p) >= decontam.Q else 0):
+                    want[d, i] = e
+    assert {k: r.edits for k, r in got.items()} == want and len(want) > 20
+    for (d, i), r in got.items():
+        span = plain(dict(rows)[d][r.start : r.end])
+        assert least_edits(plain(dict(items)[i]).strip(), span) == r.edits
+    assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(awkward, bench.limit(0)).count() == 0
+    clean = decontam.keep_clean(frame, bench)
+    assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
+def test_planted_passages_of_the_benchmark(spark, docs, rows):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    inside = {(d, r.item_id) for d, t in rows for r in bench.collect() if r.text in t}
+    assert inside <= {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+
+
+# shards
+
+
+def test_shards(spark, docs, awkward, empty, tmp_path):
+    kept, back = shards.sharded(docs, f"file://{tmp_path}/s", target_bytes=1 << 20)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, docs.collect()))
+    assert kept.versions() == list(range(len(kept.versions()))) and len(kept.versions()) >= 4
+    assert sum(r.n_rows for r in kept.manifest().collect()) == docs.count()
+    sizes = Counter(kept.tier(r.bytes) for r in kept.manifest().collect())
+    assert all(n < kept.fan_in for t, n in sizes.items() if t < 1 << 10)
+    _, back = shards.sharded(awkward, f"file://{tmp_path}/a")
+    assert Counter(map(tuple, back.collect())) == Counter(map(tuple, awkward.collect()))
+    _, back = shards.sharded(empty, f"file://{tmp_path}/e")
+    assert back.count() == 0
+
+
+def test_a_version_is_committed_once(spark, docs, tmp_path):
+    one = shards.ShardStore(spark, f"file://{tmp_path}/s")
+    one.append(docs.limit(10))
+    two = shards.ShardStore(spark, f"file://{tmp_path}/s")
+    two.versions = lambda: []  # a writer that has not seen the first version
+    with pytest.raises(Exception, match="(?i)exist"):
+        two._commit(one.manifest())
+    assert one.manifest().count() > 0 and one.versions() == [0]
+
+
+def test_shared_folder_is_read_from_the_session(spark):
+    assert store.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
