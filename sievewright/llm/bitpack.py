@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sievewright.llm import store
 from sievewright.llm.bytes import slices
-from sievewright.llm.tokens import encoder, tokenizer_path
+from sievewright.llm.tokens import TOKEN_SLICE_BYTES, encoder, tokenizer_path
 
 MAGIC = b"SWBITPK1"
 FOOTER = struct.Struct("<QQQQII8s")  # payload bytes, tokens, documents, blocks, bits, block tokens, magic
@@ -136,7 +136,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
         with where.open_output_stream(hidden) as out:
             w = Writer(out, bits)
             for batch in batches:
-                for piece in slices(batch):
+                for piece in slices(batch, limit=TOKEN_SLICE_BYTES):
                     ids = piece.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
                     w.add(ids, *with_end(*e.encode(piece.column("text")), end_id))
             w.close()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sievewright.llm import store
 from sievewright.llm.bitpack import with_end
 from sievewright.llm.bytes import slices
-from sievewright.llm.tokens import encoder, tokenizer_path
+from sievewright.llm.tokens import TOKEN_SLICE_BYTES, encoder, tokenizer_path
 
 GROUP_PIECES = 2000
 
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, end_id:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=TOKEN_SLICE_BYTES):
                 ids, bounds = with_end(*e.encode(rows.column("text")), end_id)
                 n = np.diff(bounds)
                 count = -(-n // capacity)
