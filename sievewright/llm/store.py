@@ -48,6 +48,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Size of what the plan reads, as Spark's own statistics have it; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def texts(docs: DataFrame, *more: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only (key as bigint, text with null as empty, named extras): other columns cannot clash."""
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *more)
