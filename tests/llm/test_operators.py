@@ -407,7 +407,7 @@ def test_decontamination(spark, awkward, empty):
             at = rng.randrange(len(t))
             rng.choice([lambda t=t, at=at: t.__setitem__(at, "x"), lambda t=t, at=at: t.insert(at, "y"), lambda t=t, at=at: t.pop(at)])()
         rows.append((n, "Leading WORDS here \n " + "".join(t).upper() + "  trailing words"))
-    rows += [(100, None), (101, ""), (102, "a short one"), (103, "nothing of the kind here at all")]
+    rows += [(1000, None), (1001, ""), (1002, "a short one"), (1003, "nothing of the kind here at all")]
     frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(frame, bench).collect()}
     want = {}
