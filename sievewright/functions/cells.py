@@ -41,7 +41,7 @@ def cell_text(c: Column, kind: str = "string") -> Column:
     elif kind in ("double", "float"):
         value, shown = c.cast("double"), c.cast("double").cast("string")
         whole = (F.floor(value).cast("double") == value) & (F.abs(value) < 1e15)
-        plain = F.rtrim(shown.try_cast("decimal(38,19)").cast("string"), F.lit("0"))
+        plain = F.rtrim(shown.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
         power = F.split_part(shown, F.lit("E"), F.lit(2))
         digits = F.replace(power, F.lit("-"), F.lit(""))
         digits = F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits)

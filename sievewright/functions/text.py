@@ -5,15 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 
-@arrow_udf(StringType())
-def nfkc(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, form="NFKC")
+@pandas_udf(StringType())
+def nfkc(values: pd.Series) -> pd.Series:
+    return values.str.normalize("NFKC")
 
 
 @pandas_udf(StringType())
