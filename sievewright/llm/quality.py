@@ -1,12 +1,13 @@
 """Quality score from two zstandard dictionaries, one trained on good and one on bad labelled text.
 
 A text is compressed in windows of ``WINDOW`` bytes (all of them) once with each dictionary. The
-difference of the two sizes over the larger one is the raw score; a one-variable logistic
-regression, fitted on labelled texts that were not used for the dictionaries, calibrates it.
+difference of the two sizes over the larger one, over the whole text and for its worst window, are the raw scores;
+logistic regression on the two, fitted on labelled texts that were not used for the dictionaries and weighted to
+the labels' own shares, calibrates them.
 Fitting uses at most ``SAMPLE`` texts per label and purpose, taken in the order of a hash of doc_id,
 so the model has a fixed size and only this bounded sample reaches the driver.
 
-Cases: null text is an empty document; empty texts have raw score 0 and so the calibrated value
+Cases: null text is an empty document; empty texts have raw scores 0 and so the calibrated value
 there; rows without label or with a null label are scored but never learned from; repeated rows
 are scored alike; an empty table gives no rows; without labels of both kinds every score is 0.5.
 """
@@ -26,16 +27,16 @@ from sievewright.llm import store
 from sievewright.llm.bytes import flat, slices
 
 SAMPLE = 1500
-DICTIONARY_BYTES = 110 << 10
+DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
-WINDOW = 4096
+WINDOW = 512
 
 
 @dataclass(frozen=True)
 class Model:
     good: bytes
     bad: bytes
-    slope: float
+    slopes: tuple[float, float]
     base: float
     level: int = LEVEL
 
@@ -46,34 +47,41 @@ def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
 
 
 def differences(model: Model, column) -> np.ndarray:
-    """Normalised compressed-size difference of each text, positive where good text explains it better."""
+    """Normalised compressed-size differences of each text, positive where good text explains it better: whole, worst window."""
     good, bad = _compressor(model.good, model.level), _compressor(model.bad, model.level)
     data, bounds = flat(column)
     raw = memoryview(data)
-    out = np.zeros(len(bounds) - 1)
+    out = np.zeros((len(bounds) - 1, 2))
     for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
         g = w = 0
+        worst = 1.0
         for at in range(a, b, WINDOW):
             part = raw[at : min(at + WINDOW, b)]
-            g += len(good.compress(part))
-            w += len(bad.compress(part))
+            x, y = len(good.compress(part)), len(bad.compress(part))
+            g, w, worst = g + x, w + y, min(worst, (y - x) / max(x, y))
         if b > a:
-            out[i] = (w - g) / max(w, g)
+            out[i] = (w - g) / max(w, g), worst
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and base by Newton steps, with a small ridge and balanced to the labels as they are."""
-    design, beta = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)
-    for _ in range(50):
+def log_odds(model: Model, column) -> np.ndarray:
+    return differences(model, column) @ np.array(model.slopes) + model.base
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slopes and base by Newton steps with a small ridge."""
+    scale = np.maximum(x.std(axis=0), 1e-6)
+    design = np.column_stack([x / scale, np.ones(len(x))])
+    beta = np.zeros(design.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (y - p) - 1e-4 * beta
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-4 * np.eye(2)
+        gradient = design.T @ (weight * (y - p)) - 1e-2 * beta
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(len(beta))
         step = np.linalg.solve(hessian, gradient)
         beta += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(beta[1])
+    return np.append(beta[:-1] / scale, beta[-1])
 
 
 def learnable(labels: DataFrame) -> DataFrame:
@@ -102,15 +110,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
             trained[v] = zstandard.train_dictionary(size, parts, threads=1).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
             trained[v] = b"".join(parts)[-size:]
-    model = Model(trained[1], trained[0], 1.0, 0.0)
+    model = Model(trained[1], trained[0], (1.0, 0.0), 0.0)
     held = [(t, v) for v in by for t in by[v][half[v] :]]
     x, y = differences(model, pa.array([t for t, _ in held], pa.binary())), np.array([v for _, v in held], float)
-    # the sample holds both labels alike; weigh the base back to the labels' own shares
-    share = usable.groupBy("label").count().collect()
-    n = {r["label"]: r["count"] for r in share}
-    slope, base = _logistic(x, y)
-    base += float(np.log(n[1] / n[0]) - np.log(max(y.sum(), 1) / max((1 - y).sum(), 1)))
-    return Model(model.good, model.bad, slope, base)
+    n = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    rate = [n[v] / max(1, int((y == v).sum())) for v in (0, 1)]  # the sample holds both labels alike
+    weight = np.where(y == 1, rate[1], rate[0])
+    *slopes, base = _logistic(x, y, weight * len(y) / weight.sum()).tolist()
+    return Model(model.good, model.bad, tuple(slopes), base)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -120,9 +127,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch):
-                z = np.zeros(rows.num_rows)
-                if model:
-                    z = model.slope * differences(model, rows.column("text")) + model.base
+                z = log_odds(model, rows.column("text")) if model else np.zeros(rows.num_rows)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], ["doc_id", "score"])
 
     out = store.texts(docs).mapInArrow(run, "doc_id long, score double")
@@ -140,7 +145,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFra
                 if model is None:
                     yield rows
                     continue
-                z = model.slope * differences(model, rows.column("text")) + model.base
+                z = log_odds(model, rows.column("text"))
                 yield rows.filter(pa.array(z >= np.log(least / (1 - least))))
 
     return docs.mapInArrow(run, schema)

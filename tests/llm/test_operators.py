@@ -229,7 +229,7 @@ def test_quality(spark, awkward, empty):
     assert quality.score(empty, model).count() == 0
     assert {r.score for r in quality.score(awkward, quality.fit(awkward, labels.limit(0))).collect()} == {0.5}
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
-    assert quality.fit(docs, flipped).slope == pytest.approx(model.slope)  # held-out labels are never seen
+    assert quality.fit(docs, flipped).slopes == pytest.approx(model.slopes)  # held-out labels are never seen
     assert quality.keep_good(awkward, labels).columns == awkward.columns
 
 
