@@ -158,7 +158,7 @@ class Batch:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER, with_text: bool = False) -> DataFrame:
     """Per document: n_words, n_removed, kept_sha256 and, if asked for, the kept text."""
     k, m, parts = window, minimizer, store.partitions(docs.sparkSession)
-    batches = max(1, min(1 << 20, -(-store.stored_bytes(docs) // BATCH_BYTES)))
+    batches = max(parts, min(1 << 20, -(-store.stored_bytes(docs) // BATCH_BYTES)))
     dealt = store.texts(docs).withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
 
     def ask(docs: pa.Table) -> pa.Table:
