@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import cells, mercator, patterns, urls
-from sievewright.operators import clean, generate, incremental, profile, quality, records
+from sievewright.operators import clean, generate, incremental, profile, quality, records, tables
 from sievewright.operators.clean import ROW
 from sievewright.plans.config import Constraint, Fallback, FieldSpec, Generate, Op
+from sievewright.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -530,6 +531,60 @@ def positional_join(spark, sf_dir):
     return records.positional(o.select("o_orderkey", "a"), o.select("o_orderkey", "b"), "o_orderkey", "a", "b")
 
 
+# smaller table operators
+
+
+@query("formula_columns", "SELECT o_orderkey, round(sqrt(o_totalprice) * 2 - o_custkey / 7, 6) AS made FROM orders")
+def formula_columns(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    made = tables.formula("sqrt(${o_totalprice}) * 2 - ${o_custkey} / 7", {c: F.col(c).cast("string") for c in ("o_totalprice", "o_custkey")})
+    return o.select("o_orderkey", F.round(made, 6).alias("made"))
+
+
+@query("mail_merge", "SELECT c_custkey, 'Dear ' || c_name || ' of ' || n_name || '.' AS letter FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def mail_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "n_name")
+    return tables.merged(rows, "Dear ${c_name} of ${n_name}.", "letter").select("c_custkey", "letter")
+
+
+@query("shown_numbers", "SELECT p_partkey, format('{:,.1f}', p_retailprice) AS price, lpad(CAST(p_size AS VARCHAR), 4, '0') AS size FROM part")
+def shown_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", tables.shown_number(F.col("p_retailprice"), "#,##0.0").alias("price"), tables.shown_number(F.col("p_size"), "0000").alias("size"))
+
+
+@query("search_any", "SELECT n_nationkey FROM nation WHERE contains(lower(n_name), 'n_1') OR contains(CAST(n_regionkey AS VARCHAR), 'n_1')")
+def search_any(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").withColumn("r", F.col("n_regionkey").cast("string"))
+    return tables.search(n, "N_1", ["n_name", "r"]).select("n_nationkey")
+
+
+@query("latest_days", "SELECT event_id FROM events WHERE CAST(ts AS DATE) IN (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events ORDER BY d DESC LIMIT 15)")
+def latest_days(spark, sf_dir):
+    return tables.latest_days(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), "day").select("event_id")
+
+
+@query("distinct_names", "SELECT doc_id, CASE WHEN n > 1 THEN source || '_' || n ELSE source END AS source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY lower(source) ORDER BY doc_id) AS n FROM documents)")
+def distinct_names(spark, sf_dir):
+    return tables.distinct_names(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id")
+
+
+@query("ranked_items", "SELECT n_nationkey, item, CAST(rank AS INTEGER) AS rank FROM (SELECT n_nationkey, unnest(string_split(n_name, '_')) AS item, unnest(range(1, len(string_split(n_name, '_')) + 1)) AS rank FROM nation)")
+def ranked_items(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.split("n_name", "_").alias("item"))
+    return tables.ranked(n, "n_nationkey", "item")
+
+
+@query("bulk_lines", """SELECT '{"index":{"_index":"n","_id":"' || n_nationkey || '"}}' AS value FROM nation UNION ALL SELECT '{"n_name":"' || n_name || '"}' FROM nation""")
+def bulk_lines(spark, sf_dir):
+    return sinks.bulk_lines(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n", "n_nationkey")
+
+
+@query("smoothed_values", "WITH RECURSIVE r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), w AS (SELECT user_id, n, value AS s FROM r WHERE n = 1 UNION ALL SELECT r.user_id, r.n, 0.7::DOUBLE * w.s + 0.3::DOUBLE * r.value FROM w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1) SELECT user_id, round(arg_max(s, n), 6) AS smoothed FROM w GROUP BY user_id")
+def smoothed_values(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return tables.smoothed(e, "user_id", "event_id", "value").select("user_id", F.round("smoothed", 6).alias("smoothed"))
+
+
 # the whole plan
 
 
