@@ -132,8 +132,9 @@ made("gen_random_date", None, Generate("random", generator="date", params={"star
 def constrained(name: str, sql: str, column: str, *constraints: Constraint, source=events, key: str = "event_id") -> None:
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = source(spark, sf_dir)
-        return df.select(key, quality.violation(df, FieldSpec(column, constraints=constraints)).alias("kind")).filter("kind IS NOT NULL")
+        spec = FieldSpec(column, constraints=constraints)
+        df = quality.marked(source(spark, sf_dir), spec)
+        return df.select(key, quality.violation(df, spec).alias("kind")).filter("kind IS NOT NULL")
 
 
 constrained("con_non_null", f"SELECT event_id, 'non_null' AS kind FROM {EVENTS} WHERE gap = ''", "gap", Constraint("non_null"))

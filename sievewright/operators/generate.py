@@ -69,7 +69,7 @@ def generated(df: DataFrame, spec: FieldSpec, seed: int = 0, attempt: int = 0) -
 
 def generate_columns(df: DataFrame, specs: list[FieldSpec], seed: int = 0) -> DataFrame:
     """In declared order, so that later templates see earlier columns; retries while an error constraint is broken."""
-    from sievewright.operators.quality import violation
+    from sievewright.operators.quality import marked, violation
 
     for spec in specs:
         if spec.generate is None:
@@ -77,6 +77,7 @@ def generate_columns(df: DataFrame, specs: list[FieldSpec], seed: int = 0) -> Da
         df = df.withColumn(spec.dest, generated(df, spec, seed))
         if spec.fallback.on_violation == "retry":
             for attempt in range(1, spec.fallback.max_retries + 1):
-                broken = df.withColumn("__broken", violation(df, spec).isNotNull())
+                known = marked(df, spec)
+                broken = known.withColumn("__broken", violation(known, spec).isNotNull()).select(*df.columns, "__broken")
                 df = broken.withColumn(spec.dest, F.when(F.col("__broken"), generated(df, spec, seed, attempt)).otherwise(F.col(spec.dest))).drop("__broken")
     return df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -49,21 +50,36 @@ def violates(c: Column, k: Constraint, repeated: Column | None = None, dtype: st
     return ~empty & repeated
 
 
-def _repeated(df: DataFrame, name: str, k: Constraint, earlier: Column) -> Column:
-    """Whether an earlier row in order has the same non-empty text; rows that broke an earlier constraint take no part."""
-    by = [FILE] if k.unique_scope == "file" and FILE in df.columns else []
+def marked(df: DataFrame, spec: FieldSpec) -> DataFrame:
+    """Adds ``__again_<dest>`` if the field must be unique: an earlier row in order has the same non-empty text.
+
+    Rows that broke an earlier constraint take no part. First rows come from a partial aggregate and are joined back
+    with a hash of the text beside it, so both sides are shuffled for the join and a hot text's rows can be split.
+    """
+    unique = [k for k in ordered(spec.constraints) if k.kind == "unique"]
+    if not unique:
+        return df
     order = [c for c in (FILE, ROW) if c in df.columns]
-    text = F.when(earlier.isNull(), text_of(df, name))
-    return (F.row_number().over(Window.partitionBy(*by, text).orderBy(*order)) > 1) & text.isNotNull()
+    by = [FILE] if unique[0].unique_scope == "file" and FILE in df.columns else []
+    text = F.when(violation(df, _without_unique(spec)).isNull(), F.nullif(text_of(df, spec.dest), F.lit("")))
+    keyed = df.withColumn("__text", text).withColumn("__hash", F.xxhash64("__text"))
+    firsts = keyed.filter("__text IS NOT NULL").groupBy(*by, "__text").agg(F.min(F.struct(*order)).alias("__first"), F.count("*").alias("__n"))
+    firsts = firsts.filter("__n > 1").select(*by, "__text", F.xxhash64("__text").alias("__hash"), "__first")
+    again = F.col("__first").isNotNull() & (F.struct(*order) != F.col("__first"))
+    return keyed.join(firsts, [*by, "__hash", "__text"], "left").withColumn(f"__again_{spec.dest}", F.coalesce(again, F.lit(False))).select(*df.columns, f"__again_{spec.dest}")
+
+
+def _without_unique(spec: FieldSpec) -> FieldSpec:
+    return dataclasses.replace(spec, constraints=tuple(k for k in spec.constraints if k.kind != "unique"))
 
 
 def violation(df: DataFrame, spec: FieldSpec) -> Column:
-    """The kind of the first broken error constraint, or null; later ones are not evaluated."""
+    """The kind of the first broken error constraint, or null; later ones are not evaluated. Uniqueness needs ``marked`` rows."""
     first = F.lit(None).cast("string")
     for k in ordered(spec.constraints):
         if k.severity == "warn":
             continue
-        again = _repeated(df, spec.dest, k, first) if k.kind == "unique" else None
+        again = F.col(f"__again_{spec.dest}") if k.kind == "unique" else None
         first = F.coalesce(first, F.when(violates(F.col(spec.dest), k, again, df.schema[spec.dest].dataType.simpleString()), F.lit(k.kind)))
     return first
 
@@ -103,21 +119,36 @@ def repaired(c: Column, kind: Column, spec: FieldSpec, dtype: str = "string") ->
     return value, F.coalesce(degraded, F.lit(False))
 
 
+def repeat_number(df: DataFrame, key: str, by: list[str], order: list[str], block: int = 100_000) -> DataFrame:
+    """Adds ``__k``: how many earlier rows have the same key. Rows are numbered within blocks of row numbers and block counts are carried on."""
+    cut = df.withColumn("__block", F.floor(F.col(ROW) / block))
+    file = [c for c in order if c != ROW]
+    at = [*by, key, *[c for c in file if c not in by], "__block"]
+    before = Window.partitionBy(*by, key).orderBy(*[c for c in file if c not in by], "__block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*at).agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    own = F.row_number().over(Window.partitionBy(*at).orderBy(*order))
+    return cut.withColumn("__own", own).join(sizes, at).withColumn("__k", F.col("__start") + F.col("__own") - 1).drop("__block", "__own", "__start")
+
+
 def resolve_unique(df: DataFrame, name: str, suffix: str, by_file: bool = False) -> DataFrame:
     """Give repeated texts the smallest free ``text+suffix+n``, in row order.
 
     Only values with one stem (trailing suffix numbers cut off) can meet, and only stems with a repeated value
-    change at all, so the others stay in the plan and only those groups reach Python: (row, text) pairs in order.
+    change at all. Where such a stem has one text only, the k-th repeat takes number k, by built-in functions; where
+    texts with and without suffixes mix, the stem's rows are resolved one after another in Python.
     """
     order = [c for c in (FILE, ROW) if c in df.columns]
     by = [FILE] if by_file else []
     text = F.coalesce(F.col(name).cast("string"), F.lit(""))
     stem = F.regexp_replace(text, rf"(?<!\A)({re.escape(suffix)}\d+)+\z", "")
     keyed = df.withColumns({"__text": text, "__stem": stem})
-    many = keyed.filter("__text <> ''").groupBy(*by, "__stem", "__text").count().filter("count > 1").select(*by, "__stem").distinct()
+    texts = keyed.filter("__text <> ''").groupBy(*by, "__stem", "__text").agg(F.count("*").alias("n"))
+    stems = texts.groupBy(*by, "__stem").agg(F.max("n").alias("most"), F.count("*").alias("__texts")).filter("most > 1").select(*by, F.xxhash64("__stem").alias("__hash"), "__stem", "__texts")
+    found = keyed.withColumn("__hash", F.xxhash64("__stem")).join(stems, [*by, "__hash", "__stem"], "left")
+    calm = found.filter("__texts IS NULL OR __text = ''").select(*df.columns)
+    one = repeat_number(found.filter("__texts = 1 AND __text <> ''"), "__text", by, order)
+    plain = F.when((F.col("__k") > 0) & (F.col("__k") <= SUFFIX_LIMIT), F.concat("__text", F.lit(suffix), F.col("__k").cast("string"))).otherwise(F.col("__text"))
     schema, columns = df.schema, df.columns
-    busy = keyed.join(many, [*by, "__stem"], "left_semi")
-    calm = keyed.join(many, [*by, "__stem"], "left_anti").select(*df.columns)
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
@@ -125,7 +156,7 @@ def resolve_unique(df: DataFrame, name: str, suffix: str, by_file: bool = False)
         free: dict[str, int] = {}
         out = []
         for t in rows["__text"]:
-            if t and t in taken:
+            if t in taken:
                 n = free.get(t, 1)
                 while f"{t}{suffix}{n}" in taken and n <= SUFFIX_LIMIT:
                     n += 1
@@ -135,13 +166,14 @@ def resolve_unique(df: DataFrame, name: str, suffix: str, by_file: bool = False)
             out.append(t)
         return rows.assign(**{name: out})[columns]
 
-    fixed = busy.groupBy(*by, "__stem").applyInPandas(assign, schema)
-    return calm.unionByName(fixed)
+    mixed = found.filter("__texts > 1 AND __text <> ''").drop("__hash", "__texts").groupBy(*by, "__stem").applyInPandas(assign, schema)
+    return calm.unionByName(one.withColumn(name, plain).select(*columns)).unionByName(mixed)
 
 
 def enforce(df: DataFrame, spec: FieldSpec) -> DataFrame:
     """Adds ``__kind_<dest>`` and ``__degraded_<dest>`` and repairs the field as its fallback says."""
     kind, bad = f"__kind_{spec.dest}", f"__degraded_{spec.dest}"
+    df = marked(df, spec)
     out = df.withColumn(kind, violation(df, spec))
     value, degraded = repaired(F.col(spec.dest), F.col(kind), spec, df.schema[spec.dest].dataType.simpleString())
     out = out.withColumns({bad: F.col(kind).isNotNull() & degraded, spec.dest: value})
@@ -164,6 +196,8 @@ def violation_counts(df: DataFrame, specs: list[FieldSpec]) -> DataFrame:
 
 def regression(df: DataFrame, specs: list[FieldSpec]) -> DataFrame:
     """The same constraints on the results: what is left, by field and kind."""
+    for s in specs:
+        df = marked(df, s)
     kinds = [F.struct(F.lit(s.dest).alias("field"), violation(df, s).alias("kind")) for s in specs if s.constraints]
     if not kinds:
         return df.sparkSession.createDataFrame([], "field string, kind string, n long")
