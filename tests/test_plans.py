@@ -148,3 +148,39 @@ def test_streams(spark, tmp_path):
     q = streams.filled_stream(read().select("k", "_row", "v"), "k", "_row", "v").writeStream.format("memory").queryName("filled").outputMode("append").option("checkpointLocation", str(tmp_path / "ck3")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert ("a", 1, "x") in {tuple(r) for r in spark.table("filled").collect()}
+
+
+def test_resumed_runs(spark, tmp_path):
+    from sievewright.plans import resume
+
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    task = Task("t", (FieldSpec("a", "a"),), (Op(op="upper", field="a"),))
+    write(src, "1.csv", "a\nx\n")
+    assert resume.run(spark, task, files.discover(spark, [str(src)]), out).pending[0].key == "1.csv"
+    write(src, "2.csv", "a\ny\n")
+    second = resume.run(spark, task, files.discover(spark, [str(src)]), out)
+    assert ([i.key for i in second.pending], second.done, second.run) == (["2.csv"], ["1.csv"], 1)
+    assert resume.run(spark, task, files.discover(spark, [str(src)]), out).pending == []
+    spark.createDataFrame([("dead",)], "a string").write.parquet(f"{out}/run=2")  # a run that died before its commit
+    assert sorted(r.a for r in resume.finished(spark, task, out).collect()) == ["X", "Y"]
+    with pytest.raises(ConfigError):
+        resume.decide(spark, Task("t", (FieldSpec("a", "a"),)), files.discover(spark, [str(src)]), out)
+    write(src, "1.csv", "a\nlonger\n")
+    with pytest.raises(ConfigError):
+        resume.decide(spark, task, files.discover(spark, [str(src)]), out)
+
+
+def test_tilesets(spark, tmp_path):
+    from sievewright.sources import tilesets
+
+    for z, x, y in ((1, 0, 1), (1, 1, 0), (2, 3, 3), (1, 5, 0)):
+        folder = tmp_path / "t" / str(z) / str(x)
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{y}.png").write_bytes(b"\x89PNG" + bytes([z, x, y]))
+    tiles = tilesets.read_folder(spark, str(tmp_path / "t"))
+    assert sorted((r.z, r.x, r.y) for r in tiles.collect()) == [(1, 0, 1), (1, 1, 0), (2, 3, 3)]
+    meta = tilesets.write_mbtiles(tiles, str(tmp_path / "t.mbtiles"))
+    assert (meta["minzoom"], meta["maxzoom"], meta["format"]) == (1, 2, "png")
+    back = tilesets.read_mbtiles(spark, str(tmp_path / "t.mbtiles"))
+    assert sorted((r.z, r.x, r.y, r.format, bytes(r.content)[-3:]) for r in back.collect()) == [(z, x, y, "png", bytes([z, x, y])) for z, x, y in ((1, 0, 1), (1, 1, 0), (2, 3, 3))]
