@@ -4,7 +4,7 @@ import corpus_pipeline as P
 
 from sievewright.llm import decontam, quality
 
-from test_operators import SF, by_hand, check_packing  # noqa: F401
+from test_llm_operators import SF, by_hand, check_packing  # noqa: F401
 
 
 def test_stages(spark):
