@@ -74,6 +74,20 @@ def predicate(df: DataFrame, op: Op) -> Column:
     return F.coalesce(~cells.is_empty(c) & out, F.lit(False))
 
 
+def scan_filter(df: DataFrame, op: Op) -> Column | None:
+    """The same predicate on the bare text column where that is enough, so that it reaches the scan; else None."""
+    plain = _kind(df, op.field) == "string" and not op.ignore_case and op.filter_action == "keep" and TYPED + op.field not in df.columns
+    value, c = "" if op.value is None else str(op.value), F.col(op.field)
+    if not plain:
+        return None
+    if op.condition == "not_empty":
+        return c.isNotNull() & (c != "")
+    if op.condition == "in" and op.filter_values and "" not in op.filter_values:
+        return c.isin(*op.filter_values)
+    simple = {"equals": lambda: c == value, "contains": lambda: c.contains(value), "starts_with": lambda: c.startswith(value), "ends_with": lambda: c.endswith(value)}
+    return simple[op.condition]() if value and op.condition in simple else None
+
+
 def _cast(df: DataFrame, op: Op) -> tuple[Column, Column]:
     """(new text, whether the cell was converted); a failed cell keeps its text."""
     c, kind = F.col(op.field), _kind(df, op.field)
@@ -168,8 +182,15 @@ def apply_op(df: DataFrame, op: Op, slot: int = 0, observe=None) -> DataFrame:
         empty = F.lit(False)
         for n in needed:
             empty = empty | cells.is_empty(F.col(n))
+        if observe is None:
+            for n in needed:
+                c = F.col(n)
+                df = df.filter(c.isNotNull() & (c != "") if _kind(df, n) == "string" else ~cells.is_empty(c))
+            return df
         return told(df.withColumn("__drop", empty), name, dropped=F.count_if("__drop")).filter("NOT __drop").drop("__drop")
     if op.op == "filter":
+        if observe is None and (bare := scan_filter(df, op)) is not None:
+            return df.filter(bare)
         matched = predicate(df, op)
         out = told(df.withColumn("__match", matched), name, matched=F.count_if("__match"))
         return out.filter(F.col("__match") if op.filter_action == "keep" else ~F.col("__match")).drop("__match")
