@@ -1,6 +1,6 @@
 """Best-fit-decreasing packing of token pieces into fixed-length sequences.
 
-Documents are cut only where longer than a sequence; lengths travel, tokens do not. Pieces are dealt
+Documents are cut only where longer than a sequence; lengths travel, tokens do not. Pieces are written once, counted and dealt
 by hash into groups of about ``GROUP_PIECES``, each packed by itself, so work is spread evenly and the
 loss against one global packing is below one sequence per group.
 
@@ -108,8 +108,8 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, end_id:
 
 def pack_sequences(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, group_pieces: int = GROUP_PIECES, keep_ids: bool = False) -> DataFrame:
     """Place every piece of every document: adds sequence_id and offset (gapless from 0 in each sequence)."""
-    groups = max(1, docs.count() // group_pieces)
-    cut = pieces(docs, capacity, tokenizer, end_id, keep_ids)
+    cut = store.written(pieces(docs, capacity, tokenizer, end_id, keep_ids), "pieces")
+    groups = max(1, cut.count() // group_pieces)
     schema = ", ".join(f"{n} {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -117,5 +117,5 @@ def pack_sequences(docs: DataFrame, capacity: int = 2048, tokenizer: str | None
         bins, offsets = best_fit(rows["length"].to_numpy(), capacity)
         return rows.drop(columns="group").assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
 
-    grouped = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    grouped = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     return grouped.groupBy("group").applyInPandas(place, schema)

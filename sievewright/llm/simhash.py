@@ -5,8 +5,9 @@ in place. The index keeps each distinct fingerprint under the values at three by
 eight position triples below leave no choice of five positions without a whole triple, so no link is missed
 while a posting list is 2**24 times shorter than the table. In a list, shared positional
 bytes are tallied per pair, pairs below five fall away, the rest are verified bit by bit. A list gives
-only a spanning forest of its links, never all pairs; lists above ``LIST_ROWS`` are refined by two more byte
-positions (five in all, in every way), which again loses no link.
+only a spanning forest of its links, never all pairs. Lists above ``LIST_ROWS`` are refined by two more byte
+positions (five in all, in every way) and, where still long, by a quarter of the other 24 bits: three different bits leave
+one quarter the same. Neither loses a link, and a list so refined has 18 free bits, 2**18 distinct fingerprints at most.
 
 Cases: null text counts as empty; texts without words have fingerprint zero and link like any other;
 repeated rows share everything; a null doc_id takes part but never names a component, unless alone (then the
@@ -21,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import store
@@ -33,6 +34,7 @@ BITS = 3
 LIST_ROWS = 4096
 # Byte positions: all triples inside each half. Of any five positions, three lie in one half.
 TRIPLES = [t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half, 3)]
+FIVES = list(combinations(range(8), 5))
 
 
 def fingerprints(column) -> np.ndarray:
@@ -93,25 +95,47 @@ def forest(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     return out
 
 
+def _packed(n: int, places: tuple[int, ...]) -> Column:
+    """The bytes at the places, after the number n."""
+    value = F.lit(n).cast("bigint")
+    for p in places:
+        value = F.shiftleft(value, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)))
+    return value
+
+
 def _postings(nodes: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
-    def key(n: int, places: tuple[int, ...]):
-        value = F.lit(n).cast("bigint")
-        for p in places:
-            value = F.shiftleft(value, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)))
-        return value
+    """(fp, key, rest): every fingerprint under each set of byte positions, and the bytes elsewhere."""
+    entries = [F.struct(_packed(n, s).alias("key"), _packed(0, tuple(p for p in range(8) if p not in s)).alias("rest")) for n, s in enumerate(sets)]
+    return nodes.select("fp", F.inline(F.array(*entries)))
+
+
+def _quarters(lists: DataFrame) -> DataFrame:
+    """Lists under five byte positions, each split by six of the other 24 bits, in four ways."""
+    keys = [F.xxhash64(F.lit(f"quarter {q}"), "key", F.shiftright("rest", 6 * q).bitwiseAND(F.lit(63))) for q in range(4)]
+    return lists.select("fp", F.explode(F.array(*keys)).alias("key"))
+
+
+def _divided(lists: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """Lists of up to LIST_ROWS fingerprints, and the longer ones if there are any."""
+    long = store.written(lists.groupBy("key").count().filter(F.col("count") > LIST_ROWS).select("key"), name)
+    if not long.limit(1).count():
+        return lists, None
+    return lists.join(long, "key", "left_anti"), lists.join(long, "key", "left_semi")
+
 
-    return nodes.select("fp", F.explode(F.array(*[key(n, places) for n, places in enumerate(sets)])).alias("key"))
+def posting_lists(nodes: DataFrame) -> DataFrame:
+    """(fp, key) such that any two linked fingerprints share a key."""
+    lists, long = _divided(store.written(_postings(nodes, TRIPLES).select("fp", "key"), "postings"), "long-lists")
+    if long is None:
+        return lists
+    finer, long = _divided(store.written(_postings(long.select("fp").distinct(), FIVES), "postings-of-five"), "long-lists-of-five")
+    lists = lists.unionByName(finer.select("fp", F.xxhash64(F.lit("five"), "key").alias("key")))
+    return lists if long is None else lists.unionByName(_quarters(long))
 
 
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """Links (a, b) between distinct fingerprints: a spanning forest of every posting list."""
-    spark = nodes.sparkSession
-    lists = store.written(_postings(nodes, TRIPLES), "postings")
-    long = store.written(lists.groupBy("key").count().filter(F.col("count") > LIST_ROWS).select("key"), "long-lists")
-    if long.limit(1).count():
-        five = sorted({tuple(sorted(t + u)) for t in TRIPLES for u in combinations(sorted(set(range(8)) - set(t)), 2)})
-        hot = lists.join(long, "key", "left_semi").select("fp").distinct()
-        lists = lists.join(long, "key", "left_anti").unionByName(_postings(hot, five).select("fp", F.xxhash64(F.lit("five"), "key").alias("key")))
+    spark, lists = nodes.sparkSession, posting_lists(nodes)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [b for b in batches if b.num_rows]
@@ -135,7 +159,7 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
                 a.append(s + i), b.append(s + j)
         yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64), pa.int64()), pa.array(fp[b].view(np.int64), pa.int64())], ["a", "b"])
 
-    dealt = lists.repartition(store.partitions(spark), "key").mapInArrow(match, "a long, b long")
+    dealt = lists.select("fp", "key").repartition(store.partitions(spark), "key").mapInArrow(match, "a long, b long")
     return dealt.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -159,10 +159,14 @@ def check_packing(got, rows, capacity):
     return len(bins), -(-sum(n for parts in bins.values() for _, n in parts) // capacity)
 
 
-def test_packing(docs, rows, awkward, empty):
+def test_packing(spark, docs, rows, awkward, empty):
     used, least = check_packing(packing.pack_sequences(docs).collect(), rows, 2048)
     assert used <= least * 1.05 + 1
     check_packing(packing.pack_sequences(awkward, group_pieces=3).collect(), AWKWARD, 2048)
+    without_id = [(None, f"{n} words here") for n in range(300)]
+    placed = packing.pack_sequences(spark.createDataFrame(without_id, "doc_id long, text string"), group_pieces=30).collect()
+    check_packing(placed, without_id, 2048)
+    assert len({r.sequence_id >> 32 for r in placed}) > 5  # one missing doc_id is no hot group
     assert packing.pack_sequences(empty).count() == 0
 
 
@@ -346,7 +350,7 @@ def planted(n, seed):
     return np.unique(np.concatenate([base, near, dense]))
 
 
-@pytest.mark.parametrize("limit", [4096, 20])
+@pytest.mark.parametrize("limit", [4096, 100, 20])
 def test_links_lose_nothing(spark, limit, monkeypatch):
     monkeypatch.setattr(simhash, "LIST_ROWS", limit)
     fps = planted(300, 2)
@@ -359,6 +363,14 @@ def test_links_lose_nothing(spark, limit, monkeypatch):
     assert {frozenset(s) for s in got.values()} == want
 
 
+def test_long_lists_are_refined_to_bounded_ones(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LIST_ROWS", 20)
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 1 << 24, 600, dtype=np.uint64))  # all share five bytes
+    lists = simhash.posting_lists(spark.createDataFrame([(int(f),) for f in fps], "fp long"))
+    assert max(r["count"] for r in lists.groupBy("key").count().collect()) < 40
+
+
 def by_hand_groups(fps):
     left, out, signed = set(range(len(fps))), set(), fps.view(np.int64)
     while left:
