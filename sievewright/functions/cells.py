@@ -13,12 +13,12 @@ STRIP = rf"(?U)^{SPACES}+|{SPACES}+$"
 # Words read as booleans.
 TRUE_WORDS = ("true", "1", "yes", "y", "t", "是", "真")
 FALSE_WORDS = ("false", "0", "no", "n", "f", "否", "假")
-# Formats tested by pattern.
-EMAIL = r"\A[^@\s]+@[^@\s.]+(\.[^@\s.]+)+\z"
+# Formats tested by pattern. Repeated groups never give back, so cells of any length need no deep stack.
+EMAIL = r"\A[^@\s]+@[^@\s.]+(\.[^@\s.]+)++\z"
 URL = r"(?i)\Ahttps?://[^\s/$.?#].[^\s]*\z"
 IPV4 = r"\A(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})\z"
-INTEGER = r"\A[+-]?[0-9]+(_[0-9]+)*\z"
-FLOAT = r"(?i)\A[+-]?((([0-9]+(_[0-9]+)*)(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)(e[+-]?[0-9]+(_[0-9]+)*)?|nan|inf|infinity)\z"
+INTEGER = r"\A[+-]?[0-9]+(_[0-9]+)*+\z"
+FLOAT = r"(?i)\A[+-]?((([0-9]+(_[0-9]+)*+)(\.([0-9]+(_[0-9]+)*+)?)?|\.[0-9]+(_[0-9]+)*+)(e[+-]?[0-9]+(_[0-9]+)*+)?|nan|inf|infinity)\z"
 
 
 def text(c: Column) -> Column:

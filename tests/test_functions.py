@@ -58,6 +58,13 @@ def test_to_integer(frame):
     assert run(frame, cells.to_integer(F.col("v"))) == [want(v) for v in VALUES]
 
 
+def test_long_cells(spark):
+    """Groups repeated 50,000 times match without a deep stack."""
+    long = ["1" + "_1" * 50000, "1" + "_1" * 50000 + "x", "a@b" + ".c" * 50000]
+    rows = spark.createDataFrame([(v,) for v in long], "v string")
+    assert [[c is not None for c in r] for r in rows.select(cells.to_integer(F.col("v")), F.when(F.col("v").rlike(cells.FLOAT), 1), F.when(cells.has_format(F.col("v"), "email"), 1)).collect()] == [[False, True, False], [False, False, False], [False, False, True]]
+
+
 def test_number_text(frame):
     def want(v):
         try:
