@@ -4,12 +4,13 @@ A text is compressed in windows of ``WINDOW`` bytes (all of them) once with each
 difference of the two sizes over the larger one, over the whole text and for its worst window, are the raw scores;
 logistic regression on the two, fitted on labelled texts that were not used for the dictionaries and weighted to
 the labels' own shares, calibrates them.
-Fitting uses at most ``SAMPLE`` texts per label and purpose, taken in the order of a hash of doc_id,
-so the model has a fixed size and only this bounded sample reaches the driver.
+Fitting uses at most ``SAMPLE`` texts per label and purpose, taken in the order of a hash of doc_id. Whole texts stay
+in tasks: the driver gets at most ``WINDOWS`` windows per label for the dictionaries, and label and raw scores of the
+others, so what it holds is bounded however long the texts are.
 
 Cases: null text is an empty document; empty texts have raw scores 0 and so the calibrated value
 there; rows without label or with a null label are scored but never learned from; repeated rows
-are scored alike; an empty table gives no rows; without labels of both kinds every score is 0.5.
+are scored alike and the least text of a doc_id is learned, with its least label; an empty table gives no rows; without labels of both kinds every score is 0.5.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ SAMPLE = 1500
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
 WINDOW = 512
+WINDOWS = 32768
 
 
 @dataclass(frozen=True)
@@ -89,30 +91,61 @@ def learnable(labels: DataFrame) -> DataFrame:
     return labels.filter(F.crc32(F.col("doc_id").cast("bigint").cast("string").cast("binary")) % 3 != 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> Model | None:
-    """Dictionaries from up to ``sample`` texts of each label, calibration from as many others."""
-    usable = learnable(labels).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
+def _labelled(docs: DataFrame, usable: DataFrame, sample: int) -> DataFrame:
+    """(label, h, text) of up to 2 * ``sample`` documents of each label, one text per doc_id; h orders them."""
     chosen = None
     for value in (0, 1):
         part = usable.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = store.texts(docs).join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")  # at most 4 * sample ids
-    found = sorted(rows.select("label", F.xxhash64("doc_id").alias("h"), F.col("text").cast("binary").alias("text")).collect(), key=lambda r: (r.h, bytes(r.text)))
-    by = {v: [bytes(r.text) for r in found if r.label == v] for v in (0, 1)}
-    if min(map(len, by.values())) < 8:
+    ids = chosen.groupBy("doc_id").agg(F.min("label").alias("label"))
+    rows = store.texts(docs).join(F.broadcast(ids), "doc_id")  # at most 4 * sample ids
+    once = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return store.written(once.select("label", F.xxhash64("doc_id").alias("h"), "text"), "labelled")
+
+
+def _windows(rows: DataFrame, value: int, most: int) -> list[bytes]:
+    """The windows of one label's texts, in their order; of more than ``most`` those with the least hash."""
+    raw = rows.filter((F.col("label") == value) & (F.octet_length("text") > 0)).select("h", F.col("text").cast("binary").alias("raw"))
+    places = F.sequence(F.lit(0), F.floor((F.octet_length("raw") - 1) / WINDOW).cast("int"))
+    cut = raw.select("h", F.posexplode(F.transform(places, lambda i: F.substring(F.col("raw"), i * WINDOW + 1, F.lit(WINDOW)))).alias("at", "part"))
+    found = cut.orderBy(F.xxhash64("h", "at"), "h", "at").limit(most).collect()  # at most ``most`` * WINDOW bytes
+    return [bytes(r.part) for r in sorted(found, key=lambda r: (r.h, r.at))]
+
+
+def _measured(rows: DataFrame, model: Model) -> list[tuple[int, float, float]]:
+    """Label and raw scores of each row; the texts stay in the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                d = differences(model, part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(d[:, 0]), pa.array(d[:, 1])], ["label", "whole", "worst"])
+
+    return sorted(tuple(r) for r in rows.select("label", "text").mapInArrow(run, "label int, whole double, worst double").collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", windows: int = WINDOWS) -> Model | None:
+    """Dictionaries from up to ``sample`` texts of each label, calibration from as many others."""
+    usable = learnable(labels).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
+    rows = _labelled(docs, usable, sample)
+    order = {0: [], 1: []}
+    for r in rows.select("label", "h").collect():  # at most 4 * sample rows
+        order[r.label].append(r.h)
+    if min(map(len, order.values())) < 8:
         return None
-    half = {v: max(4, len(t) // 2) for v, t in by.items()}
-    cut = {v: [t[at : at + WINDOW] for t in by[v][: half[v]] for at in range(0, len(t), WINDOW)] for v in by}
+    cut = {v: sorted(hs)[max(4, len(hs) // 2)] for v, hs in order.items()}
+    early = F.col("h") < F.when(F.col("label") == 1, F.lit(cut[1])).otherwise(F.lit(cut[0]))
     trained = {}
-    for v, parts in cut.items():
+    for v in order:
+        parts = _windows(rows.filter(early), v, windows)
         size = min(DICTIONARY_BYTES, max(1024, sum(map(len, parts)) // 8))
         try:
             trained[v] = zstandard.train_dictionary(size, parts, threads=1).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
             trained[v] = b"".join(parts)[-size:]
     model = Model(trained[1], trained[0], (1.0, 0.0), 0.0)
-    held = [(t, v) for v in by for t in by[v][half[v] :]]
-    x, y = differences(model, pa.array([t for t, _ in held], pa.binary())), np.array([v for _, v in held], float)
+    held = np.array(_measured(rows.filter(~early), model))
+    x, y = held[:, 1:], held[:, 0]
     n = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     rate = [n[v] / max(1, int((y == v).sum())) for v in (0, 1)]  # the sample holds both labels alike
     weight = np.where(y == 1, rate[1], rate[0])

@@ -34,6 +34,7 @@ AWKWARD = [
     (1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "One two"), (6, "a b c d e f g h i j k l m n o p q r s t u"),
     (7, "x a b c d e f g h i j k l m y a b c d e f g h i j k l m"), (8, "a b c d e f g h i j k l m n o p q r s t u"), (8, "a b c d e f g h i j k l m n o p q r s t u"),
     (None, "a b c d e f g h i j k l m n o p q r s t u"), (10, "漢字 emoji 😀 naïve 　 wide"), (11, "same word " * 5000), (12, "z" * 30000), (13, "same word " * 5000),
+    (14, "All rights reserved " + "a." * 50000 + " end"),
 ]
 
 
@@ -235,6 +236,18 @@ def test_quality(spark, awkward, empty):
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert quality.fit(docs, flipped).slopes == pytest.approx(model.slopes)  # held-out labels are never seen
     assert quality.keep_good(awkward, labels).columns == awkward.columns
+    doubled = quality.fit(docs.unionByName(docs), labels)  # repeated rows are learned once
+    assert (doubled.good, doubled.bad) == (model.good, model.bad) and doubled.slopes == pytest.approx(model.slopes)
+
+
+def test_quality_windows(spark):
+    texts = {1: "é" * 300 + "x" * 700, 2: "", 3: "short"}
+    rows = spark.createDataFrame([(v % 2, v, t) for v, t in texts.items()], "label int, h long, text string")
+    raw = texts[1].encode()
+    assert quality._windows(rows, 1, 99) == [raw[:512], raw[512:1024], raw[1024:], b"short"]
+    assert quality._windows(rows, 0, 99) == []
+    two = quality._windows(rows, 1, 2)
+    assert len(two) == 2 and set(two) < set(quality._windows(rows, 1, 99))
 
 
 # licences
