@@ -274,6 +274,24 @@ def test_every_template_has_an_anchor():
             assert any(a in t.lower() for a in licences.ANCHORS) or len(t) < 90, t
 
 
+def test_licence_names_without_an_anchor_are_found(spark):
+    named = {"Available under CC BY-SA 4.0.": "cc-by-sa", "This file is GPLv3": "gpl", "MPL 2.0": "mpl", "Code: BSD-3-Clause": "bsd", "Terms: Apache-2.0": "apache-2.0", "CC0 1.0": "public-domain"}
+    other = {"Terms: CC BY-ND 4.0": 1, "Mit der Zeit kam der Mann in die Stadt.": 0, "She walked in the park of the city.": 0}
+    lines = [*named, *other]
+    got = {r.doc_id: r for r in licences.licence_scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert {t: (got[i].families, got[i].n_unknown) for i, t in enumerate(lines)} == {t: (f, 0) for t, f in named.items()} | {t: ("", n) for t, n in other.items()}
+
+
+def test_licence_threshold_is_fitted_on_held_out_rows(spark):
+    found = [("gpl", "gpl", 0.9, True), ("gpl", "gpl", 0.8, True), ("lgpl", "gpl", 0.7, True), ("mit", "mit", 0.6, True), ("mit", "bsd", 0.95, False), ("mit", "none", 0.99, True)]
+    assert licences.threshold(found, 0) == 0.8 and licences.threshold(found, 0.25) == 0.6 and licences.threshold([("mit", "bsd", 0.9, True)]) == 1.0
+    held = licences.held_out(licences._training(spark))
+    least = licences.threshold(held)
+    accepted = [f == best for f, best, p, sure in held if sure and best != "none" and p >= least]
+    assert len(accepted) >= 20 and accepted.count(False) <= licences.WRONG * len(accepted)
+    assert sum(best == "none" for f, best, *_ in held if f == "none") >= 0.95 * sum(f == "none" for f, *_ in held)
+
+
 # secrets
 
 
