@@ -1,8 +1,8 @@
 """Secret spans: fixed patterns plus a randomness battery under false-discovery control.
 
-Candidates are maximal runs of ``[A-Za-z0-9+/_=-]`` of 16 or more characters outside the base spans,
-at least one digit among them. The encoding is inferred from the characters (hex, base32, base64url,
-base64). Against the hypothesis "ordinary writing" three tests are made, each sharper as the run
+Candidates are maximal runs of ``[A-Za-z0-9+/_=-]`` of 16 or more characters outside the base spans.
+The encoding is inferred from the characters (letters of one case or of both, hex, base32, base64url,
+base64) and gives the reference values. Against the hypothesis "ordinary writing" three tests are made, each sharper as the run
 grows: index of coincidence of the alphabet (the chi-squared statistic of uniformity, rescaled),
 number of runs of character classes, and lag-one serial correlation. Their p-values combine by
 Fisher's method. Benjamini-Hochberg control runs over all candidates of the corpus within each
@@ -44,9 +44,13 @@ CANDIDATE_LEAST = 16
 Q = 0.01  # false-discovery rate
 BIN = 0.25  # histogram bins of -log10 p
 BINS = 160
-ALPHABETS = (("hex", 16, re.compile(r"[0-9a-fA-F]+\Z")), ("base32", 32, re.compile(r"[A-Z2-7=]+\Z")), ("base64url", 64, re.compile(r"[A-Za-z0-9_=-]+\Z")), ("base64", 64, re.compile(r"[A-Za-z0-9+/=]+\Z")))
-# What ordinary writing looks like - coincidence of letters, class changes per step, serial correlation.
-TEXT_COINCIDENCE, TEXT_CHANGE, TEXT_SERIAL = 0.065, 0.12, 0.2
+ALPHABETS = (("one case", 26, re.compile(r"(?:[a-z+/_=-]+|[A-Z+/_=-]+)\Z")), ("letters", 52, re.compile(r"[A-Za-z+/_=-]+\Z")), ("hex", 16, re.compile(r"[0-9a-fA-F]+\Z")), ("base32", 32, re.compile(r"[A-Z2-7=]+\Z")), ("base64url", 64, re.compile(r"[A-Za-z0-9_=-]+\Z")), ("base64", 64, re.compile(r"[A-Za-z0-9+/=]+\Z")))
+# What ordinary writing looks like in each encoding - coincidence of letters, class changes per step (letters of one
+# case never change, names in camel case change twice a word), serial correlation. Six letters alone coincide more.
+ORDINARY = {
+    "one case": (0.065, None, -0.13), "letters": (0.065, 0.36, -0.17), "hex": (0.065 + 1 / 16, 0.12, 0.2), "base32": (0.065, 0.12, 0.2),
+    "base64url": (0.065, 0.12, 0.2), "base64": (0.065, 0.12, 0.2), "mixed": (0.065, 0.12, 0.2),
+}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -77,11 +81,11 @@ def p_value(run: str) -> float:
     n = len(s)
     if n < CANDIDATE_LEAST:
         return 1.0
-    _, size = encoding(run)
+    name, size = encoding(run)
+    expected, change, correlation = ORDINARY[name]
     counts = np.unique(np.frombuffer(s.encode(), np.uint8), return_counts=True)[1].astype(float)
     pairs = n * (n - 1)
     coincidence = float((counts * (counts - 1)).sum()) / pairs
-    expected = TEXT_COINCIDENCE if size > 16 else TEXT_COINCIDENCE + 1 / 16  # six letters alone coincide more
     uniform = 1 / size
     deviation = math.sqrt(2 * expected * (1 - expected) / pairs + 4 * (expected * 0.3) ** 2 / n)
     tests = [_normal_tail((expected - max(coincidence, uniform * 0.5)) / deviation)]
@@ -90,12 +94,12 @@ def p_value(run: str) -> float:
     if m < 8:
         return 1.0
     classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in plain]
-    tests.append(_upper_binomial(sum(a != b for a, b in zip(classes, classes[1:])), m - 1, TEXT_CHANGE))
+    tests.append(_upper_binomial(sum(a != b for a, b in zip(classes, classes[1:])), m - 1, change) if change else 1.0)
     codes = np.array([ord(c) for c in plain], float)
     spread = codes - codes.mean()
     power = float((spread**2).sum())
     serial = float((spread[1:] * spread[:-1]).sum() / power) if power else 1.0
-    tests.append(_normal_tail((TEXT_SERIAL - serial) * math.sqrt(m)) if power else 1.0)
+    tests.append(_normal_tail((correlation - serial) * math.sqrt(m)) if power else 1.0)
     half = -sum(map(math.log, tests))  # Fisher: chi-squared with 6 degrees of freedom, closed form
     return min(1.0, max(1e-40, math.exp(-half) * (1 + half + half * half / 2)))
 
@@ -132,7 +136,7 @@ def found(docs: DataFrame) -> DataFrame:
                         spans = sorted(base_spans(text) if hit[i] else [], key=lambda s: (s[0], KINDS.index(s[2])))
                         for m in _CANDIDATE.finditer(text):
                             a, b = m.span()
-                            if any("0" <= c <= "9" for c in m[0]) and not any(s < b and a < e for s, e, _ in spans):
+                            if not any(s < b and a < e for s, e, _ in spans):
                                 tried.append({"start": a, "end": b, "stratum": stratum(b - a), "bin": _bin(p_value(m[0]))})
                     out.append((len([1 for s in spans if s[2] == "assign"]), len([1 for s in spans if s[2] == "access"]), len([1 for s in spans if s[2] == "hex"]), [{"start": a, "end": b, "kind": k} for a, b, k in spans], tried))
                 span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))

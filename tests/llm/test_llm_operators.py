@@ -505,3 +505,15 @@ def test_a_version_is_committed_once(spark, docs, tmp_path):
 
 def test_shared_folder_is_read_from_the_session(spark):
     assert store.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_letter_only_keys_are_found_and_compounds_are_not(spark):
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choice(letters) for _ in range(48)) for _ in range(60)]
+    words = "donau dampf schiff fahrts gesellschaft the quick brown fox jumps over counter revolution element class name value state of history station".split()
+    compounds = ["".join(way(rng.choice(words)) for _ in range(9)) for way in (str, str.capitalize, str.upper) for _ in range(20)]
+    frame = spark.createDataFrame([(i, f"it is {k} here") for i, k in enumerate(keys + compounds)], "doc_id long, text string")
+    got = {r.doc_id: r.n_random for r in secrets.secret_spans(frame).collect()}
+    assert sum(got[i] for i in range(60)) >= 54 and sum(got[i] for i in range(60, 120)) <= 1
+    assert secrets.encoding("abc" * 6) == ("one case", 26) and secrets.encoding("aBc" * 6) == ("letters", 52) and secrets.encoding("XY2" * 6) == ("base32", 32)
