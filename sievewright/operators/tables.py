@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewright.functions import cells as numbers
 from sievewright.functions import patterns
 from sievewright.operators.clean import text_of
 
@@ -120,11 +121,26 @@ def distinct_names(rows: DataFrame, name: str, order: str) -> DataFrame:
     return rows.withColumn("__n", n).withColumn(name, F.when(F.col("__n") > 1, F.concat_ws("_", name, F.col("__n").cast("string"))).otherwise(F.col(name))).drop("__n")
 
 
-def smoothed(rows: DataFrame, by: str, order: str, value: str, keep: float = 0.7) -> DataFrame:
-    """Exponentially weighted mean of each key's values in order."""
-    held = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
-    step = F.aggregate("h", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x["v"]).otherwise(a * keep + x["v"] * (1 - keep)))
-    return rows.groupBy(by).agg(held.alias("h")).select(by, step.alias("smoothed"))
+def smoothed(rows: DataFrame, by: str, order: str, value: str, keep: float = 0.7, block: int = 100_000) -> DataFrame:
+    """Exponentially weighted mean of each key's values in order; it starts anew after a null value.
+
+    A value ``j`` rows before the last weighs ``keep^j``, so blocks of order numbers (of one key) are summed on their own and
+    their sums weighted by the rows of later blocks; an order that is no number makes one block, read as a sorted stream.
+    """
+    numeric = numbers.is_number(rows.schema[order].dataType.simpleString())
+    cut = rows.select(F.col(by), F.col(order).alias("__o"), F.col(value).cast("double").alias("__v"), (F.floor(F.col(order) / block) if numeric else F.lit(0)).alias("__b"))
+    back = Window.partitionBy(by, "__b").orderBy(F.desc_nulls_first("__o"), F.desc_nulls_first("__v"))
+    from_end = cut.withColumns({"__j": F.row_number().over(back) - 1, "__nulls": F.count_if(F.col("__v").isNull()).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    live = F.col("__nulls") == 0
+    sums = from_end.groupBy(by, "__b").agg(
+        F.count_if(live).alias("__n"), F.sum(F.when(live, F.lit(1 - keep) * F.pow(F.lit(keep), F.col("__j")) * F.col("__v"))).alias("__w"),
+        F.max_by("__v", F.when(live, F.col("__j"))).alias("__first"), F.count_if(F.col("__v").isNull()).alias("__cut"),
+    )
+    later = Window.partitionBy(by).orderBy(F.desc_nulls_first("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = sums.withColumns({"__after": F.coalesce(F.sum("__n").over(later), F.lit(0)), "__cuts": F.coalesce(F.sum("__cut").over(later), F.lit(0))})
+    live = (F.col("__cuts") == 0) & (F.col("__n") > 0)
+    total = kept.groupBy(by).agg(F.sum(F.when(live, F.col("__w") * F.pow(F.lit(keep), F.col("__after")))).alias("__w"), F.sum(F.when(live, F.col("__n"))).alias("__n"), F.max_by("__first", F.when(live, F.col("__after"))).alias("__first"))
+    return total.select(by, (F.col("__w") + F.pow(F.lit(keep), F.col("__n")) * F.col("__first")).alias("smoothed"))
 
 
 def model_columns(rows: DataFrame, prompt: str, outputs: list[str], client: Callable[[list[str]], str], cache: DataFrame | None = None, size: int = 10, retries: int = 2) -> DataFrame:

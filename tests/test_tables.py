@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,19 @@ def test_model_columns(spark):
 
     got = sorted((r.t, r.o) for r in tables.model_columns(rows, "ask ${t}", ["o"], client, cache).collect())
     assert got == [("a", "ASK A"), ("a", "ASK A"), ("b", "cached"), ("bad", None)]
+
+
+def test_smoothed_blocks_equal_the_recurrence(spark):
+    rng = random.Random(5)
+    data = [(k, o, None if rng.random() < p else rng.uniform(0, 50)) for k, p in (("a", 0), ("b", 0.1), ("c", 0.5), (None, 0)) for o in range(60)] + [("d", 1, 2.0), ("e", 1, None)]
+    want = {}
+    for k, _, v in data:
+        a = want.get(k)
+        want[k] = v if a is None else None if v is None else a * 0.7 + v * 0.3
+    df = spark.createDataFrame(data, "k string, o int, v double").repartition(5)
+    for order in (F.col("o"), F.format_string("%03d", "o")):
+        out = tables.smoothed(df.withColumn("o", order), "k", "o", "v", block=7)
+        got = {r.k: r.smoothed for r in out.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) if want[k] is not None else got[k] is None for k in want)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan
