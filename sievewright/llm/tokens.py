@@ -36,7 +36,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.lengths = np.zeros(self.size, np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():

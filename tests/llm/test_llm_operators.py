@@ -517,3 +517,15 @@ def test_letter_only_keys_are_found_and_compounds_are_not(spark):
     got = {r.doc_id: r.n_random for r in secrets.secret_spans(frame).collect()}
     assert sum(got[i] for i in range(60)) >= 54 and sum(got[i] for i in range(60, 120)) <= 1
     assert secrets.encoding("abc" * 6) == ("one case", 26) and secrets.encoding("aBc" * 6) == ("letters", 52) and secrets.encoding("XY2" * 6) == ("base32", 32)
+
+
+def test_special_tokens_in_texts_equal_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(6)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "end<|endoftext|>begin"] + ["".join(rng.choice(["<|endoftext|>", " ", "  ", "a", "word", "<|", "\n", "é", "1"]) for _ in range(12)) for _ in range(2000)]
+    ids, bounds = encoder(tokenizer_path()).encode(pa.array(texts))
+    assert ids[: bounds[1]].tolist() == [50256]
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == fresh.encode(t, add_special_tokens=False).ids, t
