@@ -12,8 +12,6 @@ from sievewright.functions import cells, patterns
 from sievewright.operators.clean import FILE, ROW, text_of
 from sievewright.plans.config import KINDS, Constraint, FieldSpec
 
-SUFFIX_LIMIT = 10_000
-
 
 def ordered(constraints: tuple[Constraint, ...]) -> list[Constraint]:
     return sorted(constraints, key=lambda c: KINDS.index(c.kind))
@@ -147,7 +145,7 @@ def resolve_unique(df: DataFrame, name: str, suffix: str, by_file: bool = False)
     found = keyed.withColumn("__hash", F.xxhash64("__stem")).join(stems, [*by, "__hash", "__stem"], "left")
     calm = found.filter("__texts IS NULL OR __text = ''").select(*df.columns)
     one = repeat_number(found.filter("__texts = 1 AND __text <> ''"), "__text", by, order)
-    plain = F.when((F.col("__k") > 0) & (F.col("__k") <= SUFFIX_LIMIT), F.concat("__text", F.lit(suffix), F.col("__k").cast("string"))).otherwise(F.col("__text"))
+    plain = F.when(F.col("__k") > 0, F.concat("__text", F.lit(suffix), F.col("__k").cast("string"))).otherwise(F.col("__text"))
     schema, columns = df.schema, df.columns
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
@@ -158,10 +156,10 @@ def resolve_unique(df: DataFrame, name: str, suffix: str, by_file: bool = False)
         for t in rows["__text"]:
             if t in taken:
                 n = free.get(t, 1)
-                while f"{t}{suffix}{n}" in taken and n <= SUFFIX_LIMIT:
+                while f"{t}{suffix}{n}" in taken:
                     n += 1
                 free[t] = n + 1
-                t = f"{t}{suffix}{n}" if n <= SUFFIX_LIMIT else t
+                t = f"{t}{suffix}{n}"
             taken.add(t)
             out.append(t)
         return rows.assign(**{name: out})[columns]

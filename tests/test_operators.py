@@ -204,3 +204,10 @@ def test_profile_counts(spark):
     assert (got["s"].n_empty, got["s"].min_length, got["s"].max_length, got["n"].n_empty) == (1, 1, 3, 1)
     assert Counter(r.text for r in profile.top_values(df, ["n"], 2).collect()) == Counter(["", "1.5"])
     assert df.filter(F.col("s") == "a").count() == 1
+
+
+@pytest.mark.parametrize("extra", [[], ["x_3"]])
+def test_unique_suffixes_have_no_limit(spark, extra):
+    data = [(0, i, v) for i, v in enumerate(extra + ["x"] * 10_010)]
+    got = rows_of(quality.resolve_unique(spark.createDataFrame(data, SCHEMA), "v", "_"), "v")
+    assert len(set(got)) == len(data) and ("x_10009",) in got
