@@ -1,11 +1,12 @@
 """Fixed-width token files: every id in the fewest bits the vocabulary needs.
 
 File layout (little-endian, bits least significant first):
-payload blocks | doc table (doc_id i64, first token i64, tokens i64) | block offsets u64 | footer.
-A block holds ``BLOCK_TOKENS`` ids, so any id is found from its block's offset alone.
+payload blocks | doc table (doc_id i64, has doc_id i64, first token i64, tokens i64) | block offsets u64 | footer.
+A block holds ``BLOCK_TOKENS`` ids, so any id is found from its block's offset alone. A reader fetches the footer, the
+part of the doc table it wants, and whole blocks by their offsets, never the file.
 
-Cases: null text is an empty document (only its end id); null doc_id is written as -1 and sorts
-first; repeated doc_ids are separate documents in any order among themselves; an empty table gives
+Cases: null text is an empty document (only its end id); a null doc_id is marked so and sorts
+first; repeated doc_ids are separate documents, in the order of a hash of their texts; an empty table gives
 files without documents; other columns are ignored.
 """
 
@@ -25,10 +26,12 @@ from sievewright.llm import store
 from sievewright.llm.bytes import slices
 from sievewright.llm.tokens import TOKEN_SLICE_BYTES, encoder, tokenizer_path
 
-MAGIC = b"SWBITPK1"
+MAGIC = b"SWBITPK2"
 FOOTER = struct.Struct("<QQQQII8s")  # payload bytes, tokens, documents, blocks, bits, block tokens, magic
 BLOCK_TOKENS = 8192
-WRITE_TOKENS = 1 << 20
+FILE_BYTES = 128 << 20  # of stored input to a file
+READ_DOCS = 4096  # documents to a reading task
+READ_TOKENS = 1 << 20  # ids unpacked at a time
 
 
 def bits_for(vocabulary: int) -> int:
@@ -56,15 +59,28 @@ def unpack(raw: bytes | memoryview, n: int, bits: int) -> np.ndarray:
 
 
 class Reader:
-    """Random access to one file's bytes."""
+    """Random access to one file, given as bytes or as an open file with ``size``, ``seek`` and ``read``."""
 
-    def __init__(self, raw: bytes):
-        self.raw = memoryview(raw)
-        payload, self.tokens, docs, blocks, self.bits, self.block, magic = FOOTER.unpack(self.raw[-FOOTER.size :])
+    def __init__(self, source):
+        self.source = memoryview(source) if isinstance(source, bytes | bytearray | memoryview) else source
+        end = len(self.source) if isinstance(self.source, memoryview) else self.source.size()
+        self.payload, self.tokens, self.n_docs, self.blocks, self.bits, self.block, magic = FOOTER.unpack(self._bytes(end - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a packed token file")
-        self.docs = np.frombuffer(self.raw[payload : payload + 24 * docs], "<i8").reshape(-1, 3)
-        self.offsets = np.frombuffer(self.raw[payload + 24 * docs : payload + 24 * docs + 8 * blocks], "<u8")
+
+    def _bytes(self, at: int, n: int):
+        if isinstance(self.source, memoryview):
+            return self.source[at : at + n]
+        self.source.seek(at)
+        return self.source.read(n)
+
+    def docs(self, first: int = 0, n: int | None = None) -> np.ndarray:
+        """Rows (doc_id, has doc_id, first token, tokens) of documents first .. first+n."""
+        n = self.n_docs - first if n is None else min(n, self.n_docs - first)
+        return np.frombuffer(self._bytes(self.payload + 32 * first, 32 * n), "<i8").reshape(-1, 4)
+
+    def offsets(self, first: int, n: int) -> np.ndarray:
+        return np.frombuffer(self._bytes(self.payload + 32 * self.n_docs + 8 * first, 8 * n), "<u8")
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """Ids start .. start+n of the file, from the blocks that hold them."""
@@ -72,8 +88,15 @@ class Reader:
             return np.zeros(0, "<u4")
         first, last = start // self.block, (start + n - 1) // self.block
         have = min((last + 1) * self.block, self.tokens) - first * self.block
-        at = int(self.offsets[first])
-        return unpack(self.raw[at : at + (have * self.bits + 7) // 8], have, self.bits)[start - first * self.block :][:n]
+        at = self.offsets(first, last - first + 1)
+        raw = self._bytes(int(at[0]), int(at[-1] - at[0]) + ((have - (last - first) * self.block) * self.bits + 7) // 8)
+        whole = self.block * self.bits % 8 == 0  # blocks without padding between them unpack as one
+        if whole:
+            out = unpack(raw, have, self.bits)
+        else:
+            parts = [(int(a - at[0]), min(self.block, have - i * self.block)) for i, a in enumerate(at)]
+            out = np.concatenate([unpack(raw[a : a + (m * self.bits + 7) // 8], m, self.bits) for a, m in parts])
+        return out[start - first * self.block :][:n]
 
 
 class Writer:
@@ -91,8 +114,9 @@ class Writer:
             self.out.write(raw)
             self.bytes += len(raw)
 
-    def add(self, doc_ids: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> None:
-        self.docs.append(np.stack([doc_ids, self.tokens + bounds[:-1], np.diff(bounds)], axis=1).astype("<i8"))
+    def add(self, doc_ids: np.ndarray, ids: np.ndarray, bounds: np.ndarray, has: np.ndarray | None = None) -> None:
+        has = np.ones(len(doc_ids), np.int64) if has is None else has
+        self.docs.append(np.stack([doc_ids, has, self.tokens + bounds[:-1], np.diff(bounds)], axis=1).astype("<i8"))
         self.tokens += len(ids)
         ids = np.concatenate([self.rest, ids])
         whole = len(ids) // self.block * self.block
@@ -101,7 +125,7 @@ class Writer:
 
     def close(self) -> None:
         self._blocks(self.rest)
-        docs = np.concatenate(self.docs) if self.docs else np.zeros((0, 3), "<i8")
+        docs = np.concatenate(self.docs) if self.docs else np.zeros((0, 4), "<i8")
         self.out.write(docs.tobytes() + np.array(self.offsets, "<u8").tobytes())
         self.out.write(FOOTER.pack(self.bytes, self.tokens, len(docs), len(self.offsets), self.bits, self.block, MAGIC))
 
@@ -123,7 +147,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     file and renames it when whole, so retried tasks leave one complete file. Returns one row per
     file (part, n_docs, n_tokens), computed when an action runs.
     """
-    vocabulary, files = tokenizer_path(tokenizer), files or store.partitions(docs.sparkSession)
+    vocabulary = tokenizer_path(tokenizer)
+    files = files or max(store.partitions(docs.sparkSession), -(-store.stored_bytes(docs) // FILE_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -137,43 +162,63 @@ def write_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
             w = Writer(out, bits)
             for batch in batches:
                 for piece in slices(batch, limit=TOKEN_SLICE_BYTES):
-                    ids = piece.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                    w.add(ids, *with_end(*e.encode(piece.column("text")), end_id))
+                    named = piece.column("doc_id")
+                    ids = named.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    w.add(ids, *with_end(*e.encode(piece.column("text")), end_id), named.is_valid().to_numpy(zero_copy_only=False).astype(np.int64))
             w.close()
         where.move(hidden, f"{base}/part-{part:05d}.bin")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sum(map(len, w.docs))], pa.int64()), pa.array([w.tokens], pa.int64())], ["part", "n_docs", "n_tokens"])
 
-    ordered = store.texts(docs).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]  # the hash spreads the rows of a repeated or missing doc_id over files
+    ordered = store.texts(docs).repartitionByRange(files, *order).sortWithinPartitions(*order)
     return ordered.mapInArrow(write, "part int, n_docs long, n_tokens long")
 
 
-def read_files(spark, path: str, sizes: dict[int, int]) -> DataFrame:
-    """One row per document of the files; ``sizes`` has each part's tokens (one number per file)."""
-    starts, total = {}, 0
-    for part in sorted(sizes):
-        starts[part], total = total, total + sizes[part]
+def _crcs(r: Reader, at: np.ndarray, n: np.ndarray) -> list[int]:
+    """The checksum of each document's ids; neighbours are unpacked together, a long one in parts."""
+    out, i = [], 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(at + n, at[i] + READ_TOKENS, "right")))
+        if n[i] > READ_TOKENS:
+            crc = 0
+            for s in range(0, int(n[i]), READ_TOKENS):
+                crc = zlib.crc32(np.ascontiguousarray(r.ids(int(at[i]) + s, min(READ_TOKENS, int(n[i]) - s))), crc)
+            out.append(crc)
+        else:
+            ids = memoryview(np.ascontiguousarray(r.ids(int(at[i]), int(at[j - 1] + n[j - 1] - at[i])))).cast("B")
+            out += [zlib.crc32(ids[4 * a : 4 * (a + b)]) for a, b in zip((at[i:j] - at[i]).tolist(), n[i:j].tolist(), strict=True)]
+        i = j
+    return out
+
+
+def read_files(spark, path: str, files: list[tuple[int, int, int]]) -> DataFrame:
+    """One row per document of the files, given as (part, n_docs, n_tokens); a task reads up to READ_DOCS documents by their places."""
+    wanted, total = [], 0
+    for part, n_docs, n_tokens in sorted(files):
+        wanted.append((part, n_docs, total))
+        total += n_tokens
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(path)
         for batch in batches:
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                r = Reader(raw.as_buffer())
-                first = starts[int(name.rpartition("part-")[2].split(".")[0])]
-                doc, at, n = r.docs.T
-                crc = np.zeros(len(doc), np.int64)
-                for i in range(0, len(doc), 4096):
-                    s, e = int(at[i]), int(at[min(i + 4095, len(doc) - 1)] + n[min(i + 4095, len(doc) - 1)])
-                    ids = memoryview(np.ascontiguousarray(r.ids(s, e - s))).cast("B")
-                    crc[i : i + 4096] = [zlib.crc32(ids[4 * (a - s) : 4 * (a - s + b)]) for a, b in zip(at[i : i + 4096].tolist(), n[i : i + 4096].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first + at), pa.array(n), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for part, begin, before in zip(*(batch.column(c).to_pylist() for c in ("part", "begin", "before")), strict=True):
+                with where.open_input_file(f"{base}/part-{part:05d}.bin") as source:
+                    r = Reader(source)
+                    doc, has, at, n = r.docs(begin, READ_DOCS).T
+                    crc = _crcs(r, at, n)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=has == 0), pa.array(before + at), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.bin").load(path)
-    return found.select("path", "content").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    table = spark.createDataFrame(wanted, "part int, n_docs long, before long").filter("n_docs > 0")  # a row per file
+    ranges = table.select("part", "before", F.explode(F.expr(f"sequence(0L, n_docs - 1, {READ_DOCS}L)")).alias("begin"))
+    dealt = ranges.repartition(max(1, min(sum(-(-n // READ_DOCS) for _, n, _ in files), 4 * store.partitions(spark))), "part", "begin")
+    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def packed_round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     """Write all documents as packed files in the shared folder and describe every document as read back."""
     spark = docs.sparkSession
     path = store.made(spark, store.new_path(spark, "tokens"))
-    sizes = {r.part: r.n_tokens for r in write_files(docs, path, tokenizer, end_id).collect()}
-    out = read_files(spark, path, sizes)
-    return out.withColumn("doc_id", F.expr("nullif(doc_id, -1L)"))
+    files = [(r.part, r.n_docs, r.n_tokens) for r in write_files(docs, path, tokenizer, end_id).collect()]  # a row per file
+    return read_files(spark, path, files)

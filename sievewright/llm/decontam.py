@@ -6,12 +6,12 @@ an occurrence shares at least m-Q+1-k*Q of them on diagonals that drift by at mo
 one of the overlapping bands of width 2k. Frequent grams may be left out of the index if the bound
 is lowered by their number. Bands that reach the bound are verified by alignment within the band.
 
-The items are a stated query set: they are dealt into blocks of at most ``BLOCK_CHARS`` characters
-(checked), each matched against all documents.
+The items are a stated query set: they reach the driver one after another and are cut into blocks of at most ``BLOCK_CHARS``
+characters (one longer item is a block of its own), each matched against all documents.
 
 Cases: null or empty items and texts match nothing; items too short for the lemma have a smaller
-budget (none below Q characters: these are searched exactly); repeated rows give repeated results; a
-null doc_id is kept; empty tables give no rows; other columns are ignored.
+budget (none below Q characters: these are searched exactly); repeated rows of either table give repeated results; a
+null doc_id or item_id is reported as null; empty tables give no rows; other columns are ignored by ``contaminated`` and kept by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ Q = 8
 EDIT_SHARE = 0.1
 BLOCK_CHARS = 4_000_000
 MAP_BITS = 22
+OUTSIDE = 0xFFFFFFFF  # no code point: equal to no character of an item
 
 
 def budget(m: int, share: float = EDIT_SHARE) -> int:
@@ -69,27 +70,30 @@ def grams(points: np.ndarray) -> np.ndarray:
     return mix(g)
 
 
-def edit_distance(item: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, int]:
-    """Least edits between the item and a substring of the region, with that substring's bounds."""
-    n = len(region)
-    row, origin, ramp = np.zeros(n + 1, np.int32), np.arange(n + 1), np.arange(n + 1)
-    for c in item:
-        across = row[:-1] + (region != c)
-        down = row[1:] + 1
-        step = np.empty(n + 1, np.int32)
-        step[0] = row[0] + 1
-        step[1:] = np.minimum(across, down)
-        source = np.empty(n + 1, np.int64)
-        source[0] = origin[0]
-        source[1:] = np.where(across <= down, origin[:-1], origin[1:])
-        level = step - ramp
+FAR = 1 << 29
+
+
+def edit_distance(item: np.ndarray, region: np.ndarray, width: int, most: int) -> tuple[int, int, int]:
+    """Least edits between the item and a substring of the region, with that substring's bounds.
+
+    Only diagonals 0..width are filled: place t of row i stands for the first i characters of the item
+    and an end at i + t in the region, which has len(item) + width characters (padded where the text ends).
+    """
+    ramp = np.arange(width + 1)
+    row, origin = np.zeros(width + 1, np.int64), ramp.copy()
+    for i, c in enumerate(item):
+        across = row + (region[i : i + width + 1] != c)
+        down = np.append(row[1:] + 1, FAR)
+        source = np.where(across <= down, origin, np.append(origin[1:], 0))
+        level = np.minimum(across, down) - ramp
         lowest = np.minimum.accumulate(level)
-        first = np.maximum.accumulate(np.where((level == lowest) & np.concatenate([[True], level[1:] < lowest[:-1]]), ramp, 0))
-        row, origin = (lowest + ramp).astype(np.int32), source[first]
+        new = np.ones(width + 1, bool)
+        new[1:] = level[1:] < lowest[:-1]
+        row, origin = lowest + ramp, source[np.maximum.accumulate(np.where(new, ramp, 0))]
         if row.min() > most:
             return most + 1, 0, 0
     end = int(row.argmin())
-    return int(row[end]), int(origin[end]), end
+    return int(row[end]), int(origin[end]), len(item) + end
 
 
 class Matcher:
@@ -181,29 +185,36 @@ class Matcher:
             p, k, w = self.items[n][1], int(self.k[n]), max(1, int(self.k[n]))
             if (r, n) in best and best[r, n][0] == 0:
                 continue
-            lo = int(rows[r]) + int(band[i]) * w - (1 << 40)
-            a, b = max(int(rows[r]), lo - k), min(int(rows[r + 1]), lo + 2 * w + len(p) + k)
-            region = text[a:b]
+            a = int(rows[r]) + int(band[i]) * w - (1 << 40) - k  # the text's place on the band's first diagonal
+            b = a + len(p) + 2 * w + 2 * k
+            left, right = max(int(rows[r]), a), min(int(rows[r + 1]), b)
+            region = text[left:right]
             exact = region.tobytes().find(p.tobytes())
             if exact >= 0 and exact % 4 == 0:
-                offer(r, n, 0, a + exact // 4, a + exact // 4 + len(p))
+                offer(r, n, 0, left + exact // 4, left + exact // 4 + len(p))
             elif k:
-                edits, s, e = edit_distance(p, region, k)
+                edits, s, e = edit_distance(p, np.pad(region, (left - a, b - right), constant_values=OUTSIDE), 2 * w + 2 * k, k)
                 if edits <= k:
-                    offer(r, n, edits, a + s, a + e)
+                    offer(r, n, edits, max(left, a + s), min(right, a + e))
         return self._out(best)
 
     def _out(self, best: dict) -> list[tuple[int, int, int, int, int]]:
         return [(r, self.items[n][0], *span) for (r, n), span in sorted(best.items())]
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The query set in blocks whose size is checked before they reach the driver."""
+def _blocks(items: DataFrame, key: str, text: str, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
+    """The query set in blocks of at most ``most`` characters, partition after partition; one block if it is empty."""
     rows = items.select(F.col(key).cast("bigint").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    chars = rows.agg(F.sum(F.length("t") + 16)).first()[0] or 0
-    n = max(1, -(-int(chars) // BLOCK_CHARS))
-    for b in range(n):
-        yield sorted((r.i, r.t) for r in rows.filter(F.pmod(F.xxhash64("i"), F.lit(n)) == b).collect() if r.i is not None)
+    block, chars, some = [], 0, False
+    for r in rows.toLocalIterator():
+        if block and chars + len(r.t) + 16 > most:
+            yield block
+            block, chars = [], 0
+        some = True
+        block.append((r.i, r.t))
+        chars += len(r.t) + 16
+    if block or not some:
+        yield block
 
 
 def contaminated(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE, key: str = "item_id", text: str = "text") -> DataFrame:

@@ -3,11 +3,17 @@
 ``append`` writes arrivals as small immutable Parquet shards. ``compact`` merges, in one job per tier, every tier with
 ``fan_in`` or more shards (of similar size: a tier spans a factor ``fan_in``) into files of up to ``target_bytes``; whole
 files are packed into tasks by Spark's scan, so nothing is shuffled. Files of half the target or more are final. Each
-step commits a manifest version: its table is written first, then its marker is renamed into place without
-overwriting, so of two writers of one version one fails and readers only see whole versions.
+step commits a manifest version: a table of the shards it adds and removes is written first, then its marker is renamed into
+place without overwriting. Of two writers of one version one fails and commits again on top of the other: an append as it
+is, a compaction only if its shards are still there. Every ``CHECKPOINT`` versions a marker also names a table of all
+live shards, so a version is read from one such table and at most ``CHECKPOINT`` deltas. Readers only see whole versions.
+
+Nothing is deleted but by ``vacuum``: it drops versions that are neither among the latest ``keep`` nor young enough, and the shards that
+only these name. Folders no version ever named, such as another writer's work before its commit, are left alone.
 
 Cases: nulls in any column, empty and long texts and repeated rows are stored as they are; an empty arrival commits a version
-without new shards; clashing column names cannot arise, a shard has the columns of the arrival.
+without new shards; clashing column names cannot arise, a shard has the columns of the arrival; a version that was never
+committed or is vacuumed raises ``LookupError``.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from __future__ import annotations
 import contextlib
 import json
 import math
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -26,7 +33,10 @@ from sievewright.llm import store
 TARGET_BYTES = 128 << 20
 SMALL_BYTES = 1 << 20
 FAN_IN = 4
+CHECKPOINT = 16
+MERGE_FILES = 10_000  # files merged by one job; the rest of a tier takes the next
 MANIFEST = "path string, bytes long, n_rows long, arrival int"
+DELTA = "added boolean, " + MANIFEST
 
 
 @contextlib.contextmanager
@@ -59,36 +69,85 @@ class ShardStore:
         found = fs.globStatus(hadoop.Path(f"{self.path}/_commits/v*"))
         return sorted(int(s.getPath().getName()[1:]) for s in found) if found else []
 
-    def manifest(self, version: int | None = None) -> DataFrame:
-        """The shards of a version (the latest if not named)."""
-        known = self.versions()
-        version = version if version is not None else (known[-1] if known else None)
-        if version is None:
-            return self.spark.createDataFrame([], MANIFEST)
+    def _marker(self, version: int) -> dict:
         hadoop, fs = self._fs()
         stream = fs.open(hadoop.Path(f"{self.path}/_commits/v{version:08d}"))
         try:
-            where = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["manifest"]
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return self.spark.read.schema(MANIFEST).parquet(where)
 
-    def _commit(self, shards: DataFrame) -> int:
-        """Write the manifest's table, then put its marker in place unless someone else did."""
+    def manifest(self, version: int | None = None) -> DataFrame:
+        """The shards of a version (the latest if not named)."""
+        known = self.versions()
+        if version is None and not known:
+            return self.spark.createDataFrame([], MANIFEST)
+        version = known[-1] if version is None else version
+        if version not in known:
+            raise LookupError(f"version {version} is not in the store")
+        deltas, whole = [], None
+        while whole is None:
+            marker = self._marker(version)
+            whole = marker.get("whole")
+            if whole is None:
+                deltas.append(marker["delta"])
+                version -= 1
+        live = self.spark.read.schema(MANIFEST).parquet(whole)
+        if not deltas:
+            return live
+        changed = self.spark.read.schema(DELTA).parquet(*deltas)
+        gone = changed.filter("not added").select("path")
+        return live.unionByName(changed.filter("added").drop("added")).join(gone, "path", "left_anti").select(*live.columns)
+
+    def _commit(self, added: DataFrame, removed: DataFrame | None = None, at: int | None = None) -> int:
+        """Write the delta, then put its marker in place as version ``at`` (the next one) unless someone else did."""
         known = self.versions()
-        version, tag = (known[-1] + 1 if known else 0), uuid.uuid4().hex[:12]
+        version, tag = (known[-1] + 1 if known else 0) if at is None else at, uuid.uuid4().hex[:12]
         where = f"{self.path}/_manifests/v{version:08d}-{tag}"
-        shards.select("path", "bytes", "n_rows", "arrival").coalesce(1).write.parquet(where)
+        delta = added.select(F.lit(True).alias("added"), "path", "bytes", "n_rows", "arrival")
+        if removed is not None:
+            delta = delta.unionByName(removed.select(F.lit(False).alias("added"), "path", "bytes", "n_rows", "arrival"))
+        delta.write.parquet(where)
+        marker = {"version": version, "delta": where, "time": time.time()}
+        if version % CHECKPOINT == 0:
+            changed = self.spark.read.schema(DELTA).parquet(where)
+            before = self.manifest(version - 1) if version else self.spark.createDataFrame([], MANIFEST)
+            live = before.unionByName(changed.filter("added").drop("added")).join(changed.filter("not added").select("path"), "path", "left_anti")
+            marker["whole"] = f"{where}-whole"
+            live.select("path", "bytes", "n_rows", "arrival").write.parquet(marker["whole"])
+        self._put(f"v{version:08d}", marker)
+        return version
+
+    def _put(self, name: str, marker: dict, over: bool = False) -> None:
         hadoop, fs = self._fs()
         fs.mkdirs(hadoop.Path(f"{self.path}/_commits"))
-        hidden, final = hadoop.Path(f"{self.path}/_commits/.{tag}"), hadoop.Path(f"{self.path}/_commits/v{version:08d}")
+        hidden, final = hadoop.Path(f"{self.path}/_commits/.{uuid.uuid4().hex}"), hadoop.Path(f"{self.path}/_commits/{name}")
         out = fs.create(hidden, True)
-        out.write(bytearray(json.dumps({"version": version, "manifest": where}).encode()))
+        out.write(bytearray(json.dumps(marker).encode()))
         out.close()
         gateway, jvm = self.spark.sparkContext._gateway, self.spark.sparkContext._jvm
-        never = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(hidden, final, never)
-        return version
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(rename, int(over))
+        if over:
+            how[0] = rename.OVERWRITE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(hidden, final, how)
+        except Exception as e:
+            fs.delete(hidden, False)
+            if "FileAlreadyExists" in str(e):
+                raise FileExistsError(f"{name} already exists: another writer committed it") from e
+            raise
+
+    def _committed(self, added: DataFrame, removed: DataFrame | None = None) -> int | None:
+        """Commit, again on top of others' versions where these came first; None if shards to remove are gone by then."""
+        while True:
+            known = self.versions()
+            if removed is not None and removed.join(self.manifest(), "path", "left_anti").limit(1).count():
+                return None
+            try:
+                return self._commit(added, removed, known[-1] + 1 if known else 0)
+            except FileExistsError:
+                continue
 
     def _shards(self, where: str, arrival: int, schema) -> DataFrame:
         """Path, bytes and rows of the files just written; only file metadata is read."""
@@ -100,7 +159,7 @@ class ShardStore:
     def append(self, rows: DataFrame) -> int:
         where, known = f"{self.path}/data/a-{uuid.uuid4().hex[:12]}", self.versions()
         rows.write.parquet(where)
-        return self._commit(self.manifest().unionByName(self._shards(where, len(known), rows.schema)))
+        return self._committed(self._shards(where, known[-1] + 1 if known else 0, rows.schema))
 
     def tier(self, size: int) -> int:
         """Tier of a file size; the last tier is final."""
@@ -108,41 +167,60 @@ class ShardStore:
             return 1 << 10
         return int(math.log(max(1.0, size / self.small), self.fan_in))
 
+    def _due(self) -> list:
+        """The shards of the least tier that is due, at most MERGE_FILES; only counts by tier and these reach the driver."""
+        bounds = [self.small * self.fan_in**t for t in range(1, 64) if self.small * self.fan_in**t < self.target // 2]
+        tier = F.lit(0)
+        for n, size in enumerate(bounds, 1):
+            tier = F.when(F.col("bytes") >= size, n).otherwise(tier)
+        open_ = self.manifest().filter(F.col("bytes") < self.target // 2).withColumn("tier", tier)
+        due = [r.tier for r in open_.groupBy("tier").count().filter(F.col("count") >= self.fan_in).orderBy("tier").limit(1).collect()]
+        return open_.filter(F.col("tier") == due[0]).orderBy("arrival", "path").limit(MERGE_FILES).drop("tier").collect() if due else []
+
     def compact(self, schema) -> int | None:
         """Merge every tier that is due, smallest first, each in one job and one commit; the last version made."""
         done = None
-        while True:
-            shards = self.manifest().collect()  # one row per file, as Spark's own file index
-            tiers: dict[int, list] = {}
-            for s in shards:
-                tiers.setdefault(self.tier(s.bytes), []).append(s)
-            due = sorted(t for t, files in tiers.items() if t < 1 << 10 and len(files) >= self.fan_in)
-            if not due:
-                return done
-            files = tiers[due[0]]
+        while files := self._due():
             where = f"{self.path}/data/c-{uuid.uuid4().hex[:12]}"
             with settings(self.spark, spark__sql__files__maxPartitionBytes=str(self.target), spark__sql__files__openCostInBytes="0", spark__sql__files__minPartitionNum="1"):
                 self.spark.read.schema(schema).parquet(*[f.path for f in files]).write.parquet(where)
             merged = self._shards(where, max(f.arrival for f in files), schema)
-            gone = {f.path for f in files}
-            kept = [tuple(s) for s in shards if s.path not in gone]
-            rest = self.spark.createDataFrame(kept, MANIFEST) if kept else None
-            before = len(shards)
-            done = self._commit(merged.unionByName(rest) if rest is not None else merged)
-            self.vacuum()
-            if self.manifest().count() >= before:
+            version = self._committed(merged, self.spark.createDataFrame([tuple(f) for f in files], MANIFEST))
+            done = done if version is None else version
+            if version is not None and merged.count() >= len(files):
                 return done  # nothing became fewer: files cannot be packed any tighter
+        return done
 
-    def vacuum(self) -> None:
-        """Delete data folders that the latest version no longer names."""
-        live = {r.path.rpartition("/")[0].rpartition("/")[2] for r in self.manifest().select("path").collect()}
+    def vacuum(self, keep: int = 10, age: float = 7 * 24 * 3600) -> list[int]:
+        """Drop versions older than ``age`` seconds that are not among the latest ``keep``, and shards only they name; the versions dropped."""
+        known = self.versions()
+        markers = {v: self._marker(v) for v in known}
+        kept = [v for v in known if v in known[-max(1, keep) :] or time.time() - markers[v]["time"] < age]
+        kept = known[known.index(kept[0]) :] if kept else known  # versions stay without gaps
+        dropped = [v for v in known if v < kept[0]] if kept else []
+        if not dropped:
+            return []
         hadoop, fs = self._fs()
-        for s in fs.listStatus(hadoop.Path(f"{self.path}/data")):
-            if s.getPath().getName() not in live:
-                fs.delete(s.getPath(), True)
+        named = None  # all shards the dropped versions name; those of the first kept version and later additions stay
+        for v in dropped:
+            added = self.spark.read.schema(DELTA).parquet(markers[v]["delta"]).filter("added").select("path")
+            if "whole" in markers[v]:
+                added = added.unionByName(self.spark.read.schema(MANIFEST).parquet(markers[v]["whole"]).select("path"))
+            named = added if named is None else named.unionByName(added)
+        dead = named.distinct().join(self.manifest(kept[0]).select("path"), "path", "left_anti")
+        paths = [r.path for r in dead.toLocalIterator()]
+        if "whole" not in markers[kept[0]]:  # the first version that stays must be readable by itself
+            whole = f"{markers[kept[0]]['delta']}-whole"
+            self.manifest(kept[0]).write.mode("overwrite").parquet(whole)
+            self._put(f"v{kept[0]:08d}", markers[kept[0]] | {"whole": whole}, over=True)
+        for v in dropped:
+            fs.delete(hadoop.Path(f"{self.path}/_commits/v{v:08d}"), False)
+        for path in paths:
+            fs.delete(hadoop.Path(path), False)
+        return dropped
 
     def read(self, schema, version: int | None = None) -> DataFrame:
-        paths = [r.path for r in self.manifest(version).select("path").collect()]
+        paths = [r.path for r in self.manifest(version).select("path").collect()]  # one row per file, as Spark's own file index
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
 

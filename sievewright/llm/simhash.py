@@ -9,13 +9,20 @@ only a spanning forest of its links, never all pairs. Lists above ``LIST_ROWS``
 positions (five in all, in every way) and, where still long, by a quarter of the other 24 bits: three different bits leave
 one quarter the same. Neither loses a link, and a list so refined has 18 free bits, 2**18 distinct fingerprints at most.
 
+``similar_documents`` is the same search for texts of a given similarity (five-word shingles, 0.8): 3 bits of 64 would be far too
+strict for it, so a fingerprint has ``LANES`` times 64 bits, and two are linked if so few bits differ as the
+angle of that similarity makes likely. No number of whole bytes is guaranteed then; of the 64 byte triples ``SPREAD`` no
+two share more than one byte, and a link is found if the pair shares one of them (README has the measured shares).
+
 Cases: null text counts as empty; texts without words have fingerprint zero and link like any other;
 repeated rows share everything; a null doc_id takes part but never names a component, unless alone (then the
-component is null); an empty table gives no rows; other columns are ignored.
+component is null); an empty table gives no rows; other columns are ignored. ``keep_one_of_each`` keeps of each group the row with the
+smallest doc_id (null last), of several such the one with the least SHA-256 of its text, then the first by the JSON of all columns.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import store
-from sievewright.llm.bytes import LOWER, flat, joined, slices, words
+from sievewright.llm.bytes import LOWER, flat, joined, mix, slices, words
 
 SHINGLE = 3
 SEED = 42
@@ -37,36 +44,46 @@ TRIPLES = [t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half
 FIVES = list(combinations(range(8), 5))
 
 
-def fingerprints(column) -> np.ndarray:
-    """Unsigned 64-bit fingerprints of a string column."""
+LANES = 4
+# Byte positions of wide fingerprints, all differences distinct within and between the two patterns.
+SPREAD = [tuple((i + d) % (8 * LANES) for d in pattern) for pattern in ((0, 1, 3), (0, 4, 9)) for i in range(8 * LANES)]
+
+
+def fingerprints(column, shingle: int = SHINGLE, lanes: int = 1) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of a string column, one column of them for each lane (a single one is flat)."""
     data, bounds = flat(column)
     data = LOWER[data]
     starts, ends, rows = words(data, bounds)
     text, _, at = joined(data, starts, ends, rows)
     count = np.diff(rows)
-    made = np.where(count == 0, 0, np.maximum(1, count - SHINGLE + 1))
+    made = np.where(count == 0, 0, np.maximum(1, count - shingle + 1))
     first = np.concatenate([[0], np.cumsum(made)])
     doc = np.repeat(np.arange(len(count)), made)
     begin = rows[:-1][doc] + np.arange(first[-1]) - first[doc]
-    last = np.minimum(begin + SHINGLE - 1, rows[1:][doc] - 1)
+    last = np.minimum(begin + shingle - 1, rows[1:][doc] - 1)
     length = ends - starts
     a, b = at[begin], at[last] + length[last]
-    h = xxhash.xxh64_digest
-    raw = b"".join([h(text[i:j], SEED) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
-    out = np.zeros(len(count), np.uint64)
-    if not raw:
-        return out
-    # bit counts: bytes of up to 255 rows are added eight at a time inside one machine word
+    h = xxhash.xxh64_intdigest
+    hashed = np.fromiter((h(text[i:j], SEED) for i, j in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a))
+    out = np.zeros((len(count), lanes), np.uint64)
+    for lane in range(lanes if len(hashed) else 0):
+        own = mix(hashed + np.uint64(lane * 0x9E3779B97F4A7C15 & (2**64 - 1))) if lane else hashed
+        out[:, lane] = np.packbits(2 * _bit_sums(own, doc, len(count)) > made[:, None], axis=1).view(">u8").ravel()
+    return out[:, 0] if lanes == 1 else out
+
+
+def _bit_sums(hashed: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """How often each bit is set in each row's hashes: bytes of up to 255 rows are added eight at a time inside one machine word."""
     step = 1 << 15
-    totals = np.zeros((len(count), 64), np.int64)
-    for s in range(0, first[-1], step):
-        e = min(s + step, int(first[-1]))
-        lanes = np.unpackbits(np.frombuffer(raw, np.uint8)[8 * s : 8 * e].reshape(-1, 8), axis=1).view(np.uint64)
+    totals = np.zeros((n, 64), np.int64)
+    raw = hashed.astype(">u8").view(np.uint8).reshape(-1, 8)
+    for s in range(0, len(hashed), step):
+        e = min(s + step, len(hashed))
+        lanes = np.unpackbits(raw[s:e], axis=1).view(np.uint64)
         own = doc[s:e]
         cuts = np.union1d(np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), np.arange(0, e - s, 255))
         np.add.at(totals, own[cuts], np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).reshape(len(cuts), 64))
-    bits = 2 * totals > made[:, None]
-    return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+    return totals
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
@@ -138,28 +155,19 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     spark, lists = nodes.sparkSession, posting_lists(nodes)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if not whole:
-            return
-        table = pa.Table.from_batches(whole)
-        key, fp = (table.column(c).to_numpy() for c in ("key", "fp"))
-        order = np.argsort(key, kind="stable")
-        key, fp = key[order], fp[order].view(np.uint64)
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(at, len(key)))
-        a, b = [], []
-        for s in at[size == 2].tolist():
-            a.append(s), b.append(s + 1)
-        if a:
-            two = np.array([a, b])
-            two = two[:, np.bitwise_count(fp[two[0]] ^ fp[two[1]]) <= bits]
+        for table in store.whole_keys(batches, "key"):
+            key, fp = table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(at, len(key)))
+            two = at[size == 2]
+            two = np.stack([two, two + 1])[:, np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
             a, b = two[0].tolist(), two[1].tolist()
-        for s, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            for i, j in forest(fp[s : s + n], bits):
-                a.append(s + i), b.append(s + j)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64), pa.int64()), pa.array(fp[b].view(np.int64), pa.int64())], ["a", "b"])
+            for s, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                for i, j in forest(fp[s : s + n], bits):
+                    a.append(s + i), b.append(s + j)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64), pa.int64()), pa.array(fp[b].view(np.int64), pa.int64())], ["a", "b"])
 
-    dealt = lists.select("fp", "key").repartition(store.partitions(spark), "key").mapInArrow(match, "a long, b long")
+    dealt = lists.select("fp", "key").repartition(store.partitions(spark), "key").sortWithinPartitions("key").mapInArrow(match, "a long, b long")
     return dealt.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -168,19 +176,30 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round writes its tables to the shared folder; hash-like node values make the rounds few (logarithmic).
     """
-    both = store.written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
+    spark, made = edges.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(store.new_path(spark, name))
+        df.write.parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    both = kept(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
     roots = None
     while both.limit(1).count():
-        parent = store.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), "parents")
+        old = list(made)
+        parent = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), "parents")
         if roots is None:
             roots = parent.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:
             moved = roots.join(parent.withColumnRenamed("u", "root"), "root", "left")
             roots = moved.select("node", F.coalesce("p", "root").alias("root"))
-        roots = store.written(roots, "roots")
+        roots = kept(roots, "roots")
         lower = both.join(parent, "u").select(F.col("p").alias("a"), "v")
         lower = lower.join(parent.select(F.col("u").alias("v"), F.col("p").alias("b")), "v").filter("a <> b")
-        both = store.written(lower.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
+        both = kept(lower.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "edges")
+        for path in old:  # the last round's tables are no longer read
+            store.remove(spark, path)
+            made.remove(path)
     return roots if roots is not None else both.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -196,8 +215,97 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return once.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component the document with the smallest doc_id, with all its columns."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")))
-    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
+def _wide(docs: DataFrame, shingle: int) -> DataFrame:
+    """k and sha of every row, its doc_id, and a fingerprint of LANES * 8 bytes."""
+    k, sha = store.row_key()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch):
+                raw = fingerprints(rows.column("text"), shingle, LANES).astype(">u8").tobytes()
+                fps = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * LANES), rows.num_rows, [None, pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*map(rows.column, ("k", "sha", "doc_id")), fps], ["k", "sha", "doc_id", "fp"])
+
+    shaped = store.texts(docs).select("doc_id", "text", k.alias("k"), sha.alias("sha"))
+    return shaped.mapInArrow(run, "k string, sha string, doc_id long, fp binary")
+
+
+def _wide_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """As ``forest`` for rows of LANES words; lists above LIST_ROWS are searched by every further byte in turn."""
+    n = len(fps)
+    if n > LIST_ROWS:
+        out, raw = [], fps.view(np.uint8).reshape(n, -1)
+        for p in range(raw.shape[1]):
+            order = np.argsort(raw[:, p], kind="stable")
+            cuts = np.flatnonzero(np.diff(raw[order, p])) + 1
+            if len(cuts):  # a byte that all share splits nothing
+                for part in np.split(order, cuts):
+                    out += [(int(part[i]), int(part[j])) for i, j in _plain_forest(fps[part], most)]
+        return out if out else _plain_forest(fps, most)
+    return _plain_forest(fps, most)
+
+
+def _plain_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    out, rest = [], np.arange(len(fps))
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            differ = fps[rest] ^ fps[i]
+            shared = (differ.view(np.uint8).reshape(len(rest), -1) == 0).sum(axis=1)
+            maybe = np.flatnonzero(shared >= 3)  # the count filter: one triple at least
+            near = maybe[np.bitwise_count(differ[maybe]).sum(axis=1) <= most]
+            out += [(i, int(j)) for j in rest[near]]
+            queue += rest[near].tolist()
+            rest = np.delete(rest, near)
+    return out
+
+
+def most_bits(similarity: float, bits: int = 64 * LANES) -> int:
+    """Bits that differ at a Jaccard similarity of shingles: the angle of their vectors over half a turn."""
+    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per document: k and sha (its row's key), doc_id, fp, and root, which all documents joined by links share."""
+    spark, most = docs.sparkSession, most_bits(similarity)
+    once = store.written(_wide(docs, shingle), "wide-fingerprints")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 12):
+                fps = batch.column("fp").slice(at, 1 << 12)
+                raw = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(len(fps), -1).astype(np.int64)
+                keys = [(n << 24) | (raw[:, a] << 16) | (raw[:, b] << 8) | raw[:, c] for n, (a, b, c) in enumerate(SPREAD)]
+                for some in keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(some), fps], ["key", "fp"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in store.whole_keys(batches, "key"):
+            key = table.column("key").to_numpy()
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(at, len(key)))
+            raw = table.column("fp").to_pylist()
+            fps = np.frombuffer(b"".join(raw), "<u8").reshape(len(raw), -1)
+            two = at[size == 2]
+            two = np.stack([two, two + 1])[:, np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1) <= most]
+            a, b = two[0].tolist(), two[1].tolist()
+            for s, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                for i, j in _wide_forest(fps[s : s + n], most):
+                    a.append(s + i), b.append(s + j)
+            yield pa.RecordBatch.from_arrays([pa.array([raw[i] for i in a], pa.binary()), pa.array([raw[i] for i in b], pa.binary())], ["a", "b"])
+
+    postings = once.select("fp").distinct().mapInArrow(post, "key long, fp binary")
+    dealt = postings.repartition(store.partitions(spark), "key").sortWithinPartitions("key").mapInArrow(match, "a binary, b binary")
+    roots = components(dealt.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    joined_ = once.join(roots, once["fp"] == roots["node"], "left")
+    return joined_.select("k", "sha", "doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of each group of similar documents one row, with all its columns."""
+    rows = store.written(similar_documents(docs, shingle, similarity), "similar")
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "sha")
+    first = rows.groupBy("root").agg(F.min(place).alias("first")).select("root", F.col("first.doc_id").alias("d"), F.col("first.sha").alias("s"))
+    decided = rows.join(first, "root").select("k", "sha", (F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s"))).alias("kept"))
+    return store.only_kept(docs, decided)

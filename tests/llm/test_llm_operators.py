@@ -5,12 +5,14 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from sievewright.llm import bitpack, decontam, exact, licences, packing, quality, secrets, shards, simhash, store, substrings
 from sievewright.llm.tokens import encoder, tokenizer_path
@@ -87,8 +89,11 @@ def test_substring_hash_collision_is_caught(awkward, monkeypatch):
 # tokens, packed files, packing
 
 
+FRESH = Tokenizer.from_file(tokenizer_path())
+
+
 def ids_of(text, end):
-    return encoder(tokenizer_path()).tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
+    return FRESH.encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def test_tokens_equal_the_library():
@@ -118,22 +123,23 @@ def test_packed_reader_random_access(tmp_path):
         w.add(np.array([7]), ids[300:], np.array([0, 700]))
         w.close()
     r = bitpack.Reader((tmp_path / "x").read_bytes())
-    assert r.docs.tolist() == [[5, 0, 100], [6, 100, 200], [7, 300, 700]]
+    assert r.docs().tolist() == [[5, 1, 0, 100], [6, 1, 100, 200], [7, 1, 300, 700]] and r.docs(1, 1).tolist() == [[6, 1, 100, 200]]
     for a, n in ((0, 1000), (63, 2), (64, 64), (999, 1), (500, 0), (130, 333)):
         assert np.array_equal(r.ids(a, n), ids[a : a + n])
 
 
 def packed_rows(rows):
     out, at = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):  # rows of one doc_id here are equal
         ids = np.array(ids_of(t, 2), "<u4")
         out.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     return out
 
 
-def test_packed_files(docs, rows, awkward, empty):
-    for frame, given in ((docs, rows), (awkward, AWKWARD)):
+def test_packed_files(spark, docs, rows, awkward, empty):
+    special = [(-1, "<|endoftext|>"), (None, "a <|endoftext|> b"), (2, "end<|endoftext|>begin"), (-(1 << 63), "low"), ((1 << 63) - 1, "high")]
+    for frame, given in ((docs, rows), (awkward, AWKWARD), (spark.createDataFrame(special, "doc_id long, text string"), special)):
         got = sorted(map(tuple, bitpack.packed_round_trip(frame).collect()), key=lambda r: r[1])
         assert got == packed_rows(given)
     assert bitpack.packed_round_trip(empty).count() == 0
@@ -162,29 +168,40 @@ def check_packing(got, rows, capacity):
 
 def test_packing(spark, docs, rows, awkward, empty):
     used, least = check_packing(packing.pack_sequences(docs).collect(), rows, 2048)
-    assert used <= least * 1.05 + 1
-    check_packing(packing.pack_sequences(awkward, group_pieces=3).collect(), AWKWARD, 2048)
+    assert used == len(plain_best_fit([n for r in packing.pieces(docs, 2048).collect() for n in [r.length]], 2048)) and used <= least * 1.05 + 1
+    special = [(-1, "<|endoftext|>"), (None, "a <|endoftext|> b"), (2, "end<|endoftext|>begin")] + AWKWARD
+    frame = spark.createDataFrame(special, "doc_id long, text string")
+    check_packing(packing.pack_sequences(frame, capacity=64).collect(), special, 64)
+    assert packing.pack_sequences(awkward).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     without_id = [(None, f"{n} words here") for n in range(300)]
-    placed = packing.pack_sequences(spark.createDataFrame(without_id, "doc_id long, text string"), group_pieces=30).collect()
-    check_packing(placed, without_id, 2048)
-    assert len({r.sequence_id >> 32 for r in placed}) > 5  # one missing doc_id is no hot group
+    check_packing(packing.pack_sequences(spark.createDataFrame(without_id, "doc_id long, text string")).collect(), without_id, 2048)
     assert packing.pack_sequences(empty).count() == 0
 
 
-def test_best_fit_matches_plain_search():
-    lengths = np.random.default_rng(5).integers(1, 101, 400)
-    bins, offsets = packing.best_fit(lengths, 100)
+def plain_best_fit(lengths, capacity):
     rooms = []
-    for n in sorted(lengths.tolist(), reverse=True):
+    for n in sorted(lengths, reverse=True):
         fits = [i for i, r in enumerate(rooms) if r >= n]
         if fits:
             rooms[min(fits, key=lambda i: rooms[i])] -= n
         else:
-            rooms.append(100 - n)
-    used = Counter()
-    for b, n in zip(bins.tolist(), lengths.tolist(), strict=True):
-        used[b] += n
-    assert sorted(100 - v for v in used.values()) == sorted(rooms)
+            rooms.append(capacity - n)
+    return rooms
+
+
+@pytest.mark.parametrize("capacity, n", [(100, 400), (7, 300), (1000, 200)])
+def test_best_fit_matches_plain_search(capacity, n):
+    lengths = np.random.default_rng(5).integers(1, capacity + 1, n).tolist()
+    counts, used = Counter(lengths), defaultdict(set)
+    runs = sorted(packing.best_fit(counts, capacity))
+    for length, count in counts.items():
+        for i in range(count):
+            _, done, first, each, offset = [r for r in runs if r[0] == length and r[1] <= i][-1]
+            at = offset + (i - done) % each * length
+            places = set(range(at, at + length))
+            assert not places & used[first + (i - done) // each] and max(places) < capacity
+            used[first + (i - done) // each] |= places
+    assert sorted(capacity - len(v) for v in used.values()) == sorted(plain_best_fit(lengths, capacity))
 
 
 # exact duplicates
@@ -202,6 +219,7 @@ def test_exact(docs, rows, awkward, empty):
             want[i, keep, len(groups[t or ""]), i == keep, hashlib.sha256((t or "").encode()).hexdigest()] += 1
         assert Counter(map(tuple, exact.exact_duplicates(frame).collect())) == want
     assert exact.exact_duplicates(empty).count() == 0
+    assert exact.keep_one_copy(empty).count() == 0
     left = exact.keep_one_copy(awkward)
     assert left.columns == awkward.columns
     assert sorted((r.text or "") for r in left.collect()) == sorted({t or "" for _, t in AWKWARD})
@@ -217,6 +235,40 @@ def test_chunks_join_to_the_text_and_are_content_defined(spark):
     assert max(len(c) for chunks in got for c in chunks) <= exact.CHUNK_MAX
 
 
+CLASHING = "doc_id long, text string, k string, sha string, kept boolean, place int, _key string, fp string, root string, n int"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, "k", "sha", False, 9, f"mine {n % 2}", "fp", "root", 5) for n, (i, t) in enumerate(rows)], CLASHING)
+
+
+def test_exact_keeps_whole_rows(spark):
+    given = AWKWARD + [(8, AWKWARD[7][1]), (11, AWKWARD[11][1]), (None, "only here"), (None, "only here"), (20, "x"), (20, "y")]
+    got = exact.keep_one_copy(clashing(spark, given)).collect()
+    ids = {}
+    for i, t in given:
+        ids[t or ""] = max(ids.get(t or "", -1), -1 if i is None else i)
+    assert Counter((r.doc_id, r.text or "") for r in got) == Counter((None if i < 0 else i, t) for t, i in ids.items())
+    assert all((r.k, r.sha, r.kept, r.place, r.fp, r.root, r.n) == ("k", "sha", False, 9, "fp", "root", 5) for r in got)
+    assert {r._key for r in got if r.text == AWKWARD[7][1]} == {"mine 0" if any(n % 2 == 0 for n, (i, t) in enumerate(given) if (i, t) == (8, AWKWARD[7][1])) else "mine 1"}
+
+
+@pytest.mark.parametrize("most", [1000, 3])
+def test_clashing_chunk_identifiers_are_told_apart(spark, docs, rows, monkeypatch, most):
+    monkeypatch.setattr(exact, "identifier", lambda c: F.pmod(F.xxhash64(c), F.lit(16)))
+    monkeypatch.setattr(exact, "CLASH_LIST", most)
+    groups = Counter(t or "" for _, t in rows)
+    assert {r.doc_id: r.group_size for r in exact.exact_duplicates(docs).collect()} == {i: groups[t or ""] for i, t in rows}
+
+
+def test_chunks_fall_in_step_again_after_an_insertion(spark):
+    rng = random.Random(2)
+    base64, han = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(60000)), "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(60000))
+    for body in (base64, han, " ".join(base64[i : i + 7] for i in range(0, 60000, 7))):
+        a, b = (r[0] for r in spark.createDataFrame([(body,), ("+" + body,)], "t string").select(exact.chunks(F.col("t"))).collect())
+        assert "".join(a) == body and len(set(a) & set(b)) > 0.8 * len(a)
+
+
 # quality
 
 
@@ -368,7 +420,63 @@ def test_simhash(docs, rows, awkward, empty):
     assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == by_hand(rows)
     assert Counter(map(tuple, simhash.near_duplicates(awkward).collect())) == by_hand(AWKWARD)
     assert simhash.near_duplicates(empty).count() == 0
-    assert simhash.keep_one_of_each(awkward).columns == awkward.columns
+    assert simhash.keep_one_of_each(awkward).columns == awkward.columns and simhash.keep_one_of_each(empty).count() == 0
+
+
+def wide_groups(rows, shingle=5, similarity=0.8):
+    """Groups of rows whose wide fingerprints are linked, by comparing all pairs, with the triples the index knows."""
+    fps = simhash.fingerprints(pa.array([t or "" for _, t in rows]), shingle, simhash.LANES).astype(">u8").view(np.uint8).reshape(len(rows), -1)
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = fps[i] == fps[j]
+            if np.bitwise_count(fps[i] ^ fps[j]).sum() <= simhash.most_bits(similarity) and any(same[list(t)].all() for t in simhash.SPREAD):
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
+def kept_rows(rows):
+    best = {}
+    for (i, t), g in zip(rows, wide_groups(rows), strict=True):
+        key = (i is None, i or 0, hashlib.sha256((t or "").encode()).hexdigest())
+        best[g] = min(best.get(g, (key, i, t)), (key, i, t), key=lambda x: x[0])
+    return Counter((i, t or "") for _, i, t in best.values())
+
+
+def test_one_of_each_group_stays(spark, docs, rows, monkeypatch):
+    assert Counter((r.doc_id, r.text or "") for r in simhash.keep_one_of_each(docs).collect()) == kept_rows(rows)
+    long = " ".join(f"w{n * n % 997}" for n in range(400))
+    given = AWKWARD + [(3, long), (8, "quite another text"), (8, long + " more"), (None, long + " end"), (None, "alone"), (None, "alone"), (50, long)]
+    got = simhash.keep_one_of_each(clashing(spark, given)).collect()
+    assert Counter((r.doc_id, r.text or "") for r in got) == kept_rows(given)
+    assert (3, long) in {(r.doc_id, r.text) for r in got} and sum((r.text or "").startswith(long) for r in got) == 1
+    assert all((r.k, r.sha, r.kept, r.place, r.fp, r.root, r.n) == ("k", "sha", False, 9, "fp", "root", 5) for r in got)
+
+
+def test_long_wide_lists_lose_no_group(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (30, 4), dtype=np.uint64)
+    fps = np.repeat(base, 10, axis=0)
+    for _ in range(20):
+        fps ^= np.uint64(1) << rng.integers(0, 64, fps.shape, dtype=np.uint64) * np.uint64(rng.integers(0, 2))
+    fps = np.ascontiguousarray(fps)
+
+    def groups(links):
+        at = list(range(len(fps)))
+        for _ in range(20):
+            for i, j in links:
+                at[i] = at[j] = min(at[i], at[j])
+        return at
+
+    whole = groups(simhash._wide_forest(fps, 38))
+    monkeypatch.setattr(simhash, "LIST_ROWS", 20)
+    assert groups(simhash._wide_forest(fps, 38)) == whole
 
 
 def planted(n, seed):
@@ -439,9 +547,9 @@ def plain(t):
     return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-def test_decontamination(spark, awkward, empty):
+def test_decontamination(spark, awkward, empty, monkeypatch):
     rng = random.Random(4)
-    items = [(i, " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(6, 14)))) for i in range(12)] + [(90, "short"), (91, ""), (92, None)]
+    items = [(i, " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(6, 14)))) for i in range(12)] + [(90, "short"), (91, ""), (92, None), (None, "this one has no id but is in a text word for word")]
     rows = []
     for n in range(120):
         i, t = rng.choice(items[:12])
@@ -450,7 +558,7 @@ def test_decontamination(spark, awkward, empty):
             at = rng.randrange(len(t))
             rng.choice([lambda t=t, at=at: t.__setitem__(at, "x"), lambda t=t, at=at: t.insert(at, "y"), lambda t=t, at=at: t.pop(at)])()
         rows.append((n, "Leading WORDS here \n " + "".join(t).upper() + "  trailing words"))
-    rows += [(1000, None), (1001, ""), (1002, "a short one"), (1003, "nothing of the kind here at all")]
+    rows += [(1000, None), (1001, ""), (1002, "a short one"), (1003, "nothing of the kind here at all"), (1004, "x this ONE has no id but is in a text word for word y")]
     frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(frame, bench).collect()}
     want = {}
@@ -467,6 +575,13 @@ def test_decontamination(spark, awkward, empty):
         span = plain(dict(rows)[d][r.start : r.end])
         assert least_edits(plain(dict(items)[i]).strip(), span) == r.edits
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(awkward, bench.limit(0)).count() == 0
+    assert got[1004, None].edits == 0
+    both = spark.createDataFrame([(5, "a b c d e f g h i j k l m n"), (5, "a b c d e f g h i j k l m n"), (None, "same word same word same word"), (7, None), (8, "z" * 300)], "item_id long, text string")
+    hits = Counter((r.doc_id, r.item_id) for r in decontam.contaminated(awkward, both).collect())
+    assert hits == Counter({(7, 5): 2, (6, 5): 2, (8, 5): 4, (None, 5): 2, (11, None): 1, (13, None): 1, (12, 8): 1})
+    assert decontam.keep_clean(awkward, both).count() == len(AWKWARD) - 8
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 100)
+    assert {(r.doc_id, r.item_id): r for r in decontam.contaminated(frame, bench).collect()} == got
     clean = decontam.keep_clean(frame, bench)
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
@@ -496,15 +611,65 @@ def test_shards(spark, docs, awkward, empty, tmp_path):
 def test_a_version_is_committed_once(spark, docs, tmp_path):
     one = shards.ShardStore(spark, f"file://{tmp_path}/s")
     one.append(docs.limit(10))
-    two = shards.ShardStore(spark, f"file://{tmp_path}/s")
-    two.versions = lambda: []  # a writer that has not seen the first version
-    with pytest.raises(Exception, match="(?i)exist"):
-        two._commit(one.manifest())
+    with pytest.raises(FileExistsError):
+        one._commit(one.manifest(), at=0)
     assert one.manifest().count() > 0 and one.versions() == [0]
 
 
-def test_shared_folder_is_read_from_the_session(spark):
-    assert store.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+def test_two_writers_lose_nothing_and_versions_stay(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "CHECKPOINT", 3)
+    one, two = (shards.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, fan_in=2) for _ in range(2))
+    parts = [docs.filter(F.col("doc_id") % 6 == n) for n in range(6)]
+    counts, real = [], shards.ShardStore.versions
+    for n in range(0, 6, 2):
+        one.append(parts[n])
+        counts.append(parts[n].count())
+        stale = [one.versions()[:-1]]
+        two.versions = lambda: stale.pop() if stale else real(two)  # has not seen the last version yet
+        two.append(parts[n + 1])
+        counts.append(parts[n + 1].count())
+    assert one.versions() == list(range(6)) and one.read(docs.schema).count() == docs.count()
+    open_reader, late = one.read(docs.schema, 5), f"{tmp_path}/s/data/a-uncommitted"
+    docs.limit(5).write.parquet(f"file://{late}")
+    last = one.compact(docs.schema)
+    assert last and open_reader.count() == docs.count() and one.manifest().count() < one.manifest(5).count()
+    for v in range(6):
+        assert one.read(docs.schema, v).count() == sum(counts[: v + 1])
+    assert one.vacuum(keep=1) == [] and one.vacuum(keep=1, age=0) == list(range(last))
+    assert one.read(docs.schema).count() == docs.count() and spark.read.parquet(f"file://{late}").count() == 5
+    with pytest.raises(LookupError):
+        one.read(docs.schema, 0)
+    one.append(docs.limit(3))
+    assert one.read(docs.schema).count() == docs.count() + 3
+
+
+def test_a_compaction_that_lost_its_shards_is_dropped(spark, docs, tmp_path):
+    one = shards.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, fan_in=2)
+    for n in range(2):
+        one.append(docs.limit(20).coalesce(1))
+    mine = one.manifest().collect()
+    assert one._committed(one.manifest().limit(1), spark.createDataFrame([("gone.parquet", 1, 1, 0)], shards.MANIFEST)) is None
+    assert sorted(one.manifest().collect()) == sorted(mine)
+
+
+def test_shared_folder():
+    def session(master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=conf.get), sparkContext=SimpleNamespace(master=master))
+
+    assert store.shared_dir(session("spark://far:7077", **{"spark.checkpoint.dir": "file:///shared/folder/"})) == "file:///shared/folder"
+    assert store.shared_dir(session("local[4]")).startswith("file:///")
+    for cluster in ("spark://far:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            store.shared_dir(session(cluster))
+
+
+def test_work_tables_of_a_scope_are_removed(spark, docs):
+    with store.scope(spark):
+        store.written(docs.limit(3), "inner")
+        path = store._scopes[-1][-1]
+        assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
 
 
 def test_letter_only_keys_are_found_and_compounds_are_not(spark):

@@ -4,7 +4,7 @@ import corpus_pipeline as P
 
 from sievewright.llm import decontam, quality
 
-from test_llm_operators import SF, by_hand, check_packing  # noqa: F401
+from test_llm_operators import SF, check_packing, kept_rows
 
 
 def test_stages(spark):
@@ -21,7 +21,7 @@ def test_stages(spark):
     assert {r.doc_id for r in once.collect()} == set(last.values()) and once.columns == columns
     apart = P.near_dedup(spark, once, SF).cache()
     rows = [(r.doc_id, r.text) for r in once.collect()]
-    assert {r.doc_id for r in apart.collect()} == {d for d, _, c in by_hand(rows) if d == c} and apart.columns == columns
+    assert {r.doc_id for r in apart.collect()} == {d for d, _ in kept_rows(rows)} and apart.columns == columns
     clean = P.decontaminate(spark, apart, SF).cache()
     found = {r.doc_id for r in decontam.contaminated(apart, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in apart.collect()} - found and clean.columns == columns
