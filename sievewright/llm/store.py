@@ -100,8 +100,8 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]
 def only_kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows whose key (k, sha) is ``kept`` in ``decided``, with all their columns; of rows with one key the least by the JSON of all columns.
 
-    ``decided`` has a row for every row of ``docs``. Only keys are compared: Spark broadcasts them where their
-    written size allows and shuffles otherwise. Rows with one key are first reduced in each task.
+    ``decided`` has a row for every row of ``docs``. The join is a merge join at every size, so the rows are moved once and nothing
+    is broadcast. Rows with one key are first reduced in each task.
     """
     keys = decided.groupBy("k", "sha").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
     keys = written(keys.filter(~F.col("kept") | (F.col("n") > 1)), "keys")
@@ -109,7 +109,7 @@ def only_kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
     keyed = docs.withColumns(dict(zip((k, sha), row_key(), strict=True)))
 
     def on(some: DataFrame, how: str) -> DataFrame:
-        return keyed.join(some.select(F.col("k").alias(k), F.col("sha").alias(sha)), [k, sha], how)
+        return keyed.join(some.select(F.col("k").alias(k), F.col("sha").alias(sha)).hint("merge"), [k, sha], how)
 
     out = on(keys, "left_anti").select(*_columns(docs))
     if not keys.filter("kept").limit(1).count():
