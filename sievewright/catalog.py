@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import cells, mercator, patterns, urls
-from sievewright.operators import clean, generate, incremental, profile, quality, records, tables
+from sievewright.operators import clean, documents, generate, incremental, pages, profile, quality, records, tables
 from sievewright.operators.clean import ROW
-from sievewright.plans.config import Constraint, Fallback, FieldSpec, Generate, Op
+from sievewright.plans.config import Constraint, Fallback, FieldSpec, Generate, Op, Task
+from sievewright.plans.task import build
 from sievewright.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,7 +177,12 @@ def repair(name: str, sql: str, column: str, constraint: Constraint, fallback: F
 
 
 repair("fb_default", f"SELECT event_id, CASE WHEN gap = '' THEN 'unset' ELSE gap END AS repaired FROM {EVENTS}", "gap", Constraint("non_null"), Fallback("truncate", default="unset"))
-repair("fb_regex_extract", r"SELECT p_partkey, CASE WHEN regexp_extract(p_name, '[a-m]+z') <> '' THEN p_name ELSE p_name END AS repaired FROM part", "p_name", Constraint("regex", pattern="[a-m]+z", mode="search"), source=plain("part", "p_partkey"), key="p_partkey")
+@query("fb_regex_extract", r"SELECT p_partkey, CASE WHEN regexp_extract(p_brand, '[13]+') <> '' THEN regexp_extract(p_brand, '[13]+') ELSE p_brand END AS repaired FROM part")
+def fb_regex_extract(spark, sf_dir):
+    spec = FieldSpec("p_brand", constraints=(Constraint("regex", pattern="(?P<all>[13]+)"), Constraint("regex", pattern="[13]+", mode="search")), fallback=Fallback("truncate"))
+    return quality.enforce(plain("part", "p_partkey")(spark, sf_dir), spec).select("p_partkey", F.col("p_brand").alias("repaired"))
+
+
 repair("fb_length_cut", "SELECT doc_id, text[1:40] AS repaired FROM documents", "text", Constraint("length", max_length=40), source=plain("documents", "doc_id"), key="doc_id")
 repair("fb_length_pad", "SELECT event_id, rpad(event_type, CAST(greatest(length(event_type), 9) AS INTEGER), '.') AS repaired FROM events", "event_type", Constraint("length", min_length=9, pad_char="."))
 repair("fb_range_clamp", "SELECT o_orderkey, least(greatest(o_custkey, 10), 100) || '' AS repaired FROM orders", "o_custkey", Constraint("range", min_value=10, max_value=100), source=plain("orders", "o_orderkey"), key="o_orderkey")
@@ -274,16 +280,16 @@ def layout_union(spark, sf_dir):
 # incremental collection
 
 
-@query("inc_left_anti", "SELECT event_id, user_id FROM events e WHERE ts >= TIMESTAMP '2024-01-15' AND NOT EXISTS (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-15' AND s.user_id = e.user_id)")
+@query("inc_left_anti", "SELECT event_id, user_id FROM events e WHERE ts >= TIMESTAMP '2024-01-15' AND NOT EXISTS (SELECT 1 FROM events s WHERE s.ts < TIMESTAMP '2024-01-15' AND s.user_id = e.user_id AND s.user_id % 3 <> 0)")
 def inc_left_anti(spark, sf_dir):
     e, cut = table(spark, sf_dir, "events"), F.lit("2024-01-15").cast("timestamp_ntz")
-    return incremental.unseen(e.filter(F.col("ts") >= cut), e.filter(F.col("ts") < cut), "user_id").select("event_id", "user_id")
+    return incremental.unseen(e.filter(F.col("ts") >= cut), e.filter((F.col("ts") < cut) & (F.col("user_id") % 3 != 0)), "user_id").select("event_id", "user_id")
 
 
-@query("inc_upsert_first", "WITH s AS (SELECT user_id FROM events WHERE event_id % 2 = 0), n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_id % 2 = 1) SELECT user_id, event_id FROM n WHERE k = 1 AND user_id NOT IN (SELECT user_id FROM s)")
+@query("inc_upsert_first", "WITH s AS (SELECT user_id FROM events WHERE event_id % 2 = 0 AND user_id % 3 <> 0), n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_id % 2 = 1) SELECT user_id, event_id FROM n WHERE k = 1 AND user_id NOT IN (SELECT user_id FROM s)")
 def inc_upsert_first(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id")
-    return incremental.insert_or_ignore(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "user_id", ["event_id"])[0]
+    return incremental.insert_or_ignore(e.filter("event_id % 2 = 0 AND user_id % 3 <> 0"), e.filter("event_id % 2 = 1"), "user_id", ["event_id"])[0]
 
 
 @query("inc_cumulative_key", "SELECT page_id, sha256(url) AS key, sha256('url:' || url) AS sink_key FROM pages")
@@ -312,11 +318,12 @@ def inc_overlay(spark, sf_dir):
     return incremental.overlaid(n, over, "n_nationkey")
 
 
-@query("inc_selected_or_whole", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 0 UNION ALL SELECT r_regionkey, r_name FROM region")
+@query("inc_selected_or_whole", "SELECT 'none' AS way, r_regionkey AS n_nationkey, r_name AS n_name FROM region UNION ALL SELECT 'some', n_nationkey, n_name FROM nation WHERE n_nationkey % 3 = 1")
 def inc_selected_or_whole(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     whole = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name"))
-    return incremental.with_fallback(n, n.filter("n_nationkey < 0"), "n_nationkey", whole)
+    ways = [incremental.with_fallback(n, n.filter(f), "n_nationkey", whole).withColumn("way", F.lit(w)) for w, f in (("none", "n_nationkey < 0"), ("some", "n_nationkey % 3 = 1"))]
+    return ways[0].unionByName(ways[1])
 
 
 # tables
@@ -415,11 +422,52 @@ def json_flatten(spark, sf_dir):
     return records.flattened(table(spark, sf_dir, "events"), "event_id", "props").select("event_id", "pointer", "depth", "type")
 
 
-@query("json_diff", "SELECT event_id, '/added' AS pointer, 'added' AS change FROM events WHERE event_id % 2 = 0")
+@query("json_diff", """SELECT event_id, '/added' AS pointer, 'added' AS change FROM events WHERE event_id % 4 = 0 UNION ALL SELECT event_id, '/k', 'removed' FROM events WHERE event_id % 4 = 1
+    UNION ALL SELECT event_id, '/k', 'changed' FROM events WHERE event_id % 4 = 2""")
 def json_diff(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "props")
-    more = e.withColumn("props", F.when(F.col("event_id") % 2 == 0, F.regexp_replace("props", r"\}\s*$", ', "added": {"deep": [1]}}')).otherwise(F.col("props")))
-    return records.json_diff(records.flattened(e, "event_id", "props"), records.flattened(more, "event_id", "props"), "event_id").select("event_id", "pointer", "change")
+    nth = F.col("event_id") % 4
+    new = F.when(nth == 0, F.regexp_replace("props", r"\}\s*$", ', "added": {"deep": [1]}}')).when(nth == 1, F.lit("{}")).when(nth == 2, F.regexp_replace("props", r"\d+", '"$0"')).otherwise(F.col("props"))
+    return records.json_diff(records.flattened(e, "event_id", "props"), records.flattened(e.withColumn("props", new), "event_id", "props"), "event_id").select("event_id", "pointer", "change")
+
+
+ITEMS = "'{\"b\": {\"y\": [1, {\"q\": 2, \"p\": null}], \"x\": \"' || event_type || '\"}, \"items\": [{\"price\": ' || (event_id % 50) || ', \"title\": \"t' || event_id || '\"}, {\"price\": ' || (event_id % 7) || ', \"title\": \"=1+1\"}], \"a\": ' || user_id || '}'"
+
+
+def json_documents(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.expr(ITEMS).alias("doc"))
+
+
+def asked(name: str, path: str, sql: str) -> None:
+    @query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return documents.json_query(json_documents(spark, sf_dir), "event_id", "doc", path).select("event_id", "nth", "pointer", "value", "n_matches")
+
+
+asked("json_path_member", "$.b.x", "SELECT event_id, CAST(0 AS INTEGER) AS nth, '/b/x' AS pointer, '\"' || event_type || '\"' AS value, CAST(1 AS INTEGER) AS n_matches FROM events")
+asked("json_path_slice", "$.items[-1:].price", "SELECT event_id, CAST(0 AS INTEGER) AS nth, '/items/1/price' AS pointer, CAST(event_id % 7 AS VARCHAR) AS value, CAST(1 AS INTEGER) AS n_matches FROM events")
+asked("json_path_descent", "$..price", "SELECT event_id, CAST(i AS INTEGER) AS nth, '/items/' || i || '/price' AS pointer, CAST(CASE WHEN i = 0 THEN event_id % 50 ELSE event_id % 7 END AS VARCHAR) AS value, CAST(2 AS INTEGER) AS n_matches FROM events, (SELECT unnest([0, 1]) AS i)")
+asked("json_path_filter", "$.items[?(@.price < 25 && @.title != '=1+1')].title", "SELECT event_id, CAST(0 AS INTEGER) AS nth, '/items/0/title' AS pointer, '\"t' || event_id || '\"' AS value, CAST(1 AS INTEGER) AS n_matches FROM events WHERE event_id % 50 < 25")
+
+
+@query("json_sort", """SELECT event_id, '{"a":' || user_id || ',"b":{"x":"' || event_type || '","y":[1,{"p":null,"q":2}]},"items":[{"price":' || (event_id % 50) || ',"title":"t' || event_id || '"},{"price":' || (event_id % 7) || ',"title":"=1+1"}]}' AS doc FROM events""")
+def json_sort(spark, sf_dir):
+    return json_documents(spark, sf_dir).select("event_id", documents.sorted_keys(F.col("doc")).alias("doc"))
+
+
+@query("json_minify", f"SELECT event_id, replace(replace({ITEMS}, ': ', ':'), ', ', ',') AS doc FROM events")
+def json_minify(spark, sf_dir):
+    return json_documents(spark, sf_dir).select("event_id", documents.minified(F.col("doc")).alias("doc"))
+
+
+@query("json_to_csv", """SELECT event_id, '"price","title"' || chr(13) || chr(10) || '"' || (event_id % 50) || '","t' || event_id || '"' || chr(13) || chr(10) || '"' || (event_id % 7) || '","''=1+1"' AS doc FROM events""")
+def json_to_csv(spark, sf_dir):
+    return json_documents(spark, sf_dir).select("event_id", documents.converted(F.get_json_object("doc", "$.items"), "csv").alias("doc"))
+
+
+@query("json_to_lines", """SELECT event_id, CAST(i AS INTEGER) AS nth, CASE WHEN i = 0 THEN '{"price":' || (event_id % 50) || ',"title":"t' || event_id || '"}' ELSE '{"price":' || (event_id % 7) || ',"title":"=1+1"}' END AS line FROM events, (SELECT unnest([0, 1]) AS i)""")
+def json_to_lines(spark, sf_dir):
+    return documents.json_lines(json_documents(spark, sf_dir).withColumn("doc", F.get_json_object("doc", "$.items")), "event_id", "doc")
 
 
 # triples
@@ -443,9 +491,13 @@ def triples(spark, sf_dir):
     return records.distinct_triples(out.unionByName(out))
 
 
-@query("graph_triples", "SELECT (SELECT count(*) FROM region) * 2 + (SELECT count(*) FROM nation) + (SELECT count(DISTINCT s_suppkey) FROM supplier) + (SELECT count(*) FROM (SELECT DISTINCT s_suppkey, s_nationkey FROM supplier)) AS n")
+@query("graph_triples", """SELECT 'http://example.org/region/' || r_regionkey AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'http://www.w3.org/2002/07/owl#Class' AS o FROM region
+    UNION ALL SELECT 'http://example.org/region/' || r_regionkey, 'http://www.w3.org/2000/01/rdf-schema#label', r_name FROM region
+    UNION ALL SELECT 'http://example.org/nation/' || n_nationkey, 'http://www.w3.org/2000/01/rdf-schema#subClassOf', 'http://example.org/region/' || n_regionkey FROM nation
+    UNION ALL SELECT DISTINCT 'http://example.org/supplier/' || s_suppkey, 'http://example.org/in', 'http://example.org/nation/' || s_nationkey FROM supplier
+    UNION ALL SELECT DISTINCT 'http://example.org/supplier/' || s_suppkey, 'http://example.org/at', 'http://example.org/place' FROM supplier""")
 def graph_triples(spark, sf_dir):
-    return triples(spark, sf_dir).agg(F.count("*").alias("n"))
+    return triples(spark, sf_dir).select("s", "p", "o")
 
 
 @query("graph_kind", """SELECT 'http://example.org/region/' || r_regionkey AS node, 'class' AS kind FROM region UNION ALL SELECT 'http://example.org/nation/' || n_nationkey, 'class' FROM nation
@@ -521,7 +573,9 @@ def sample_even(spark, sf_dir):
     return records.even_sample(table(spark, sf_dir, "documents"), "doc_id", 37).select("doc_id")
 
 
-@query("sample_quota")
+@query("sample_quota", """WITH s AS (SELECT lang AS stratum, count(*) AS n FROM documents GROUP BY lang), b AS (SELECT *, sum(n) OVER () AS total, greatest(1, floor(n * 100.0 / sum(n) OVER ())) AS base FROM s),
+    d AS (SELECT *, greatest(100 - sum(base) OVER (), 0) AS rest, coalesce(sum(n - base) OVER (ORDER BY n - base DESC, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+    SELECT stratum, n, CAST(CASE WHEN total <= 100 THEN n ELSE base + greatest(0, least(n - base, rest - before)) END AS BIGINT) AS quota FROM d""")
 def sample_quota(spark, sf_dir):
     return records.stratified_quota(records.region_sizes(table(spark, sf_dir, "documents"), ["lang"]).withColumnRenamed("lang", "stratum"), 100)
 
@@ -615,3 +669,120 @@ def formula_neutral(spark, sf_dir):
 def template_render(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", patterns.render("${p_name} (${p_brand}, ${p_size})", {c: clean.text_of(p, c) for c in p.columns}).alias("line"))
+
+
+# pages and collected records
+
+
+@query("page_headings", r"SELECT page_id, replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
+def page_headings(spark, sf_dir):
+    return pages.page_fields(table(spark, sf_dir, "pages"), [{"name": "title", "selector": "article > h1, h1"}])
+
+
+@query("page_links_first", "SELECT page_id, coalesce(regexp_extract(html, '<nav><ul><li><a href=\"([^\"]*)\"', 1), '') AS link, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS source FROM pages")
+def page_links_first(spark, sf_dir):
+    return pages.page_fields(table(spark, sf_dir, "pages"), [{"name": "link", "selector": "nav ul > li a[href]", "attribute": "href"}, "source"])
+
+
+@query("page_suggestions", "SELECT page_id, 'title' AS name, 'h1' AS selector, 'text' AS attribute FROM pages WHERE contains(html, '<h1') UNION ALL SELECT page_id, 'description', 'article p', 'text' FROM pages WHERE contains(html, '<p') UNION ALL SELECT page_id, 'content', 'article', 'text' FROM pages WHERE contains(html, '<article')")
+def page_suggestions(spark, sf_dir):
+    return pages.suggested_fields(table(spark, sf_dir, "pages"))
+
+
+@query("page_decoded", "SELECT doc_id, text FROM documents")
+def page_decoded(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", pages.decoded(F.col("text").cast("binary")).alias("text"))
+
+
+def found_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://d/"), F.col("page_id").cast("string"))).alias("detail_url"), F.when(F.col("page_id") % 3 > 0, F.lit(" T ")).alias("title"), F.lit(None).cast("string").alias("account"), F.lit("someone").alias("author"))
+
+
+@query("discovery_keys", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://d/' || page_id ELSE trim(url) END AS key, CASE WHEN page_id % 3 > 0 THEN 'wechat|someone|T|' WHEN page_id % 2 = 0 THEN 'https://d/' || page_id ELSE trim(url) END AS article_key FROM pages")
+def discovery_keys(spark, sf_dir):
+    p = found_pages(spark, sf_dir)
+    return p.select("page_id", pages.discovery_key(p).alias("key"), pages.discovery_key(p, "wechat").alias("article_key"))
+
+
+@query("selected_fields", "SELECT coalesce(CAST(p.page_id AS VARCHAR), '') AS page_id, CASE WHEN page_id % 3 > 0 THEN ' T ' ELSE '' END AS title, '' AS likes FROM pages p")
+def selected_fields(spark, sf_dir):
+    return pages.selected(found_pages(spark, sf_dir), ["page_id", " title", "likes", "title", ""])
+
+
+@query("comment_dedupe", """WITH c AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, role AS username, CASE WHEN turn % 2 = 0 THEN 'r' || (turn % 4) ELSE '' END AS id FROM conversations),
+    k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, CASE WHEN id <> '' THEN id ELSE username || '|' || text END ORDER BY turn) AS n FROM c WHERE text <> '') SELECT conv_id, turn, username, text FROM k WHERE n = 1""")
+def comment_dedupe(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.concat(F.lit("@"), "role").alias("username"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("r"), (F.col("turn") % 4).cast("string"))).otherwise("").alias("id"))
+    return pages.distinct_comments(c, ["conv_id"], "turn").select("conv_id", "turn", "username", "text")
+
+
+@query("fullest_candidate", """WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 2 = 0 THEN value END AS a, CASE WHEN event_id % 3 = 0 THEN event_type END AS b FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CAST(a IS NOT NULL AS INTEGER) + CAST(b IS NOT NULL AS INTEGER) DESC, event_id) AS n FROM e) SELECT user_id, event_id, b FROM r WHERE n = 1""")
+def fullest_candidate(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("a"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("b"))
+    return pages.fullest(e, "user_id", ["a", "b"], "event_id").select("user_id", "event_id", "b")
+
+
+@query("upload_dates", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') ELSE 'soon' END AS published, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE event_type END AS title FROM events")
+def upload_dates(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    given = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyyMMdd")).otherwise("soon")
+    return e.select("event_id", pages.upload_date(given).alias("published"), pages.filled(F.col("event_type"), F.when(F.col("event_id") % 3 == 0, "new").when(F.col("event_id") % 3 == 1, "")).alias("title"))
+
+
+@query("embedded_values", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN 'a \"' || event_type || '\" / b' END AS channel FROM events")
+def embedded_values(spark, sf_dir):
+    page = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit('<script>var d = {"x": 1, "ownerChannelName" : "a \\"'), "event_type", F.lit('\\" \\/ b"};</script>'))).otherwise("<p>none</p>")
+    return table(spark, sf_dir, "events").select("event_id", pages.embedded_value(page, "ownerChannelName").alias("channel"))
+
+
+@query("presentation_modes", "SELECT lang, count(*) AS sampled, CASE WHEN max(length(text)) > 240 THEN 'article' ELSE 'table' END AS mode FROM documents GROUP BY lang")
+def presentation_modes(spark, sf_dir):
+    return pages.presentation(table(spark, sf_dir, "documents").withColumnRenamed("text", "content"), "lang")
+
+
+@query("graph_short", """SELECT 'http://example.org/region/' || r_regionkey AS node, CAST(r_regionkey AS VARCHAR) AS short FROM region UNION ALL SELECT 'http://example.org/nation/' || n_nationkey, CAST(n_nationkey AS VARCHAR) FROM nation
+    UNION ALL SELECT DISTINCT 'http://example.org/supplier/' || s_suppkey, CAST(s_suppkey AS VARCHAR) FROM supplier UNION ALL SELECT 'http://example.org/place', 'place' UNION ALL SELECT 'http://www.w3.org/2002/07/owl#Class', 'owl:Class'""")
+def graph_short(spark, sf_dir):
+    return records.node_kinds(triples(spark, sf_dir)).select("node", records.short_uri(F.col("node")).alias("short"))
+
+
+@query("graph_visible", "SELECT n AS plain, n + (SELECT count(*) FROM region) AS with_types FROM (SELECT (SELECT count(*) FROM nation) + (SELECT count(DISTINCT s_suppkey) FROM supplier) + (SELECT count(*) FROM (SELECT DISTINCT s_suppkey, s_nationkey FROM supplier)) AS n)")
+def graph_visible(spark, sf_dir):
+    t = triples(spark, sf_dir)
+    return t.agg(F.count_if(~records.is_hidden()).alias("plain"), F.count_if(~records.is_hidden(meta_types=True)).alias("with_types"))
+
+
+@query("op_filter_large", "SELECT event_id FROM events WHERE event_id % 2 = 0")
+def op_filter_large(spark, sf_dir):
+    big = F.when(F.col("event_id") % 2 == 0, F.concat((F.col("event_id") + 1).cast("string"), F.lit("e25"))).otherwise("99999999999999999999999")
+    return clean.apply_op(events(spark, sf_dir).withColumn("big", big), Op(op="filter", field="big", condition="gt", value="100000000000000000000000")).select("event_id")
+
+
+@query("op_number_large", "SELECT event_id, '12,345,678,901,234,567,890,' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || '.00' AS big FROM events")
+def op_number_large(spark, sf_dir):
+    big = F.concat(F.lit("12345678901234567890"), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"))
+    return clean.apply_op(events(spark, sf_dir).withColumn("big", big), Op(op="number_format", field="big", decimals=2, thousands=True)).select("event_id", "big")
+
+
+@query("op_regex_named", r"SELECT p_partkey, regexp_replace(p_brand, '([A-Za-z]+)#?(\d+)', '\2-\1', 'g') AS p_brand FROM part")
+def op_regex_named(spark, sf_dir):
+    return clean.apply_op(plain("part", "p_partkey")(spark, sf_dir), Op(op="regex_replace", field="p_brand", pattern=r"(?P<word_>[A-Za-z]+)#?(?P<n>\d+)", replacement=r"\g<n>-\g<word_>")).select("p_partkey", "p_brand")
+
+
+@query("con_regex_linear", "SELECT event_id, 'regex' AS kind FROM events WHERE event_id % 4 <> 0")
+def con_regex_linear(spark, sf_dir):
+    long = F.concat(F.repeat(F.lit("a"), F.lit(60)), F.when(F.col("event_id") % 4 == 0, "b").otherwise("c"))
+    spec = FieldSpec("long", constraints=(Constraint("regex", pattern="(a|a)*b"),))
+    df = quality.marked(events(spark, sf_dir).withColumn("long", long), spec)
+    return df.select("event_id", quality.violation(df, spec).alias("kind")).filter("kind IS NOT NULL")
+
+
+@query("task_functions", "SELECT event_id, upper(event_type) || '!' AS event_type, '<' || user_id || '>' AS tag FROM events WHERE event_type <> 'view'")
+def task_functions(spark, sf_dir):
+    pre = {"name": "loud", "code": "def transform(row):\n    return {'event_type': row['event_type'].upper()}", "input_fields": ["event_type"], "output_fields": ["event_type"]}
+    post = {"name": "mark", "code": "def transform(columns):\n    return {'event_type': [v + '!' for v in columns['event_type']], 'tag': ['<' + v + '>' for v in columns['user_id']]}", "input_fields": ["event_type", "user_id"], "output_fields": ["event_type", "tag"], "phase": "post", "mode": "column"}
+    fields = tuple({"dest": n} for n in ("event_type", "user_id"))
+    task = Task("functions", fields=fields, ops=({"op": "filter", "field": "event_type", "condition": "in", "filter_values": ("VIEW",), "filter_action": "drop"},), functions=(pre, post))
+    source = events(spark, sf_dir).withColumn("user_id", F.col("user_id").cast("string"))
+    return build(task, source, observe=False).result.select("event_id", "event_type", "tag")

@@ -84,6 +84,14 @@ def to_decimal(c: Column) -> Column:
     return F.when(t.rlike(FLOAT) & ~t.rlike(r"(?i)nan|inf"), F.regexp_replace(t, "_", "").try_cast("decimal(38,18)"))
 
 
+def magnitudes(c: Column) -> tuple[Column, Column, Column]:
+    """A finite number as decimal(38,18), as a whole decimal(38,0) and as a double: to compare by the first that both sides have."""
+    t = strip(c.cast("string"))
+    plain, bare = t.rlike(FLOAT) & ~t.rlike(r"(?i)nan|inf"), F.regexp_replace(t, "_", "")
+    whole = F.when(t.rlike(INTEGER), bare.try_cast("decimal(38,0)"))
+    return to_decimal(c), whole, F.when(plain, bare.try_cast("double"))
+
+
 def to_integer(c: Column) -> Column:
     """Integer literal of any sign up to 38 digits, or a float that is whole (3.0, 1e3); else null."""
     t = strip(c.cast("string"))
@@ -151,7 +159,16 @@ def sliced(c: Column, start: int | None, end: int | None) -> Column:
 
 def number_text(c: Column, decimals: int | None, thousands: bool = False, kind: str = "float") -> Column:
     """Number rounded half up as text; null where the cell is not a finite number."""
-    value = to_decimal(c)
+    return F.coalesce(_number_text(to_decimal(c), decimals, thousands, kind), _number_text(_large(c), decimals, thousands, kind))
+
+
+def _large(c: Column) -> Column:
+    """A finite number too large for decimal(38,18), to its last whole digit, up to 38 digits."""
+    t = strip(c.cast("string"))
+    return F.when(t.rlike(FLOAT) & ~t.rlike(r"(?i)nan|inf"), F.regexp_replace(t, "_", "").try_cast("decimal(38,0)"))
+
+
+def _number_text(value: Column, decimals: int | None, thousands: bool, kind: str) -> Column:
     if decimals is None and kind != "int":
         out = F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
         if not thousands:
@@ -159,5 +176,10 @@ def number_text(c: Column, decimals: int | None, thousands: bool = False, kind:
         head = F.regexp_replace(F.split(out, r"\.")[0], r"(\d)(?=(\d{3})+$)", "$1,")
         return F.when(out.contains("."), F.concat(head, F.lit("."), F.split(out, r"\.").getItem(1))).otherwise(head)
     places = decimals or 0
-    rounded = F.round(value, places).cast(f"decimal(38,{places})")
-    return F.format_number(rounded, places) if thousands else rounded.cast("string")
+    rounded = F.round(value, places)
+    fits = rounded.try_cast(f"decimal(38,{places})")
+    text = F.coalesce(fits.cast("string"), F.concat(rounded.cast("string"), F.lit("." + "0" * places if places else "")))
+    if not thousands:
+        return text
+    head = F.regexp_replace(F.split(text, r"\.")[0], r"(\d)(?=(\d{3})+$)", "$1,")
+    return F.concat(head, F.when(text.contains("."), F.concat(F.lit("."), F.split(text, r"\.").getItem(1))).otherwise(""))

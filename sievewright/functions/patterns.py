@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,15 +47,15 @@ def write_time(ts: Column, fmt: str) -> Column:
     return F.date_format(ts, time_pattern(fmt, WRITE))
 
 
-def replacement(template: str, groups: int) -> str:
+def replacement(template: str, groups: int, names: dict[str, int] | None = None) -> str:
     r"""A ``\1`` style replacement as Java's; group numbers beyond the pattern's are refused."""
     out, i = [], 0
     while i < len(template):
         c = template[i]
         if c == "\\" and i + 1 < len(template):
-            n = re.match(r"\\(?:g<(\d+)>|(\d{1,2}))", template[i:])
+            n = re.match(r"\\(?:g<(\w+)>|(\d{1,2}))", template[i:])
             if n:
-                number = int(n[1] or n[2])
+                number = int(n[1] or n[2]) if (n[1] or n[2]).isdigit() else (names or {}).get(n[1], groups + 1)
                 if number > groups:
                     raise ValueError(f"replacement names group {number} of {groups}")
                 out.append(f"${number}")
@@ -78,6 +79,40 @@ def compiled(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
+def java(pattern: str) -> str:
+    """The pattern in Java's words: groups named the Python way by number, ``\Z`` as the very end."""
+    names = {n: f"g{k}" for n, k in re.compile(pattern).groupindex.items()}
+    out = re.sub(r"\\(?:Z|.)|\(\?P<(\w+)>|\(\?P=(\w+)\)", lambda m: f"(?<{names[m[1]]}>" if m[1] else f"\\k<{names[m[2]]}>" if m[2] else r"\z" if m[0] == r"\Z" else m[0], pattern, flags=re.S)
+    if re.search(r"(?<!\\)\(\?\((?:\d+|\w+)\)", out):
+        raise ValueError(f"pattern {pattern!r} has a conditional group, which Java lacks")
+    return out
+
+
+def ambiguous(pattern: str) -> bool:
+    """Whether a repeated group holds alternatives, so that backtracking may try every way through a text."""
+    return bool(re.search(r"\((?:[^()\\]|\\.)*\|(?:[^()\\]|\\.)*\)[+*{]", pattern))
+
+
+def matches(c: Column, pattern: str, mode: str = "fullmatch") -> Column:
+    """Whether the text matches. Patterns with repeated alternatives are matched in linear time by Arrow's RE2 if it knows them."""
+    if ambiguous(pattern):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        wanted = rf"\A(?:{pattern})\z" if mode == "fullmatch" else pattern
+        try:
+            pc.match_substring_regex(pa.array([""]), wanted)
+        except pa.ArrowInvalid:
+            pass  # looks around or back: Java's engine
+        else:
+            @F.pandas_udf("boolean")
+            def linear(texts: pd.Series) -> pd.Series:
+                return pc.match_substring_regex(pa.array(texts, pa.string()), wanted).to_pandas()
+
+            return linear(c)
+    return c.rlike(whole(java(pattern)) if mode == "fullmatch" else java(pattern))
+
+
 def whole(pattern: str) -> str:
     return rf"\A(?:{pattern})\z"
 

@@ -42,7 +42,7 @@ def _changed_text(df: DataFrame, op: Op) -> Column | None:
         case "replace":
             return F.replace(c, F.lit(op.pattern), F.lit(op.replacement))
         case "regex_replace":
-            return F.regexp_replace(c, op.pattern, patterns.replacement(op.replacement, patterns.compiled(op.pattern).groups))
+            return F.regexp_replace(c, patterns.java(op.pattern), patterns.replacement(op.replacement, patterns.compiled(op.pattern).groups, patterns.compiled(op.pattern).groupindex))
         case "slice":
             return cells.sliced(c, op.start, op.end)
     return None
@@ -56,9 +56,11 @@ def predicate(df: DataFrame, op: Op) -> Column:
     text = text_of(df, op.field)
     if op.condition in ("gt", "gte", "lt", "lte"):
         numeric = cells.is_number(_kind(df, op.field))
-        value = c.try_cast("decimal(38,18)") if numeric else cells.to_decimal(text)
-        limit = F.lit(Decimal(str(op.value))).cast("decimal(38,18)")
-        out = {"gt": value > limit, "gte": value >= limit, "lt": value < limit, "lte": value <= limit}[op.condition]
+        limit = F.lit(str(op.value).strip())
+        out = F.lit(None).cast("boolean")
+        for value, bound in reversed(list(zip(cells.magnitudes(c.cast("string") if numeric else text), cells.magnitudes(limit), strict=True))):
+            same = {"gt": value > bound, "gte": value >= bound, "lt": value < bound, "lte": value <= bound}[op.condition]
+            out = F.coalesce(same, out)
         out = out & F.lit(_kind(df, op.field) != "boolean")
     else:
         fold = (lambda s: s.casefold()) if op.ignore_case else (lambda s: s)

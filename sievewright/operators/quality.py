@@ -28,7 +28,7 @@ def violates(c: Column, k: Constraint, repeated: Column | None = None, dtype: st
             fold = (lambda s: s) if k.case_sensitive else (lambda s: s.lower())
             return ~(text if k.case_sensitive else F.lower(text)).isin(*[fold(v) for v in k.values])
         case "regex":
-            return ~text.rlike(patterns.whole(k.pattern) if k.mode == "fullmatch" else k.pattern)
+            return ~patterns.matches(text, k.pattern, k.mode)
         case "length":
             n, out = F.length(text), F.lit(False)
             out = out | (n < k.min_length) if k.min_length is not None else out
@@ -96,7 +96,7 @@ def repaired(c: Column, kind: Column, spec: FieldSpec, dtype: str = "string") ->
     value = F.when(kind == "non_null", F.lit(fb.default or "")).otherwise(value)
     for k in spec.constraints:
         if k.kind == "regex":
-            found = F.regexp_extract(text, k.pattern, 0) if k.mode == "search" else F.lit("")
+            found = F.regexp_extract(text, patterns.java(k.pattern), 0) if k.mode == "search" else F.lit("")
             value = F.when((kind == "regex") & (found != ""), found).otherwise(value)
             degraded = degraded | ((kind == "regex") & (found == ""))
         elif k.kind == "length":

@@ -339,3 +339,31 @@ def positional(left: DataFrame, right: DataFrame, by: str, a: str, b: str) -> Da
 
 def region_sizes(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+# Prefixes of common vocabularies, annotation predicates and types of the vocabulary itself.
+PREFIXES = {RDF: "rdf", RDFS: "rdfs", OWL: "owl", "http://www.w3.org/2001/XMLSchema#": "xsd", "http://www.w3.org/2004/02/skos/core#": "skos", "http://purl.org/dc/elements/1.1/": "dc", "http://purl.org/dc/terms/": "dcterms", "http://xmlns.com/foaf/0.1/": "foaf"}
+SKOS, DC, DCTERMS = "http://www.w3.org/2004/02/skos/core#", "http://purl.org/dc/elements/1.1/", "http://purl.org/dc/terms/"
+ANNOTATIONS = (
+    *(RDFS + n for n in ("label", "comment", "seeAlso", "isDefinedBy")), OWL + "versionInfo", OWL + "deprecated", *(SKOS + n for n in ("prefLabel", "altLabel", "definition", "note")),
+    *(space + n for space in (DC, DCTERMS) for n in ("title", "description", "creator")),
+)
+META_TYPES = (
+    RDF + "Property", RDFS + "Class", RDFS + "Resource", RDFS + "Datatype",
+    *(OWL + n for n in ("Class", "Ontology", "Thing", "Nothing", "ObjectProperty", "DatatypeProperty", "AnnotationProperty", "FunctionalProperty", "InverseFunctionalProperty", "TransitiveProperty", "SymmetricProperty", "AsymmetricProperty", "ReflexiveProperty", "IrreflexiveProperty", "Restriction", "NamedIndividual", "DeprecatedClass", "DeprecatedProperty")),
+)
+
+
+def short_uri(uri: Column) -> Column:
+    """The prefixed name of a known vocabulary, else the end of the URI; blank nodes as they are."""
+    short = F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(uri, "[/#]+$", ""), r"([^/#]*)\z", 1), F.lit("")), uri)
+    for space, prefix in reversed(PREFIXES.items()):
+        short = F.when(uri.startswith(space), F.concat(F.lit(prefix + ":"), F.substr(uri, F.lit(len(space) + 1)))).otherwise(short)
+    return F.when((uri == "") | uri.startswith("_:"), uri).otherwise(short)
+
+
+def is_hidden(literals: bool = False, annotations: bool = False, meta_types: bool = False) -> Column:
+    """Whether a graph view leaves a triple (p, o, resource) out: literals, annotations and the vocabulary's own types unless asked for."""
+    note = F.col("p").isin(*ANNOTATIONS)
+    meta = (F.col("p") == RDF + "type") & F.col("o").isin(*META_TYPES) | F.col("o").startswith("http://www.w3.org/2001/XMLSchema#")
+    return F.when(~F.col("resource"), F.when(note, F.lit(not annotations)).otherwise(F.lit(not literals))).otherwise(meta & F.lit(not meta_types))

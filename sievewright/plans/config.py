@@ -8,7 +8,7 @@ import json
 from dataclasses import dataclass, field
 from typing import Any
 
-from sievewright.functions.patterns import READ, WRITE, compiled, replacement, time_pattern
+from sievewright.functions.patterns import READ, WRITE, compiled, java, replacement, time_pattern
 
 OPS = ("trim", "lower", "upper", "nfkc", "replace", "regex_replace", "fill_null", "ffill", "cast", "date_format", "number_format", "slice", "concat", "drop_null", "filter", "dedupe")
 CONDITIONS = ("is_empty", "not_empty", "equals", "contains", "starts_with", "ends_with", "in", "gt", "gte", "lt", "lte")
@@ -59,7 +59,8 @@ class Op:
         if self.op == "replace" and not self.pattern:
             raise ConfigError("replace needs a pattern")
         if self.op == "regex_replace":
-            replacement(self.replacement, compiled(self.pattern).groups)
+            replacement(self.replacement, compiled(self.pattern).groups, dict(compiled(self.pattern).groupindex))
+            java(self.pattern)
         if self.op == "filter" and self.condition not in CONDITIONS:
             raise ConfigError(f"no condition {self.condition!r}")
         if self.op == "filter" and self.filter_action not in ("keep", "drop"):
@@ -101,6 +102,7 @@ class Constraint:
             raise ConfigError(f"no constraint {self.kind!r}")
         if self.kind == "regex":
             compiled(self.pattern)
+            java(self.pattern)
         if self.kind == "unique" and self.severity == "warn":
             raise ConfigError("unique cannot be a warning")
         if self.kind == "enum" and not self.values:
@@ -155,11 +157,33 @@ class FieldSpec:
             raise ConfigError(f"{self.dest}: retry needs a generator")
 
 
+@dataclass(frozen=True)
+class Function:
+    """User code on rows or columns, before the operators (pre) or after the constraints (post)."""
+
+    name: str
+    code: str
+    input_fields: tuple[str, ...] = ()
+    output_fields: tuple[str, ...] = ()
+    phase: str = "pre"
+    mode: str = "row"
+    on_row_error: str = "keep"
+
+    def __post_init__(self) -> None:
+        for n in ("input_fields", "output_fields"):
+            object.__setattr__(self, n, tuple(getattr(self, n)))
+        if self.phase not in ("pre", "post") or self.mode not in ("row", "column") or self.on_row_error not in ("keep", "empty"):
+            raise ConfigError(f"{self.name}: phase is pre or post, mode row or column, on_row_error keep or empty")
+        if not self.output_fields:
+            raise ConfigError(f"{self.name}: no output fields")
+
+
 @dataclass(frozen=True)
 class Task:
     name: str
     fields: tuple[FieldSpec, ...]
     ops: tuple[Op, ...] = ()
+    functions: tuple[Function, ...] = ()
     layout: str = "union"
     on_missing: str = "empty"
     seed: int = 0
@@ -167,6 +191,7 @@ class Task:
     def __post_init__(self) -> None:
         object.__setattr__(self, "fields", tuple(strict(FieldSpec, f) for f in self.fields))
         object.__setattr__(self, "ops", tuple(strict(Op, o) for o in self.ops))
+        object.__setattr__(self, "functions", tuple(strict(Function, f) for f in self.functions))
         names = [f.dest for f in self.fields]
         if not names or len(set(names)) < len(names):
             raise ConfigError("field names must be there and differ")

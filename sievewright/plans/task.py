@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import folded_name
-from sievewright.operators import clean, generate, profile, quality
+from sievewright.operators import clean, generate, profile, quality, userfn
 from sievewright.plans.config import ConfigError, FieldSpec, Task
 from sievewright.sources import files
 
@@ -74,14 +74,23 @@ def build(task: Task, source: DataFrame, observe: bool = True) -> Plan:
         counters[name] = Observation(f"{task.name}:{name}")
         return df.observe(counters[name], *[m.alias(k) if k != "missing" else F.count(F.lit(1)).alias(k) for k, m in metrics.items()])
 
-    df = clean.apply_ops(source, task.ops, told)
+    df = clean.apply_ops(_run_functions(source, task, "pre"), task.ops, told)
     df = generate.generate_columns(df, list(task.fields), task.seed)
     for spec in task.fields:
         if spec.constraints:
             df = quality.enforce(df, spec)
+    df = _run_functions(df, task, "post")
     return Plan(task, source, source, df, df, counters)
 
 
+def _run_functions(df: DataFrame, task: Task, phase: str) -> DataFrame:
+    """The user functions of a phase, one after another; messages of failed rows stay in ``_error_<name>``."""
+    for f in task.functions:
+        if f.phase == phase:
+            df = userfn.apply_function(df, f.code, list(f.input_fields), list(f.output_fields), f.mode, f.on_row_error).withColumnRenamed("_error", f"_error_{f.name}")
+    return df
+
+
 def plan(spark: SparkSession, task: Task, inputs: list[files.Input], row_limit: int | None = None, **options) -> Plan:
     """Files grouped by kind and header, each group one scan, all united by name."""
     parts = None

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import zipfile
 from xml.sax.saxutils import escape
@@ -117,5 +116,12 @@ def insert_statements(vertices: DataFrame, tag: str, key: str, size: int = 1000)
     return by.select(F.concat(F.lit(start), F.concat_ws(", ", "v"), F.lit(";")).alias("statement"))
 
 
-def manifest(path: str, body: dict) -> str:
-    return json.dumps({"path": path} | body, ensure_ascii=False, sort_keys=True)
+def edge_statements(edges: DataFrame, kind: str, size: int = 1000) -> DataFrame:
+    """INSERT EDGE statements of up to about ``size`` rows from (s, d, rank and properties), dealt by a hash of both ends."""
+    names = [c for c in edges.columns if c not in ("s", "d", "rank")]
+    text = lambda c: F.regexp_replace(F.to_json(F.array(F.coalesce(F.col(c).cast("string"), F.lit("")))), r"^\[|\]$", "")
+    value = F.concat(text("s"), F.lit("->"), text("d"), F.lit("@"), F.coalesce(F.col("rank").cast("bigint"), F.lit(0)).cast("string"), F.lit(":("), F.concat_ws(", ", *map(text, names)), F.lit(")"))
+    n = max(1, edges.count() // size)
+    start = f"INSERT EDGE `{kind}`({', '.join(f'`{n}`' for n in names)}) VALUES "
+    by = edges.select(value.alias("v"), F.pmod(F.xxhash64("s", "d", "rank"), F.lit(n)).alias("b")).groupBy("b").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    return by.select(F.concat(F.lit(start), F.concat_ws(", ", "v"), F.lit(";")).alias("statement"))
