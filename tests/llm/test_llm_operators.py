@@ -79,11 +79,22 @@ def test_substrings(docs, rows, awkward, empty):
     assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in kept)
 
 
-def test_substring_hash_collision_is_caught(awkward, monkeypatch):
-    """With a window hash of a few bits most claims are wrong; none may remove a word wrongly."""
-    x = substrings.Batch(pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": [" ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))]}), 13, 7)
-    first = np.array([0]), np.array([12])
-    assert x.digests(*first) != x.digests(np.array([40]), np.array([52]))
+@pytest.mark.parametrize("edge_bits", [4, 9, 14])
+def test_substring_hash_collisions_lose_nothing(docs, rows, awkward, edge_bits):
+    """With window hashes of a few bits most spans fail their verification; every word is still judged by the words themselves."""
+    few = docs.filter("doc_id % 4 = 0 AND length(text) < 6000")
+    given = [(i, t) for i, t in rows if i % 4 == 0 and len(t or "") < 6000]
+    assert Counter(tuple(r) for r in substrings.substring_dedup(few, edge_bits=edge_bits).collect()) == removed(given)
+    assert Counter(tuple(r) for r in substrings.substring_dedup(awkward, edge_bits=edge_bits).collect()) == removed(AWKWARD)
+
+
+def test_substring_largest_and_repeated_ids(spark):
+    w, top = "a b c d e f g h i j k l m n", (1 << 63) - 1
+    given = [(top, w + " x"), (None, w + " y"), (None, w + " z"), (top, "q " + w)] + [(None, f"{n} {w} {n}") for n in range(50)]
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    assert Counter(tuple(r) for r in substrings.substring_dedup(frame).collect()) == removed(given)
+    only = [r for r in given if r[0] is None]
+    assert Counter(tuple(r) for r in substrings.substring_dedup(frame.filter("doc_id IS NULL")).collect()) == removed(only)
 
 
 # tokens, packed files, packing
