@@ -13,7 +13,8 @@ batches by a hash of doc_id and text; batches exchange short byte blobs with has
 4. *Verification.* Spans, cut at multiples of ``UNIT`` words of the source, are compared with the words at their
    source coordinates by 128-bit digests.
 5. *Doubt.* Where a span differs, hashes of different windows were equal. The words of all windows under those hashes, in every
-   batch that has them, are compared themselves, by one join on the words; as a rule there are none and the step reads nothing.
+   batch that has them, are compared themselves, by one join on the words. Below some 10**9 windows the first four steps are one
+   plan, made again in parts if there is doubt; beyond, where clashes are to be expected, each step's result is written.
 
 Hot passages reach a partition once per batch, and a source once per batch and distinct unit. A batch has ``BATCH_BYTES`` of stored input
 (eight times as much beyond ``WIDE_BYTES``), a partition ``PART_BYTES``, so both grow with the data and each task's memory
@@ -341,7 +342,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, minimizer: int = MINI
         return pa.table({"b": pa.array([b] * len(least), pa.int32()), "edge": pa.array(x.cedge[first].view(np.int64)), "words": pa.array(list(least), pa.string()), "own_null": pa.array(x.null[x.cdoc[first]]), "own": pa.array(x.ids[x.cdoc[first]])})
 
     def finish(docs: pa.Table, notes: pa.Table) -> pa.Table:
-        schema = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("text", pa.string())] * with_text
+        schema = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("doubt", pa.bool_())] + [("text", pa.string())] * with_text
         if not docs.num_rows:
             return pa.table({n: pa.array([], t) for n, t in schema})
         x, exact = whole(docs, notes), _some(notes, "words")
@@ -360,7 +361,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, minimizer: int = MINI
         text, bounds, _ = x.text(keep)
         kept = [text[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         removed = np.diff(np.concatenate([[0], np.cumsum(~keep)])[x.rows])
-        out = {"doc_id": pa.array(x.ids, mask=x.null), "n_words": pa.array(np.diff(x.rows)), "n_removed": pa.array(removed), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept])}
+        out = {"doc_id": pa.array(x.ids, mask=x.null), "n_words": pa.array(np.diff(x.rows)), "n_removed": pa.array(removed), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in kept]), "doubt": pa.array([_some(notes, "bad_digest").num_rows > 0] * len(kept), pa.bool_())}
         return pa.table(out | ({"text": pa.array(kept, pa.binary()).cast(pa.string())} if with_text else {}))
 
     by_batch = dealt.groupBy("b")
@@ -371,14 +372,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, minimizer: int = MINI
     claims = by_batch.cogroup(notes.groupBy("b")).applyInArrow(claim, "sb int, srow int, spos int, n int, digest binary, b int")
     failed = by_batch.cogroup(claims.groupBy("sb")).applyInArrow(differ, NOTE)
 
-    # what hashes could not tell apart: nothing as a rule, then the semi-joins leave nothing to read
+    result = "doc_id long, n_words long, n_removed long, kept_sha256 string, doubt boolean" + ", text string" * with_text
+    if (stored / 4) ** 2 < 2.0**62:  # windows squared, where a clash of 64-bit hashes is unlikely: all in one plan
+        once = store.written(by_batch.cogroup(notes.unionByName(failed).groupBy("b")).applyInArrow(finish, result), "deduplicated")
+        if not once.filter("doubt").limit(1).count():
+            return once.drop("doubt")
+    notes, failed = store.written(notes, "notes"), store.written(failed, "failed")
+
     def of(some: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
         return some.join(wanted.select(column).distinct(), column, "left_semi")
 
-    in_doubt = of(dealt, "b", failed).groupBy("b").cogroup(of(notes, "b", failed).unionByName(failed).groupBy("b")).applyInArrow(doubt, "r int, edge long").distinct()
-    again = of(sent, "r", in_doubt).groupBy("r").cogroup(in_doubt.groupBy("r")).applyInArrow(holders, NOTE)
+    in_doubt = of(dealt, "b", failed).groupBy("b").cogroup(of(notes, "b", failed).unionByName(failed).groupBy("b")).applyInArrow(doubt, "r int, edge long")
+    in_doubt = store.written(in_doubt.distinct(), "in-doubt")
+    again = store.written(of(sent, "r", in_doubt).groupBy("r").cogroup(in_doubt.groupBy("r")).applyInArrow(holders, NOTE), "holders")
     texts = of(dealt, "b", again).groupBy("b").cogroup(of(notes, "b", again).unionByName(again).groupBy("b")).applyInArrow(spelled, "b int, edge long, words string, own_null boolean, own long")
+    texts = store.written(texts, "spelled")
     least = texts.groupBy("words").agg(F.min(F.struct("own_null", "own")).alias("l")).select("words", F.col("l.own_null").alias("least_null"), F.col("l.own").alias("least"))
-    exact = texts.select("b", "edge", "words").join(least, "words")
+    exact = store.written(texts.select("b", "edge", "words").join(least, "words"), "settled")
     final = by_batch.cogroup(notes.unionByName(exact, allowMissingColumns=True).groupBy("b"))
-    return final.applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    return final.applyInArrow(finish, result).drop("doubt")
