@@ -1,6 +1,6 @@
 """Licence scan: a trained paragraph classifier confirmed by template comparison; DataFrame functions only.
 
-A paragraph is a non-empty line. Every paragraph is classified by multinomial logistic regression on sparse word bigrams and
+A paragraph is a non-empty line; a line of ``WRAPPED`` characters or more without an end mark goes on in the next line, whose comment marks are left out. Every paragraph is classified by multinomial logistic regression on sparse word bigrams and
 trigrams of the trained vocabulary, and on the short names in ``TOKENS``, trained on the notices and names below, their sentences
 and ordinary sentences. A family is accepted if its probability reaches the threshold that ``train`` fits on held-out halves (the
 least at which at most ``WRONG`` of the accepted have another family) and its templates confirm it: either
@@ -25,14 +25,16 @@ from sievewright.llm import store
 # Common public licence notices by family.
 TEMPLATES = {
     "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "SPDX-License-Identifier: Apache-2.0", "This project is released under the Apache 2.0 license."),
-    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", "SPDX-License-Identifier: MIT", "This project is available under the MIT license."),
+    "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", "SPDX-License-Identifier: MIT", "This project is available under the MIT license."),
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice in the documentation.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Released under the BSD license."),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "You should have received a copy of the GNU General Public License along with this program.", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GNU GPL version 2.", "Released under the GPL v3 license."),
+    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "You should have received a copy of the GNU General Public License along with this program.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", "SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GNU GPL version 2.", "Released under the GPL v3 license."),
     "lgpl": ("Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-2.1-only", "You should have received a copy of the GNU Lesser General Public License along with this library."),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0", "If a copy of the Mozilla Public License was not distributed with this file, you can obtain one at http://mozilla.org/MPL/2.0/."),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Text is available under the Creative Commons Attribution license.", "SPDX-License-Identifier: CC-BY-4.0"),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Available under the Creative Commons Attribution-NonCommercial license.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Released under the ISC license."),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0", "Released under the Eclipse Public License."),
     "public-domain": ("This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related rights under CC0 1.0.", "Dedicated to the public domain.", "SPDX-License-Identifier: CC0-1.0"),
     "proprietary": ("All rights reserved.", "Copyright (c) 2020 Example Inc. All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the copyright holder.", "Proprietary and confidential; unauthorised copying of this file is prohibited, all rights reserved."),
 }
@@ -47,15 +49,19 @@ NAMES = {
     "cc-by": ("CC BY 4.0", "CC BY 3.0", "CC BY 2.0", "License: CC BY"),
     "cc-by-sa": ("CC BY-SA 4.0", "CC BY-SA 3.0", "CC BY-SA 2.0", "License: CC BY-SA"),
     "cc-by-nc": ("CC BY-NC 4.0", "CC BY-NC 3.0", "CC BY-NC 2.0", "License: CC BY-NC"),
+    "isc": ("ISC License", "License: ISC", "ISC licence"),
+    "epl": ("EPL 2.0", "EPL-2.0", "EPL 1.0", "Eclipse Public License"),
     "public-domain": ("CC0 1.0", "License: CC0", "under CC0"),
 }
-TOKENS = ("gpl", "lgpl", "mpl", "bsd", "cc0")
+TOKENS = ("gpl", "lgpl", "mpl", "bsd", "cc0", "isc", "epl")
 # Ordinary sentences with the same words.
 ORDINARY = ("She renewed her driving license at the office last week.", "The court discussed copyright law and its history.", "The shop gives a two year warranty on every phone.", "Fishing without a licence is not allowed in the public park.", "He was granted permission to redistribute the grain.", "The royalty was paid for the right to use the song.", "The general public was not admitted to the software fair.", "An export licence is needed for this kind of machine.", "The copyright of the novel passed to his daughter.", "The warranty does not cover water damage.", "The minister of public works opened the new bridge.", "The pilot lost his license after the accident.", "The lecture explains how a license fee is set by the state.", "They released the film in the spring under another title.")
 # Ordinary prose with the function words that notices also use; the empty line has no known n-gram at all.
 PROSE = ("", "In the morning the two of them walked along the river to the old mill.", "This is one of the best books of the year, and it is not only for children.", "You may also want to look at the map in the first part of the guide.", "It was in the middle of the night when the rest of the crew came back.", "Most of the houses in this part of the city were built with the help of the state.", "The name of the author is not known to the public.", "For the purpose of this study, all of the data were collected at the same time.", "The work is based on the results of the first two years.", "There is no reason to change the terms of the agreement with the other side.", "We do not know if any of these or other causes had an effect.", "A copy of the letter was found in the library of the university.", "The list of conditions was read to the members, either in full or in part.", "He wrote the program for the new computer and gave it to any person who asked.", "The use of the land is limited to the people of the village.", "Version two of the plan was used in the following year.", "Der Hund lief mit dem Kind in den Garten und kam mit einem Ball zurück.", "Mit der Zeit wurde es in der Stadt ruhig.", "Le livre de la jeune fille est sur la table de la cuisine.", "El hombre de la casa fue a la ciudad con su hijo.", "The source of the river lies in the hills above the form of the old castle.", "As a general rule the public is free to enter, with or without a ticket.", "The company sold its products in many countries without any kind of support.", "By the end of the war the apache helicopter was in use in four states.", "The price is 4.0 dollars and version 2.0 of the phone will be released in May.")
 ANCHORS = ("licen", "copyright", "rights reserved", "public domain", "warrant", "redistribut", "permission", "creative commons", "spdx", "proprietary", "waived all", "cc by", "cc-by", "cc0", "gpl", "mpl-", "mpl 2", "bsd-", "apache-2")
 WRONG = 0.05
+WRAPPED = 50
+_trained: dict[str, tuple] = {}
 CONFIRM = 0.6
 
 
@@ -133,9 +139,13 @@ def threshold(found: list[tuple[str, str, float, bool]], wrong: float = WRONG) -
 
 
 def train(spark: SparkSession) -> tuple[PipelineModel, float]:
-    """The classifier of all rows, and the threshold from held-out halves."""
-    data = _training(spark)
-    return _fitted(data), threshold(held_out(data))
+    """The classifier of all rows, and the threshold from held-out halves; trained once in a Spark application."""
+    name = spark.sparkContext.applicationId
+    if name not in _trained:
+        data = _training(spark)
+        _trained.clear()
+        _trained[name] = _fitted(data), threshold(held_out(data))
+    return _trained[name]
 
 
 def _grams(words: Column) -> Column:
@@ -152,8 +162,9 @@ def _template_grams(spark: SparkSession) -> dict[str, list[list[str]]]:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id and lower-case text of every non-empty line."""
-    return store.texts(docs).select("doc_id", F.explode(F.split(_plain(F.col("text")), r"[\r\n]+")).alias("paragraph")).filter(F.trim("paragraph") != "")
+    """doc_id and lower-case text of every non-empty line, wrapped lines joined."""
+    text = F.regexp_replace(_plain(F.col("text")), rf"(?<=[^\r\n]{{{WRAPPED}}})(?<![.!?:])\r?\n[ \t]*+(?:(?:#+|//+|\*+|--+|;+)[ \t]+)?(?=[^\s#/*;-])", " ")
+    return store.texts(docs).select("doc_id", F.explode(F.split(text, r"[\r\n]+")).alias("paragraph")).filter(F.trim("paragraph") != "")
 
 
 def classified(docs: DataFrame) -> DataFrame:

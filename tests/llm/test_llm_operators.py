@@ -345,6 +345,18 @@ def test_licence_names_without_an_anchor_are_found(spark):
     assert {t: (got[i].families, got[i].n_unknown) for i, t in enumerate(lines)} == {t: (f, 0) for t, f in named.items()} | {t: ("", n) for t, n in other.items()}
 
 
+def test_wrapped_notices_are_read_as_one_paragraph(spark):
+    """Texts in forms the classifier was not trained on: wrapped, behind comment marks, with other words around."""
+    gpl = "# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    isc = "// Permission to use, copy, modify, and distribute this software for any purpose\n// with or without fee is hereby granted, provided that the above copyright\n// notice and this permission notice appear in all copies."
+    epl = "All of this is made available under the terms of the Eclipse Public License v2.0"
+    prose = "The old man walked along the river until the evening came and the lights\nof the town shone over the water\nShort line\nEnd."
+    frame = spark.createDataFrame(list(enumerate((gpl, mit, isc, epl, prose, "# GPL v3\nint main() {}"))), "doc_id long, text string")
+    assert [r.families for r in sorted(licences.licence_scan(frame).collect())] == ["gpl", "mit", "isc", "epl", "", "gpl"]
+    assert licences.paragraphs(frame).filter("doc_id = 4").count() == 3
+
+
 def test_licence_threshold_is_fitted_on_held_out_rows(spark):
     found = [("gpl", "gpl", 0.9, True), ("gpl", "gpl", 0.8, True), ("lgpl", "gpl", 0.7, True), ("mit", "mit", 0.6, True), ("mit", "bsd", 0.95, False), ("mit", "none", 0.99, True)]
     assert licences.threshold(found, 0) == 0.8 and licences.threshold(found, 0.25) == 0.6 and licences.threshold([("mit", "bsd", 0.9, True)]) == 1.0
