@@ -28,7 +28,7 @@ from sievewright.llm import store
 from sievewright.llm.bytes import flat, slices
 
 SAMPLE = 1500
-DICTIONARY_BYTES = 32 << 10
+DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 WINDOW = 512
 WINDOWS = 32768
