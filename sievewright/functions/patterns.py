@@ -80,7 +80,7 @@ def compiled(pattern: str) -> re.Pattern:
 
 
 def java(pattern: str) -> str:
-    """The pattern in Java's words: groups named the Python way by number, ``\Z`` as the very end."""
+    r"""The pattern in Java's words: groups named the Python way by number, ``\Z`` as the very end."""
     names = {n: f"g{k}" for n, k in re.compile(pattern).groupindex.items()}
     out = re.sub(r"\\(?:Z|.)|\(\?P<(\w+)>|\(\?P=(\w+)\)", lambda m: f"(?<{names[m[1]]}>" if m[1] else f"\\k<{names[m[2]]}>" if m[2] else r"\z" if m[0] == r"\Z" else m[0], pattern, flags=re.S)
     if re.search(r"(?<!\\)\(\?\((?:\d+|\w+)\)", out):
