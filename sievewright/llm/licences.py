@@ -163,7 +163,7 @@ def _template_grams(spark: SparkSession) -> dict[str, list[list[str]]]:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id and lower-case text of every non-empty line, wrapped lines joined."""
-    text = F.regexp_replace(_plain(F.col("text")), rf"(?<=[^\r\n]{{{WRAPPED}}})(?<![.!?:])\r?\n[ \t]*+(?:(?:#+|//+|\*+|--+|;+)[ \t]+)?(?=[^\s#/*;-])", " ")
+    text = F.regexp_replace(_plain(F.col("text")), rf"\r?\n(?<=[^\r\n]{{{WRAPPED}}}\r?\n)(?<![.!?:]\r?\n)[ \t]*+(?:(?:#+|//+|\*+|--+|;+)[ \t]+)?(?=[^\s#/*;-])", " ")
     return store.texts(docs).select("doc_id", F.explode(F.split(text, r"[\r\n]+")).alias("paragraph")).filter(F.trim("paragraph") != "")
 
 
