@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import dataclasses
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import folded_name
 from sievewright.operators import clean, generate, profile, quality, userfn
-from sievewright.plans.config import ConfigError, FieldSpec, Task
+from sievewright.plans.config import ConfigError, Constraint, FieldSpec, Task
 from sievewright.sources import files
 
 ORDER = ("_file", "_file_ord", "_row")
@@ -33,9 +35,13 @@ def bind(headers: list[str], specs: tuple[FieldSpec, ...]) -> Mapping:
     return Mapping(sources, missing, [h for h in headers if h not in used])
 
 
+def _headers(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in files.META and c != "_unknown"]
+
+
 def mapped(df: DataFrame, task: Task) -> DataFrame | None:
     """Source and dest columns of one header; None if the layout leaves the file out. All sources are read before any dest is written."""
-    headers = [c for c in df.columns if c not in files.META and c != "_unknown"]
+    headers = _headers(df)
     m = bind(headers, task.fields)
     if m.missing and (task.layout == "strict" or task.on_missing == "error"):
         raise ConfigError(f"missing columns: {', '.join(m.missing)}")
@@ -54,6 +60,7 @@ class Plan:
     result: DataFrame
     checked: DataFrame
     counters: dict[str, Observation] = field(default_factory=dict)
+    bindings: list[tuple[str, int, Mapping]] = field(default_factory=list)  # first file, number of files, by header
 
     @property
     def output(self) -> DataFrame:
@@ -93,7 +100,7 @@ def _run_functions(df: DataFrame, task: Task, phase: str) -> DataFrame:
 
 def plan(spark: SparkSession, task: Task, inputs: list[files.Input], row_limit: int | None = None, **options) -> Plan:
     """Files grouped by kind and header, each group one scan, all united by name."""
-    parts = None
+    parts, bindings = None, []
     groups: dict[tuple, list[files.Input]] = {}
     for i in inputs:
         if i.kind == "csv":
@@ -104,14 +111,18 @@ def plan(spark: SparkSession, task: Task, inputs: list[files.Input], row_limit:
             shape = tuple(files.json_keys(spark, i.path)) if i.kind == "jsonl" else ("one", i.path)
         groups.setdefault((i.kind, str(shape)), []).append(i)
     for items in groups.values():
-        one = mapped(files.read(spark, items, **options), task)
+        read = files.read(spark, items, **options)
+        one = mapped(read, task)
         if one is not None:
+            bindings.append((items[0].key, len(items), bind(_headers(read), task.fields)))
             if row_limit is not None:
                 one = one.filter(F.col("_row") < row_limit)
             parts = one if parts is None else parts.unionByName(one, allowMissingColumns=True)
     if parts is None:
         raise ConfigError("no file has the columns of the task")
-    return build(task, parts)
+    made = build(task, parts)
+    made.bindings = bindings
+    return made
 
 
 def dry_run(spark: SparkSession, task: Task, inputs: list[files.Input], rows: int = 20) -> list[dict]:
@@ -121,7 +132,7 @@ def dry_run(spark: SparkSession, task: Task, inputs: list[files.Input], rows: in
 
 
 def report_frames(p: Plan) -> dict[str, DataFrame]:
-    """The report's figures as frames: files, violations, regression, profiles before and after, top values, warnings."""
+    """The report's figures as frames: files, mapping, constraints, violations, samples of repairs, profiles before and after, top values, generated fields, regression."""
     dests = [s.dest for s in p.task.fields]
     old = [d for d in dests if d in p.before.columns]
     checked = [s for s in p.task.fields if s.constraints]
@@ -132,12 +143,37 @@ def report_frames(p: Plan) -> dict[str, DataFrame]:
         "before and after": profile.compared(profile.counts(p.before, old), profile.counts(p.result, dests), ["field"], ["n", "n_empty", "min_length", "max_length", "mean_length"]),
         "frequent values": profile.compared(profile.top_values(p.before, old, 5), profile.top_values(p.result, dests, 5), ["field", "text"], ["n"]),
     }
+    spark = p.result.sparkSession
+    if p.bindings:
+        bound = [(key, n, s.dest, s.source, m.sources[s.dest], None if m.sources[s.dest] else s.default) for key, n, m in p.bindings for s in p.task.fields]
+        out["mapping"] = spark.createDataFrame(bound, "first_file string, n_files int, field string, source string, header string, default string")
+    made = [s for s in p.task.fields if s.generate is not None]
+    if made:
+        rules = spark.createDataFrame([(s.dest, s.generate.kind, s.generate.generator or s.generate.expression) for s in made], "field string, kind string, rule string")
+        out["generated fields"] = rules.join(profile.counts(p.result, [s.dest for s in made]).select("field", "n", "n_empty"), "field", "left")
     if checked:
+        rules = [(s.dest, k.kind, k.severity, s.fallback.on_violation, json.dumps(_set_values(k), ensure_ascii=False, sort_keys=True)) for s in checked for k in s.constraints]
+        out["constraints"] = spark.createDataFrame(rules, "field string, kind string, severity string, policy string, settings string")
+        out["repair samples"] = repair_samples(p, checked)
         out["violations"] = quality.violation_counts(p.checked, checked)
         out["regression"] = quality.regression(p.result.drop(*[c for c in p.result.columns if c.startswith("__")]), checked)
     return out
 
 
+def _set_values(k: Constraint) -> dict:
+    """What the constraint sets apart from the defaults."""
+    return {f.name: getattr(k, f.name) for f in dataclasses.fields(k) if f.name not in ("kind", "severity") and getattr(k, f.name) != f.default}
+
+
+def repair_samples(p: Plan, specs: list[FieldSpec], k: int = 5) -> DataFrame:
+    """The first ``k`` broken cells of each field and kind with the value they got."""
+    at = [c for c in ("_file_ord", "_row") if c in p.checked.columns]
+    cells = [F.struct(F.lit(s.dest).alias("field"), F.col(f"__kind_{s.dest}").alias("kind"), F.col(s.dest).cast("string").alias("value")) for s in specs]
+    broken = p.checked.select(*at, F.explode(F.filter(F.array(*cells), lambda v: v["kind"].isNotNull())).alias("v")).select("v.field", "v.kind", *at, "v.value")
+    first = Window.partitionBy("field", "kind").orderBy(*at, "value")
+    return broken.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k)
+
+
 def report(p: Plan) -> str:
     """The frames as Markdown; each is small by construction (by file, field or kind)."""
     parts = [f"# {p.task.name}", f"Configuration `{p.task.fingerprint}`, seed {p.task.seed}."]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import datetime
 import fnmatch
 import io
 import os
@@ -197,6 +198,8 @@ def read_parquet(spark: SparkSession, inputs: list[Input]) -> DataFrame:
 
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+LINKED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+DATE_FORMATS = {*range(14, 23), *range(45, 48)}  # Fixed values: the built-in number formats that show dates and times
 
 
 def _column(ref: str) -> int:
@@ -207,15 +210,59 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def sheet_rows(raw: bytes, sheet: int = 0) -> Iterator[list[str]]:
-    """Cell texts of one sheet of a workbook, row by row, blank rows left out."""
+def sheet_parts(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, path inside the workbook) of its sheets, in the order of the tabs."""
+    links = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    targets = [(s.get("name", ""), links.get(s.get(f"{LINKED}id"), "")) for s in book.iter(f"{NS}sheet")]
+    return [(n, t.lstrip("/") if t.startswith("/") else f"xl/{t}") for n, t in targets if t]
+
+
+def sheet_path(z: zipfile.ZipFile, sheet: int | str) -> str:
+    parts = sheet_parts(z)
+    if isinstance(sheet, str):
+        if sheet not in (named := dict(parts)):
+            raise ValueError(f"no sheet {sheet!r}")
+        return named[sheet]
+    if sheet >= len(parts):
+        raise ValueError(f"no sheet {sheet} among {len(parts)}")
+    return parts[sheet][1]
+
+
+def date_styles(z: zipfile.ZipFile) -> tuple[set[int], datetime.datetime]:
+    """The cell styles that show a number as a date or time, and the day from which the workbook counts."""
+    book = ET.fromstring(z.read("xl/workbook.xml")).find(f"{NS}workbookPr")
+    start = datetime.datetime(1904, 1, 1) if book is not None and book.get("date1904") in ("1", "true") else datetime.datetime(1899, 12, 30)
+    if "xl/styles.xml" not in z.namelist():
+        return set(), start
+    styles = ET.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode", "")) for f in styles.iter(f"{NS}numFmt")}
+    shown = DATE_FORMATS | {n for n, code in own.items() if re.search("[ymdhs]", code, re.I)}
+    cells = styles.find(f"{NS}cellXfs")
+    return {i for i, x in enumerate(cells if cells is not None else ()) if int(x.get("numFmtId", 0)) in shown}, start
+
+
+def shown_date(text: str, start: datetime.datetime) -> str:
+    """A day number as ISO date, with the time if it has one; a number below one as time; what is no date stays."""
+    try:
+        number = float(text)
+        at = start + datetime.timedelta(seconds=round(number * 86400))
+    except (ValueError, OverflowError):
+        return text
+    if 0 <= number < 1:
+        return at.strftime("%H:%M:%S")
+    return at.strftime("%Y-%m-%d") if number == int(number) else at.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def sheet_rows(raw: bytes, sheet: int | str = 0) -> Iterator[list[str]]:
+    """Cell texts of one sheet (by place or name) of a workbook, row by row, blank rows left out."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{NS}si"):
                 shared.append("".join(t.text or "" for t in si.iter(f"{NS}t")))
-        names = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n[14:])[0]))
-        with z.open(names[sheet]) as f:
+        dates, start = date_styles(z)
+        with z.open(sheet_path(z, sheet)) as f:
             for _, row in ET.iterparse(f):
                 if row.tag != f"{NS}row":
                     continue
@@ -228,13 +275,16 @@ def sheet_rows(raw: bytes, sheet: int = 0) -> Iterator[list[str]]:
                         cells[at] = "".join(t.text or "" for t in c.iter(f"{NS}t"))
                     elif v is not None:
                         text = v.text or ""
-                        cells[at] = shared[int(text)] if kind == "s" else ("true" if text == "1" else "false") if kind == "b" else re.sub(r"\.0$", "", text)
+                        if kind in (None, "n") and int(c.get("s", 0)) in dates:
+                            cells[at] = shown_date(text, start)
+                        else:
+                            cells[at] = shared[int(text)] if kind == "s" else ("true" if text == "1" else "false") if kind == "b" else re.sub(r"\.0$", "", text)
                 row.clear()
                 if any(cells):
                     yield cells
 
 
-def read_xlsx(spark: SparkSession, inputs: list[Input], sheet: int = 0) -> DataFrame:
+def read_xlsx(spark: SparkSession, inputs: list[Input], sheet: int | str = 0) -> DataFrame:
     """Workbooks of one header, a file a task (a sheet holds at most 1,048,576 rows)."""
     raw = spark.read.format("binaryFile").load([i.path for i in inputs]).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
     first = raw.filter(F.col("path") == re.sub("^file:/+", "/", inputs[0].path)).first()

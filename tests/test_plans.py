@@ -42,6 +42,12 @@ def test_csv_end_to_end(spark, tmp_path):
     assert p.counts()["1:fill_null"]["changed"] == 1
     text = plans.report(p)
     assert "| a.csv | 2 | 2 | 0 |" in text and "regression" in text
+    frames = plans.report_frames(p)
+    bound = {(r.first_file, r.field): (r.n_files, r.header, r.default) for r in frames["mapping"].collect()}
+    assert (bound["a.csv", "city"], bound["b.CSV", "city"], bound["b.CSV", "age"]) == ((1, "city", None), (1, None, "none"), (1, "age", None))
+    assert {(r.field, r.kind, r.settings) for r in frames["constraints"].collect()} == {("age", "type", '{"type": "int"}'), ("age", "range", '{"max_value": 100, "min_value": 0}')}
+    assert {(r.field, r.kind, r.nth, r._row, r.value) for r in frames["repair samples"].collect()} == {("age", "range", 1, 0, "100"), ("age", "type", 1, 1, "x")}
+    assert {(r.field, r.kind, r.n, r.n_empty) for r in frames["generated fields"].collect()} == {("id", "sequence", 3, 0), ("label", "expression", 3, 0)}
     assert plans.dry_run(spark, PEOPLE, inputs, 1) == [dict(zip([f.dest for f in PEOPLE.fields], got[0], strict=True))]
     with pytest.raises(ConfigError):
         plans.plan(spark, Task("t", PEOPLE.fields, layout="union", on_missing="error"), inputs)
@@ -103,6 +109,22 @@ def test_workbooks_round_trip(spark, tmp_path):
     assert [(r.s[:10], r.n) for r in got] == [("a<&>", "1"), ("", "2.5"), ("x" * 10, "")]
 
 
+def test_workbook_sheets_by_name_and_shown_dates(spark, tmp_path):
+    path, main = str(tmp_path / "t.xlsx"), "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="second" sheetId="2" r:id="b"/><sheet name="first" sheetId="1" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="yyyy/mm/dd"/><numFmt numFmtId="171" formatCode="0.0&quot; days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/><xf numFmtId="21"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row><c t="inlineStr"><is><t>x</t></is></c></row><row><c s="1"><v>45352</v></c></row><row><c s="2"><v>45352.5</v></c></row><row><c s="3"><v>45352</v></c></row><row><c s="4"><v>0.25</v></c></row><row><c s="1"><v>1e300</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{main}"><sheetData><row><c t="inlineStr"><is><t>y</t></is></c></row><row><c><v>7.0</v></c></row></sheetData></worksheet>')
+    item = files.Input("t", path, 0)
+    assert [r.x for r in files.read_xlsx(spark, [item], "first").orderBy("_row").collect()] == ["2024-03-01", "2024-03-01 12:00:00", "45352", "06:00:00", "1e300"]
+    assert [r.y for r in files.read_xlsx(spark, [item]).collect()] == ["7"]
+    with pytest.raises(ValueError):
+        files.read_xlsx(spark, [item], "third")
+
+
 def test_parquet_and_writers(spark, tmp_path):
     df = spark.createDataFrame([("=1+1", 3.0, None), ('q"uote\nline', 0.5, "z")], "a string, n double, m string").coalesce(1)
     sinks.write_csv(df, str(tmp_path / "c"), neutral=True)
