@@ -12,7 +12,8 @@ one quarter the same. Neither loses a link, and a list so refined has 18 free bi
 ``similar_documents`` is the same search for texts of a given similarity (five-word shingles, 0.8): 3 bits of 64 would be far too
 strict for it, so a fingerprint has ``LANES`` times 64 bits, and two are linked if so few bits differ as the
 angle of that similarity makes likely. No number of whole bytes is guaranteed then; of the 64 byte triples ``SPREAD`` no
-two share more than one byte, and a link is found if the pair shares one of them (README has the measured shares).
+two share more than one byte, and a link is found if the pair shares one of them and ``WIDE_SHARED`` bytes in all (README has the
+measured shares). Long lists are searched by every further byte, which finds the same links.
 
 Cases: null text counts as empty; texts without words have fingerprint zero and link like any other;
 repeated rows share everything; a null doc_id takes part but never names a component, unless alone (then the
@@ -47,6 +48,7 @@ FIVES = list(combinations(range(8), 5))
 LANES = 4
 # Byte positions of wide fingerprints, all differences distinct within and between the two patterns.
 SPREAD = [tuple((i + d) % (8 * LANES) for d in pattern) for pattern in ((0, 1, 3), (0, 4, 9)) for i in range(8 * LANES)]
+WIDE_SHARED = 4  # least number of bytes a pair of them shares in place: a triple and one more
 
 
 def fingerprints(column, shingle: int = SHINGLE, lanes: int = 1) -> np.ndarray:
@@ -231,18 +233,21 @@ def _wide(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _wide_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """As ``forest`` for rows of LANES words; lists above LIST_ROWS are searched by every further byte in turn."""
-    n = len(fps)
-    if n > LIST_ROWS:
-        out, raw = [], fps.view(np.uint8).reshape(n, -1)
-        for p in range(raw.shape[1]):
-            order = np.argsort(raw[:, p], kind="stable")
-            cuts = np.flatnonzero(np.diff(raw[order, p])) + 1
-            if len(cuts):  # a byte that all share splits nothing
-                for part in np.split(order, cuts):
-                    out += [(int(part[i]), int(part[j])) for i, j in _plain_forest(fps[part], most)]
-        return out if out else _plain_forest(fps, most)
-    return _plain_forest(fps, most)
+    """As ``forest`` for rows of LANES words that share a triple; more than LIST_ROWS are searched by every further byte in turn.
+
+    A linked pair shares a byte outside the triple, so the parts have the links of the whole.
+    """
+    if len(fps) <= LIST_ROWS:
+        return _plain_forest(fps, most)
+    raw, parts = fps.view(np.uint8).reshape(len(fps), -1), []
+    orders = [np.argsort(raw[:, p], kind="stable") for p in range(raw.shape[1])]
+    cuts = [np.flatnonzero(np.diff(raw[order, p])) + 1 for p, order in enumerate(orders)]
+    if sum(not len(c) for c in cuts) >= WIDE_SHARED:  # a byte beside the triple is the same in all: every pair shares enough
+        return _plain_forest(fps, most)
+    for order, cut in zip(orders, cuts, strict=True):
+        if len(cut):
+            parts += np.split(order, cut)
+    return [(int(part[i]), int(part[j])) for part in parts for i, j in _plain_forest(fps[part], most)]
 
 
 def _plain_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -253,7 +258,7 @@ def _plain_forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
             i = queue.pop()
             differ = fps[rest] ^ fps[i]
             shared = (differ.view(np.uint8).reshape(len(rest), -1) == 0).sum(axis=1)
-            maybe = np.flatnonzero(shared >= 3)  # the count filter: one triple at least
+            maybe = np.flatnonzero(shared >= WIDE_SHARED)  # the count filter
             near = maybe[np.bitwise_count(differ[maybe]).sum(axis=1) <= most]
             out += [(i, int(j)) for j in rest[near]]
             queue += rest[near].tolist()

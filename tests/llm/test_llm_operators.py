@@ -459,7 +459,7 @@ def wide_groups(rows, shingle=5, similarity=0.8):
     for i in range(len(rows)):
         for j in range(i):
             same = fps[i] == fps[j]
-            if np.bitwise_count(fps[i] ^ fps[j]).sum() <= simhash.most_bits(similarity) and any(same[list(t)].all() for t in simhash.SPREAD):
+            if np.bitwise_count(fps[i] ^ fps[j]).sum() <= simhash.most_bits(similarity) and same.sum() >= simhash.WIDE_SHARED and any(same[list(t)].all() for t in simhash.SPREAD):
                 parent[find(i)] = find(j)
     return [find(i) for i in range(len(rows))]
 
@@ -482,13 +482,23 @@ def test_one_of_each_group_stays(spark, docs, rows, monkeypatch):
     assert all((r.k, r.sha, r.kept, r.place, r.fp, r.root, r.n) == ("k", "sha", False, 9, "fp", "root", 5) for r in got)
 
 
-def test_long_wide_lists_lose_no_group(monkeypatch):
+@pytest.mark.parametrize("alike", [3, 5])
+def test_long_wide_lists_lose_no_group(monkeypatch, alike):
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, (30, 4), dtype=np.uint64)
-    fps = np.repeat(base, 10, axis=0)
-    for _ in range(20):
-        fps ^= np.uint64(1) << rng.integers(0, 64, fps.shape, dtype=np.uint64) * np.uint64(rng.integers(0, 2))
-    fps = np.ascontiguousarray(fps)
+    fps = np.repeat(rng.integers(0, 1 << 63, (30, 4), dtype=np.uint64), 10, axis=0)
+    raw = np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1)
+    for row in raw:
+        for bit in rng.choice(256, 18, replace=False):
+            row[bit // 8] ^= 1 << bit % 8
+    raw[:, list(simhash.SPREAD[0])] = 7  # the triple of the list
+    raw[:, 20 : 17 + alike] = 9  # further bytes that all share
+    # a pair that shares the triple and one byte more
+    lone = rng.integers(10, 255, (1, 32)).astype(np.uint8)
+    other = lone ^ np.uint8(1)
+    other[0, 31] = lone[0, 31]
+    raw = np.concatenate([raw, lone, other])
+    raw[:, list(simhash.SPREAD[0])] = 7
+    fps = np.ascontiguousarray(raw).view(np.uint64).reshape(len(raw), -1)
 
     def groups(links):
         at = list(range(len(fps)))
@@ -498,6 +508,7 @@ def test_long_wide_lists_lose_no_group(monkeypatch):
         return at
 
     whole = groups(simhash._wide_forest(fps, 38))
+    assert whole[-1] == len(fps) - 2 and len(set(whole)) < len(fps) / 2
     monkeypatch.setattr(simhash, "LIST_ROWS", 20)
     assert groups(simhash._wide_forest(fps, 38)) == whole
 
