@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import dataclasses
 import re
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,15 +119,77 @@ def repaired(c: Column, kind: Column, spec: FieldSpec, dtype: str = "string") ->
     return value, F.coalesce(degraded, F.lit(False))
 
 
-def repeat_number(df: DataFrame, key: str, by: list[str], order: list[str], block: int = 100_000) -> DataFrame:
-    """Adds ``__k``: how many earlier rows have the same key. Rows are numbered within blocks of row numbers and block counts are carried on."""
-    cut = df.withColumn("__block", F.floor(F.col(ROW) / block))
+def repeat_number(df: DataFrame, key: str, by: list[str], order: list[str], block: int = 100_000, counted: Column | None = None) -> DataFrame:
+    """Adds ``__k``: how many earlier rows (of those ``counted``) have the same key. Rows are counted within blocks of row numbers and block counts are carried on."""
+    cut = df.withColumns({"__block": F.floor(F.col(ROW) / block), "__one": F.lit(1) if counted is None else counted.cast("int")})
     file = [c for c in order if c != ROW]
     at = [*by, key, *[c for c in file if c not in by], "__block"]
     before = Window.partitionBy(*by, key).orderBy(*[c for c in file if c not in by], "__block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut.groupBy(*at).agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    own = F.row_number().over(Window.partitionBy(*at).orderBy(*order))
-    return cut.withColumn("__own", own).join(sizes, at).withColumn("__k", F.col("__start") + F.col("__own") - 1).drop("__block", "__own", "__start")
+    sizes = cut.groupBy(*at).agg(F.sum("__one").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    own = F.coalesce(F.sum("__one").over(Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn("__own", own).join(sizes, at).withColumn("__k", F.col("__start") + F.col("__own")).drop("__block", "__own", "__start", "__one")
+
+
+SUFFIX_BLOCK = 4096  # repeats of one text that share a row of the suffix table
+
+
+def _numbered(texts: pd.DataFrame, size_of_block: int) -> list[tuple[str, int, int, int, list[tuple[int, int]]]]:
+    """For each text of one stem and block of its occurrences: (text, block, first, base, steps).
+
+    Occurrence k is repeat ``j = k + first`` (0: it keeps its text) and takes number j plus ``base``, or plus the last step at or below j.
+    A number is passed over if the text that has it came before; otherwise that text has lost its own and is a repeat from the start.
+    """
+    size = dict(zip(texts["__text"], texts["n"], strict=True))
+    below: dict[str, list[tuple[int, int, str]]] = {}
+    for t, parent, number, earlier in texts[["__text", "parent", "number", "earlier"]].itertuples(index=False):
+        if parent in size:
+            below.setdefault(parent, []).append((int(number), int(earlier), t))
+    lost, out = set(), []
+    for t in sorted(size, key=len):  # a text comes after those it may lose its own to
+        first, passed = int(t in lost), []
+        for number, earlier, child in sorted(below.get(t, ())):
+            j = number - len(passed)
+            if j > size[t] - 1 + first:
+                break
+            if max(0, earlier - 1 + first) < j:
+                passed.append(j)
+            else:
+                lost.add(child)
+        steps = [(at, i + 1) for i, at in enumerate(passed) if i + 1 == len(passed) or passed[i + 1] != at]
+        for block, start in enumerate(range(first, size[t] + first, size_of_block)):
+            low, high = bisect_left(steps, (start, 0)), bisect_left(steps, (start + size_of_block, 0))
+            out.append((t, block, first, steps[low - 1][1] if low else 0, steps[low:high]))
+    return out
+
+
+def _mixed_unique(found: DataFrame, name: str, suffix: str, by: list[str], order: list[str]) -> DataFrame:
+    """Rows of stems whose texts differ, by counts: only the distinct texts of a stem meet in one task, never its rows."""
+    place, each = F.struct(*order), SUFFIX_BLOCK
+    texts = found.groupBy(*by, "__stem", "__text").agg(F.count("*").alias("n"), F.min(place).alias("__at"))
+    parts = F.regexp_extract("__text", rf"(?s)\A(.+){re.escape(suffix)}([1-9]\d{{0,17}})\z", 1)
+    number = F.regexp_extract("__text", rf"(?s)\A.+{re.escape(suffix)}([1-9]\d{{0,17}})\z", 1).try_cast("bigint")
+    texts = texts.withColumns({"parent": F.nullif(parts, F.lit("")), "number": number})
+    # how often the parent occurs before the first row with the text
+    marks = texts.filter("parent IS NOT NULL").select(*by, F.col("parent").alias("__key"), *[F.col(f"__at.{c}").alias(c) for c in order if c not in by], F.col("__text").alias("__of"))
+    real = found.select(*by, F.col("__text").alias("__key"), *[c for c in order if c not in by], F.lit(None).cast("string").alias("__of"))
+    earlier = repeat_number(real.unionByName(marks), "__key", by, order, counted=F.col("__of").isNull()).filter("__of IS NOT NULL")
+    known = texts.join(earlier.select(*by, F.col("__of").alias("__text"), F.col("__k").alias("earlier")), [*by, "__text"], "left")
+    known = known.select(*by, "__stem", "__text", "n", "parent", F.coalesce("number", F.lit(0)).alias("number"), F.coalesce("earlier", F.lit(0)).alias("earlier"))
+    fields = "__text string, __nth long, first long, base long, steps array<struct<at:long,shift:long>>"
+
+    def assign(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        made = pd.DataFrame(_numbered(rows, each), columns=["__text", "__nth", "first", "base", "steps"])
+        made["steps"] = [[{"at": at, "shift": shift} for at, shift in steps] for steps in made["steps"]]
+        for c, v in zip(by, key, strict=False):
+            made.insert(0, c, v)
+        return made
+
+    types = "".join(f"{c} {found.schema[c].dataType.simpleString()}, " for c in by)
+    table = known.groupBy(*by, "__stem").applyInPandas(assign, types + fields)
+    rows = repeat_number(found, "__text", by, order).withColumn("__nth", F.floor(F.col("__k") / each))
+    j = F.col("__k") + F.col("first")
+    shift = F.coalesce(F.array_max(F.transform(F.filter("steps", lambda s: s["at"] <= j), lambda s: s["shift"])), F.col("base"))
+    return rows.join(table, [*by, "__text", "__nth"]).withColumn(name, F.when(j == 0, F.col("__text")).otherwise(F.concat("__text", F.lit(suffix), (j + shift).cast("string"))))
 
 
 def resolve_unique(df: DataFrame, name: str, suffix: str, by_file: bool = False) -> DataFrame:
@@ -133,8 +197,11 @@ def resolve_unique(df: DataFrame, name: str, suffix: str, by_file: bool = False)
 
     Only values with one stem (trailing suffix numbers cut off) can meet, and only stems with a repeated value
     change at all. Where such a stem has one text only, the k-th repeat takes number k, by built-in functions; where
-    texts with and without suffixes mix, the stem's rows are resolved one after another in Python.
+    texts with and without suffixes mix, the numbers passed over are found from the counts and first rows of the stem's distinct texts.
+    The suffix must end in a character that is no digit, else a text can be read in two ways.
     """
+    if not suffix or suffix[-1] in "0123456789":
+        raise ValueError(f"a suffix must end in a character that is no digit: {suffix!r}")
     order = [c for c in (FILE, ROW) if c in df.columns]
     by = [FILE] if by_file else []
     text = F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -146,26 +213,8 @@ def resolve_unique(df: DataFrame, name: str, suffix: str, by_file: bool = False)
     calm = found.filter("__texts IS NULL OR __text = ''").select(*df.columns)
     one = repeat_number(found.filter("__texts = 1 AND __text <> ''"), "__text", by, order)
     plain = F.when(F.col("__k") > 0, F.concat("__text", F.lit(suffix), F.col("__k").cast("string"))).otherwise(F.col("__text"))
-    schema, columns = df.schema, df.columns
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        taken: set[str] = set()
-        free: dict[str, int] = {}
-        out = []
-        for t in rows["__text"]:
-            if t in taken:
-                n = free.get(t, 1)
-                while f"{t}{suffix}{n}" in taken:
-                    n += 1
-                free[t] = n + 1
-                t = f"{t}{suffix}{n}"
-            taken.add(t)
-            out.append(t)
-        return rows.assign(**{name: out})[columns]
-
-    mixed = found.filter("__texts > 1 AND __text <> ''").drop("__hash", "__texts").groupBy(*by, "__stem").applyInPandas(assign, schema)
-    return calm.unionByName(one.withColumn(name, plain).select(*columns)).unionByName(mixed)
+    mixed = _mixed_unique(found.filter("__texts > 1 AND __text <> ''"), name, suffix, by, order)
+    return calm.unionByName(one.withColumn(name, plain).select(*df.columns)).unionByName(mixed.select(*df.columns))
 
 
 def enforce(df: DataFrame, spec: FieldSpec) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,21 +31,55 @@ def test_ffill_by_file(spark, parts):
     assert rows_of(df.withColumn("v", clean.forward_filled(df, "v", ["_file_ord"], ["_row"])), "_file_ord", "_row", "v") == want
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_unique_suffix_is_sequential(spark, parts):
-    rng = random.Random(parts)
-    data = [(0, i, rng.choice(["x", "x_1", "y", "x_2", "y_1_1", "", None])) for i in range(60)]
-    taken, want = set(), []
-    for _, _, v in data:
+def made_unique(values):
+    """One value after another, each repeat with the least free number."""
+    taken, out = set(), []
+    for v in values:
         v = v or ""
-        n, out = 1, v
-        while v and out in taken:
-            out, n = f"{v}_{n}", n + 1
-        taken.add(out)
-        want.append(out)
-    df = spark.createDataFrame(data, SCHEMA).repartition(parts)
-    got = [v or "" for (v,) in rows_of(quality.resolve_unique(df, "v", "_"), "v")]
-    assert got == want
+        n, given = 1, v
+        while v and given in taken:
+            given, n = f"{v}_{n}", n + 1
+        taken.add(given)
+        out.append(given)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unique_suffix_is_sequential(spark, seed, monkeypatch):
+    monkeypatch.setattr(quality, "SUFFIX_BLOCK", 5)
+    rng = random.Random(seed)
+    texts = ["x", "x_1", "y", "x_2", "y_1_1", "", None, "x_5", "x_9", "x_05", "_1", "_1_1", "x_1_2", "x_9_9", "z\n_1", "z\n", "x_3"]
+    data = [(f, i, rng.choice(texts[: 5 + 6 * seed])) for f in range(2) for i in range(150)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    assert [v or "" for (v,) in rows_of(quality.resolve_unique(df, "v", "_"), "v")] == made_unique(v for _, _, v in data)
+    got = [v or "" for (v,) in rows_of(quality.resolve_unique(df, "v", "_", by_file=True), "v")]
+    assert got == made_unique(v for f, _, v in data if f == 0) + made_unique(v for f, _, v in data if f == 1)
+
+
+def test_unique_numbers_of_one_stem():
+    rng = random.Random(4)
+    for _ in range(300):
+        texts = ["x", *(f"x_{n}" for n in rng.sample(range(1, 14), 6)), "x_2_1", "x_2_2", "x_3_1"]
+        values = [rng.choice(texts[: rng.randint(2, 10)]) for _ in range(rng.randint(2, 60))]
+        rows = []
+        for t in set(values):
+            parent, _, n = t.rpartition("_")
+            rows.append((t, values.count(t), parent or None, int(n) if parent else 0, values[: values.index(t)].count(parent)))
+        table = {(t, b): rest for t, b, *rest in quality._numbered(pd.DataFrame(rows, columns=["__text", "n", "parent", "number", "earlier"]), 3)}
+        got, seen = [], Counter()
+        for v in values:
+            first, base, steps = table[v, seen[v] // 3]
+            j = seen[v] + first
+            seen[v] += 1
+            got.append(f"{v}_{j + max([s for at, s in steps if at <= j], default=base)}" if j else v)
+        assert got == made_unique(values)
+
+
+def test_unique_suffix_must_be_readable(spark):
+    df = spark.createDataFrame([(0, 0, "a")], SCHEMA)
+    for suffix in ("", "-1"):
+        with pytest.raises(ValueError, match="suffix"):
+            quality.resolve_unique(df, "v", suffix)
 
 
 def test_dedupe_scopes(spark):
