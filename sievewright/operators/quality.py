@@ -126,7 +126,8 @@ def repeat_number(df: DataFrame, key: str, by: list[str], order: list[str], bloc
     at = [*by, key, *[c for c in file if c not in by], "__block"]
     before = Window.partitionBy(*by, key).orderBy(*[c for c in file if c not in by], "__block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut.groupBy(*at).agg(F.sum("__one").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    own = F.coalesce(F.sum("__one").over(Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = Window.partitionBy(*at).orderBy(*order)
+    own = F.row_number().over(rows) - 1 if counted is None else F.coalesce(F.sum("__one").over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return cut.withColumn("__own", own).join(sizes, at).withColumn("__k", F.col("__start") + F.col("__own")).drop("__block", "__own", "__start", "__one")
 
 
@@ -213,8 +214,11 @@ def resolve_unique(df: DataFrame, name: str, suffix: str, by_file: bool = False)
     calm = found.filter("__texts IS NULL OR __text = ''").select(*df.columns)
     one = repeat_number(found.filter("__texts = 1 AND __text <> ''"), "__text", by, order)
     plain = F.when(F.col("__k") > 0, F.concat("__text", F.lit(suffix), F.col("__k").cast("string"))).otherwise(F.col("__text"))
+    out = calm.unionByName(one.withColumn(name, plain).select(*df.columns))
+    if not stems.filter("__texts > 1").limit(1).count():  # one aggregate instead of the scans of a branch without rows
+        return out
     mixed = _mixed_unique(found.filter("__texts > 1 AND __text <> ''"), name, suffix, by, order)
-    return calm.unionByName(one.withColumn(name, plain).select(*df.columns)).unionByName(mixed.select(*df.columns))
+    return out.unionByName(mixed.select(*df.columns))
 
 
 def enforce(df: DataFrame, spec: FieldSpec) -> DataFrame:
