@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import cells, mercator, patterns, urls
-from sievewright.operators import clean, documents, generate, incremental, pages, profile, quality, records, tables
+from sievewright.operators import clean, documents, generate, incremental, pages, profile, profile_state, quality, records, tables, uniqueness
 from sievewright.operators.clean import ROW
 from sievewright.plans.config import Constraint, Fallback, FieldSpec, Generate, Op, Task
 from sievewright.plans.task import build
-from sievewright.sources import sinks
+from sievewright.sources import sinks, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -786,3 +786,34 @@ def task_functions(spark, sf_dir):
     task = Task("functions", fields=fields, ops=({"op": "filter", "field": "event_type", "condition": "in", "filter_values": ("VIEW",), "filter_action": "drop"},), functions=(pre, post))
     source = events(spark, sf_dir).withColumn("user_id", F.col("user_id").cast("string"))
     return build(task, source, observe=False).result.select("event_id", "event_type", "tag")
+
+
+# state that outlives a run
+
+
+@query("uniq_three_runs", """SELECT o_orderstatus AS run, o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey) > 1 AS again FROM orders""")
+def uniq_three_runs(spark, sf_dir):
+    """The orders of one status after the other, as runs: whose customer was accepted before."""
+    orders, out = table(spark, sf_dir, "orders"), None
+    index = uniqueness.UniqueIndex(spark, work.new_path(spark, "unique-index"))
+    for run in [r[0] for r in orders.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()]:  # a run for each status
+        rows = orders.filter(F.col("o_orderstatus") == run).select(F.col("o_orderstatus").alias("run"), "o_orderkey", "o_custkey", F.col("o_orderkey").alias(ROW))
+        index.add(rows, "o_custkey", run)
+        found = index.marked(rows, "o_custkey", before=run).select("run", "o_orderkey", "o_custkey", F.col("__again_o_custkey").alias("again"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("prof_merged_state", """
+    WITH long AS (SELECT f AS field, t AS text FROM (SELECT unnest(['o_orderpriority', 'o_totalprice']) AS f, unnest([o_orderpriority, o_totalprice::VARCHAR]) AS t FROM orders)),
+    v AS (SELECT field, text, CASE WHEN text <> '' THEN length(text) END AS n, try_cast(text AS DOUBLE) AS x FROM long)
+    SELECT field, count(*) AS n, count(*) FILTER (coalesce(text, '') = '') AS n_empty, min(n) AS min_length, max(n) AS max_length, round(avg(n), 6) AS mean_length,
+        count(x) AS n_numbers, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS stddev, min(x) AS least, max(x) AS most FROM v GROUP BY field""")
+def prof_merged_state(spark, sf_dir):
+    """The orders profiled one status after the other; the profile merges stored state."""
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", F.col("o_totalprice").cast("string").alias("o_totalprice"))
+    store = profile_state.ProfileStore(spark, work.new_path(spark, "profile-state"), ["o_orderpriority", "o_totalprice"])
+    for run in [r[0] for r in orders.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()]:
+        store.refresh([run], lambda _, run=run: orders.filter(F.col("o_orderstatus") == run))
+    rounded = [F.round(c, d).alias(c) for c, d in (("mean_length", 6), ("mean", 4), ("stddev", 4))]
+    return store.profile().select("field", "n", "n_empty", "min_length", "max_length", rounded[0], "n_numbers", *rounded[1:], "least", "most")
