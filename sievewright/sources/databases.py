@@ -7,16 +7,21 @@ row ids and tasks read them, so the file must be reachable by every executor.
 from __future__ import annotations
 
 import contextlib
-import datetime
+import io
 import json
+import os
 import sqlite3
+import uuid
 import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sievewright.sources.work import new_path
+
 RANGE_ROWS = 100_000
 PAGE_ROWS = 1_000_000  # the largest page that may be asked for
 
@@ -129,23 +134,42 @@ def page(df: DataFrame, order: list[str], limit: int = 50, offset: int = 0) -> D
     return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, PAGE_ROWS)))
 
 
+def _exported(c: str, kind: str) -> Column:
+    """Bytes as hex and times in ISO form, as JSON has neither."""
+    if kind == "binary":
+        return F.lower(F.hex(c))
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if kind.startswith("timestamp") else F.col(f"`{c}`")
+
+
 def export_document(spark: SparkSession, path: str, target: str, names: list[str] | None = None) -> dict:
-    """The database as one JSON document ``{version, type, tables: [{name, schema, rows}]}`` in a ZIP; rows are streamed."""
-
-    def shown(v):
-        return v.hex() if isinstance(v, bytes | bytearray) else v.isoformat() if isinstance(v, datetime.date | datetime.datetime) else v
-
-    counts = {}
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as package, package.open("database.json", "w", force_zip64=True) as out:
-        out.write(b'{"version":1,"type":"sqlite","tables":[')
-        for n, name in enumerate(names if names is not None else tables(path)):
-            out.write(("," * (n > 0) + f'{{"name":{json.dumps(name)},"schema":{json.dumps(schema(path, name))},"rows":[').encode())
-            counts[name] = 0
-            for row in scan(spark, path, name).toLocalIterator():
-                out.write(("," * (counts[name] > 0) + json.dumps({k: shown(v) for k, v in row.asDict().items()}, ensure_ascii=False)).encode())
-                counts[name] += 1
+    """The database as one JSON document ``{version, type, tables: [{name, schema, rows}]}`` in a ZIP.
+
+    Tasks write the rows of each table as JSON lines to the shared folder; the document is joined from these files, line by line as bytes, and put in place by a rename.
+    """
+    counts, staging, draft = {}, new_path(spark, "export"), f"{target}.{uuid.uuid4().hex}"
+    fs, root = pafs.FileSystem.from_uri(staging)
+    try:
+        with zipfile.ZipFile(draft, "w", zipfile.ZIP_DEFLATED) as package, package.open("database.json", "w", force_zip64=True) as out:
+            out.write(b'{"version":1,"type":"sqlite","tables":[')
+            for n, name in enumerate(names if names is not None else tables(path)):
+                out.write(("," * (n > 0) + f'{{"name":{json.dumps(name)},"schema":{json.dumps(schema(path, name))},"rows":[').encode())
+                rows = scan(spark, path, name)
+                rows = rows.select(F.to_json(F.struct(*[_exported(c, t).alias(c) for c, t in rows.dtypes]), {"ignoreNullFields": "false"}).alias("value"))
+                rows.write.text(f"{staging}/{n}")
+                counts[name] = 0
+                for part in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/{n}")) if f.base_name.startswith("part-")):
+                    with fs.open_input_stream(part) as lines:
+                        for line in io.BufferedReader(lines):
+                            out.write(b"," * (counts[name] > 0) + line.rstrip(b"\n"))
+                            counts[name] += 1
+                out.write(b"]}")
             out.write(b"]}")
-        out.write(b"]}")
+        os.replace(draft, target)
+    finally:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(draft)
+        with contextlib.suppress(FileNotFoundError):
+            fs.delete_dir(root)
     return {"tables": len(counts), "rows": sum(counts.values())}
 
 

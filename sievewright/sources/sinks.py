@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import zipfile
-from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +11,6 @@ from sievewright.functions.cells import neutral_formula
 from sievewright.operators.clean import text_of
 from sievewright.operators.incremental import insert_or_ignore
 
-SHEET_ROWS, SHEET_COLUMNS, CELL_CHARS = 1_048_576, 16_384, 32_767
-
 
 def as_text(df: DataFrame, neutral: bool = False) -> DataFrame:
     one = neutral_formula if neutral else lambda c: c
@@ -33,35 +29,6 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     as_text(df).write.mode(mode).parquet(path)
 
 
-def write_xlsx(df: DataFrame, path: str) -> dict[str, int]:
-    """One local workbook, streamed row by row; refuses what a sheet cannot hold and counts cut cells."""
-    if len(df.columns) > SHEET_COLUMNS:
-        raise ValueError("a sheet has at most 16,384 columns")
-    cut = rows = 0
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
-        z.writestr("_rels/.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="data" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        with z.open("xl/worksheets/sheet1.xml", "w") as f:
-            f.write(b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
-
-            def line(cells: list[str]) -> None:
-                nonlocal cut
-                cut += sum(len(c) > CELL_CHARS for c in cells)
-                shown = "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f]", "", c[:CELL_CHARS]))}</t></is></c>' for c in cells)
-                f.write(f"<row>{shown}</row>".encode())
-
-            line(df.columns)
-            for r in as_text(df).toLocalIterator(prefetchPartitions=True):
-                rows += 1
-                if rows >= SHEET_ROWS:
-                    raise ValueError("a sheet has at most 1,048,576 rows")
-                line(list(r))
-            f.write(b"</sheetData></worksheet>")
-    return {"rows": rows, "cut": cut}
-
-
 def append_new(df: DataFrame, path: str, key: str, order: list[str]) -> dict[str, int]:
     """Insert-or-ignore into a Parquet store: the store wins, then the first row; a store that is not there is made."""
     spark = df.sparkSession

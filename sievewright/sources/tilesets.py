@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import mercator
-from sievewright.operators.records import tile_inventory, tile_summary
+from sievewright.operators.records import tile_inventory
 
 # First bytes of image formats.
 MAGIC = {b"\x89PNG": "png", b"\xff\xd8\xff": "jpg", b"RIFF": "webp"}
@@ -37,19 +37,3 @@ def read_mbtiles(spark: SparkSession, path: str) -> DataFrame:
 
     tiles = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "z long, x long, y long, format string, content binary")
     return tiles.withColumn("y", mercator.flip_row(F.col("y"), F.col("z"))).filter(mercator.is_valid(F.col("x"), F.col("y"), F.col("z")))
-
-
-def write_mbtiles(tiles: DataFrame, path: str, name: str = "tiles") -> dict:
-    """One local MBTiles file, streamed partition by partition; the first of repeated tiles stays. Returns its metadata."""
-    one = tile_summary(tiles).first()
-    meta = {"name": name, "format": one.formats.split(",")[0], "minzoom": one.min_zoom, "maxzoom": one.max_zoom, "bounds": f"{one.west:.6f},{one.south:.6f},{one.east:.6f},{one.north:.6f}"}
-    db = sqlite3.connect(path)
-    with db:
-        db.execute("CREATE TABLE metadata (name text, value text)")
-        db.execute("CREATE TABLE tiles (zoom_level integer, tile_column integer, tile_row integer, tile_data blob)")
-        db.execute("CREATE UNIQUE INDEX tile_index ON tiles (zoom_level, tile_column, tile_row)")
-        db.executemany("INSERT INTO metadata VALUES (?, ?)", [(k, str(v)) for k, v in meta.items()])
-        rows = tiles.select("z", "x", mercator.flip_row(F.col("y"), F.col("z")).alias("y"), "content").toLocalIterator()
-        db.executemany("INSERT OR IGNORE INTO tiles VALUES (?, ?, ?, ?)", ((r.z, r.x, r.y, bytes(r.content)) for r in rows))
-    db.close()
-    return meta

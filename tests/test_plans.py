@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievewright.plans import task as plans
 from sievewright.plans.config import ConfigError, Constraint, Fallback, FieldSpec, Generate, Op, Task
-from sievewright.sources import files, sinks
+from sievewright.sources import files, sinks, writers
 from sievewright.streaming import clean as streams
 
 
@@ -103,7 +103,7 @@ def test_jsonl(spark, tmp_path):
 def test_workbooks_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a<&>", 1.0), (None, 2.5), ("x" * 40000, None)], "s string, n double").coalesce(1)
     path = str(tmp_path / "t.xlsx")
-    assert sinks.write_xlsx(df, path) == {"rows": 3, "cut": 1}
+    assert writers.write_xlsx(df, path) == {"rows": 3, "cut": 1}
     assert zipfile.ZipFile(path).testzip() is None
     got = files.read_xlsx(spark, [files.Input("t", path, 0)]).orderBy("_row").collect()
     assert [(r.s[:10], r.n) for r in got] == [("a<&>", "1"), ("", "2.5"), ("x" * 10, "")]
@@ -202,7 +202,7 @@ def test_tilesets(spark, tmp_path):
         (folder / f"{y}.png").write_bytes(b"\x89PNG" + bytes([z, x, y]))
     tiles = tilesets.read_folder(spark, str(tmp_path / "t"))
     assert sorted((r.z, r.x, r.y) for r in tiles.collect()) == [(1, 0, 1), (1, 1, 0), (2, 3, 3)]
-    meta = tilesets.write_mbtiles(tiles, str(tmp_path / "t.mbtiles"))
+    meta = writers.write_mbtiles(tiles, str(tmp_path / "t.mbtiles"))
     assert (meta["minzoom"], meta["maxzoom"], meta["format"]) == (1, 2, "png")
     back = tilesets.read_mbtiles(spark, str(tmp_path / "t.mbtiles"))
     assert sorted((r.z, r.x, r.y, r.format, bytes(r.content)[-3:]) for r in back.collect()) == [(z, x, y, "png", bytes([z, x, y])) for z, x, y in ((1, 0, 1), (1, 1, 0), (2, 3, 3))]
