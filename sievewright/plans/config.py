@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from sievewright.functions.patterns import READ, WRITE, compiled, java, replacement, time_pattern
+from sievewright.operators.userfn import Limits
 
 OPS = ("trim", "lower", "upper", "nfkc", "replace", "regex_replace", "fill_null", "ffill", "cast", "date_format", "number_format", "slice", "concat", "drop_null", "filter", "dedupe")
 CONDITIONS = ("is_empty", "not_empty", "equals", "contains", "starts_with", "ends_with", "in", "gt", "gte", "lt", "lte")
@@ -168,10 +169,16 @@ class Function:
     phase: str = "pre"
     mode: str = "row"
     on_row_error: str = "keep"
+    limits: Limits | None = None
 
     def __post_init__(self) -> None:
         for n in ("input_fields", "output_fields"):
             object.__setattr__(self, n, tuple(getattr(self, n)))
+        if isinstance(self.limits, dict):
+            try:
+                object.__setattr__(self, "limits", Limits(**self.limits))
+            except (TypeError, ValueError) as e:
+                raise ConfigError(f"{self.name}: {e}") from e
         if self.phase not in ("pre", "post") or self.mode not in ("row", "column") or self.on_row_error not in ("keep", "empty"):
             raise ConfigError(f"{self.name}: phase is pre or post, mode row or column, on_row_error keep or empty")
         if not self.output_fields:

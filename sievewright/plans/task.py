@@ -94,7 +94,7 @@ def _run_functions(df: DataFrame, task: Task, phase: str) -> DataFrame:
     """The user functions of a phase, one after another; messages of failed rows stay in ``_error_<name>``."""
     for f in task.functions:
         if f.phase == phase:
-            df = userfn.apply_function(df, f.code, list(f.input_fields), list(f.output_fields), f.mode, f.on_row_error).withColumnRenamed("_error", f"_error_{f.name}")
+            df = userfn.apply_function(df, f.code, list(f.input_fields), list(f.output_fields), f.mode, f.on_row_error, f.limits).withColumnRenamed("_error", f"_error_{f.name}")
     return df
 
 
