@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.functions import cells, mercator, patterns, urls
+from sievewright.functions import cells, encodings, mercator, patterns, urls
 from sievewright.operators import clean, documents, generate, incremental, pages, profile, profile_state, quality, records, tables, uniqueness
 from sievewright.operators.clean import ROW
 from sievewright.plans.config import Constraint, Fallback, FieldSpec, Generate, Op, Task
@@ -691,7 +691,7 @@ def page_suggestions(spark, sf_dir):
 
 @query("page_decoded", "SELECT doc_id, text FROM documents")
 def page_decoded(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", pages.decoded(F.col("text").cast("binary")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", encodings.decoded(F.col("text").cast("binary")).alias("text"))
 
 
 def found_pages(spark, sf_dir):

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from sievewright.functions import encodings
+
 # File endings by kind, and the default patterns of discovery.
 ENDINGS = {"csv": "csv", "tsv": "csv", "txt": "csv", "xlsx": "xlsx", "xlsm": "xlsx", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet"}
 INCLUDE = ("*.csv", "*.xlsx", "*.jsonl")
@@ -87,20 +89,14 @@ def head(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> bytes:
         stream.close()
 
 
+# Java's names of encodings; the second kind is open to Spark only by a setting of the session.
+OTHER_CHARSETS = {"gb18030": "GB18030", "big5": "Big5", "shift_jis": "Shift_JIS", "euc_jp": "EUC-JP", "euc_kr": "EUC-KR", "cp1252": "windows-1252", "cp1251": "windows-1251"}
+JAVA_NAMES = {"utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"} | OTHER_CHARSETS
+
+
 def sniff_encoding(raw: bytes) -> str:
-    """By byte-order mark, then by NUL pattern, then strict UTF-8 (a cut last character is allowed), then GB 18030, else Latin-1."""
-    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
-        if raw.startswith(mark):
-            return name
-    if raw and raw.count(0) > len(raw) // 4:
-        return "utf-16-le" if raw[1::2].count(0) > raw[::2].count(0) else "utf-16-be"
-    for name in ("utf-8", "gb18030"):
-        try:
-            codecs.getincrementaldecoder(name)().decode(raw)
-            return name
-        except UnicodeDecodeError:
-            continue
-    return "latin-1"
+    """By byte-order mark, then by NUL bytes, then strict UTF-8 (a cut last character is allowed), else the likeliest encoding."""
+    return encodings.sniffed(raw)
 
 
 def sniff_delimiter(text: str) -> str:
@@ -155,9 +151,9 @@ def read_csv(spark: SparkSession, inputs: list[Input], delimiter: str | None = N
     first = next(csv.reader(io.StringIO(text), delimiter=delimiter), [])
     names = normal_headers(first) if header else [f"column_{i}" for i in range(1, len(first) + 1)]
     schema = StructType([StructField(n, StringType()) for n in names] + [StructField("_bad", StringType())])
-    wide = encoding.startswith("utf-16")
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "header": str(header).lower(), "enforceSchema": "true", "multiLine": str(multiline or wide).lower(), "encoding": {"utf-8-sig": "UTF-8", "gb18030": "GB18030", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"}.get(encoding, encoding.upper())}
-    if encoding == "gb18030":
+    wide = encoding.startswith(("utf-16", "utf-32"))
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "header": str(header).lower(), "enforceSchema": "true", "multiLine": str(multiline or wide).lower(), "encoding": JAVA_NAMES.get(encoding, encoding.upper())}
+    if encoding in OTHER_CHARSETS:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     rows = spark.read.schema(schema).options(**options).csv([i.path for i in inputs])
     out = numbered(_scan(rows, *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names], F.col("_bad").isNotNull().alias("_bad")), inputs)

@@ -8,7 +8,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from sievewright.functions import cells, patterns
+from sievewright.functions import cells, encodings, patterns
 from sievewright.operators import documents, pages
 from sievewright.sources import databases, packages, sinks
 
@@ -79,7 +79,7 @@ def test_page_fields(spark):
 def test_bytes_are_decoded(spark):
     text = "汉字新闻 and more"
     forms = [(text.encode("gb18030"), ""), (b"<meta charset=gbk>" + text.encode("gbk"), ""), (text.encode("utf-8-sig"), ""), (text.encode("utf-16"), ""), (text.encode("utf-8"), "text/html; charset=iso-8859-1"), (text.encode("big5", "ignore"), "text/html; charset=big5")]
-    got = [r[0] for r in spark.createDataFrame(forms, "b binary, h string").select(pages.decoded(F.col("b"), F.col("h"))).collect()]
+    got = [r[0] for r in spark.createDataFrame(forms, "b binary, h string").select(encodings.decoded(F.col("b"), F.col("h"))).collect()]
     assert all(g.endswith(" and more") for g in got) and [g.endswith(text) for g in got[:5]] == [True] * 5
 
 
