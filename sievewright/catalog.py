@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.functions import cells, encodings, mercator, patterns, urls
-from sievewright.operators import clean, documents, generate, incremental, pages, profile, profile_state, quality, records, tables, uniqueness
+from sievewright.operators import clean, documents, generate, geometry, incremental, pages, profile, profile_state, quality, records, tables, uniqueness
 from sievewright.operators.clean import ROW
 from sievewright.plans.config import Constraint, Fallback, FieldSpec, Generate, Op, Task
 from sievewright.plans.task import build
@@ -565,6 +565,48 @@ def tile_bbox_semi(spark, sf_dir):
     return records.tiles_in_box(tiled(spark, sf_dir), 10.25, 30.25, 20.5, 40.5).select("c_custkey")
 
 
+def zones(spark, sf_dir):
+    """A diamond with a diamond hole for each nation."""
+    n = F.col("n_nationkey")
+    lon, lat, r = n * 97 % 300 - 150, n * 53 % 120 - 60, n % 7 * 3 + 2
+    corners = lambda d: F.array(*[F.struct((lon + a * d).cast("double").alias("x"), (lat + b * d).cast("double").alias("y")) for a, b in ((1, 0), (0, 1), (-1, 0), (0, -1))])
+    return table(spark, sf_dir, "nation").select(n.alias("id"), F.array(corners(r), corners(r / 2)).alias("rings"))
+
+
+POINT = "(SELECT *, w + 0.41421356237 * (e - w) AS px, s + 0.73205080757 * (n - s) AS py FROM (SELECT c_custkey, z, x / pow(2, z) * 360 - 180 AS w, (x + 1) / pow(2, z) * 360 - 180 AS e, degrees(atan(sinh(pi() * (1 - 2 * y / pow(2, z))))) AS n, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / pow(2, z))))) AS s FROM " + XY + "))"
+SIDES = """(SELECT n_nationkey AS polygon, lon + a1 * d AS x1, lat + b1 * d AS y1, lon + a2 * d AS x2, lat + b2 * d AS y2
+    FROM (SELECT n_nationkey, (n_nationkey * 97 % 300 - 150)::DOUBLE AS lon, (n_nationkey * 53 % 120 - 60)::DOUBLE AS lat, unnest([n_nationkey % 7 * 3 + 2, (n_nationkey % 7 * 3 + 2) / 2.0])::DOUBLE AS d FROM nation),
+    (VALUES (1, 0, 0, 1), (0, 1, -1, 0), (-1, 0, 0, -1), (0, -1, 1, 0)) v(a1, b1, a2, b2))"""
+
+
+@query("tile_polygon_join", f"""
+    SELECT c_custkey, CAST(polygon AS VARCHAR) AS polygon FROM {POINT} t, {SIDES} g GROUP BY c_custkey, polygon
+    HAVING bool_or(least(x1, x2) <= e AND greatest(x1, x2) >= w AND least(y1, y2) <= n AND greatest(y1, y2) >= s
+        AND least((x2 - x1) * (s - y1) - (y2 - y1) * (w - x1), (x2 - x1) * (n - y1) - (y2 - y1) * (w - x1), (x2 - x1) * (s - y1) - (y2 - y1) * (e - x1), (x2 - x1) * (n - y1) - (y2 - y1) * (e - x1)) <= 0
+        AND greatest((x2 - x1) * (s - y1) - (y2 - y1) * (w - x1), (x2 - x1) * (n - y1) - (y2 - y1) * (w - x1), (x2 - x1) * (s - y1) - (y2 - y1) * (e - x1), (x2 - x1) * (n - y1) - (y2 - y1) * (e - x1)) >= 0)
+        OR count(*) FILTER ((y1 > py) <> (y2 > py) AND px < x1 + (py - y1) / nullif(y2 - y1, 0) * (x2 - x1)) % 2 = 1""")
+def tile_polygon_join(spark, sf_dir):
+    """Customers' tiles and the zones that they meet."""
+    return geometry.meeting(tiled(spark, sf_dir), zones(spark, sf_dir), 7).select("c_custkey", "polygon")
+
+
+@query("tile_union", """
+    WITH RECURSIVE t AS (SELECT DISTINCT c_custkey * 7919 % 6007 % 211 AS x, c_custkey * 104729 % 5003 % 199 AS y FROM customer),
+    e AS (SELECT x, y + 1 AS y, x + 1 AS p, y + 1 AS q FROM t UNION ALL SELECT x + 1, y + 1, x + 1, y FROM t UNION ALL SELECT x + 1, y, x, y FROM t UNION ALL SELECT x, y, x, y + 1 FROM t),
+    b AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.x = e.p AND o.y = e.q AND o.p = e.x AND o.q = e.y)),
+    s AS (SELECT a.x, a.y, a.p, a.q, n.p AS np, n.q AS nq FROM b a JOIN b n ON n.x = a.p AND n.y = a.q
+        QUALIFY row_number() OVER (PARTITION BY a.x, a.y, a.p, a.q ORDER BY -((a.p - a.x) * (n.q - n.y) - (a.q - a.y) * (n.p - n.x)) DESC) = 1),
+    w AS (SELECT x AS x0, y AS y0, p AS p0, q AS q0, x, y, p, q, np, nq FROM s UNION ALL
+        SELECT w.x0, w.y0, w.p0, w.q0, s.x, s.y, s.p, s.q, s.np, s.nq FROM w JOIN s ON s.x = w.p AND s.y = w.q AND s.p = w.np AND s.q = w.nq WHERE NOT (w.p = w.x0 AND w.q = w.y0 AND w.np = w.p0 AND w.nq = w.q0)),
+    l AS (SELECT x0, y0, p0, q0, min((x, y, p, q)) AS first, count(*) AS n_edges, -sum(x * q - p * y) / 2.0 AS area FROM w GROUP BY ALL)
+    SELECT x0 AS x, y0 AS y, n_edges, CAST(area AS DOUBLE) AS area FROM l WHERE first = (x0, y0, p0, q0)""")
+def tile_union(spark, sf_dir):
+    """The outline of the cells of a grid that customers fall into, as rings."""
+    key = F.col("c_custkey")
+    tiles = table(spark, sf_dir, "customer").select(F.lit(7).alias("z"), (key * 7919 % 6007 % 211).alias("x"), (key * 104729 % 5003 % 199).alias("y")).distinct()
+    return geometry.dissolved(geometry.tile_edges(tiles), ["z"], up=False).select("x", "y", "n_edges", "area")
+
+
 # samples
 
 
