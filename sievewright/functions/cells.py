@@ -165,7 +165,8 @@ def number_text(c: Column, decimals: int | None, thousands: bool = False, kind:
 def _large(c: Column) -> Column:
     """A finite number too large for decimal(38,18), to its last whole digit, up to 38 digits."""
     t = strip(c.cast("string"))
-    return F.when(t.rlike(FLOAT) & ~t.rlike(r"(?i)nan|inf"), F.regexp_replace(t, "_", "").try_cast("decimal(38,0)"))
+    long = (F.length(c) > 20) | c.contains("e") | c.contains("E")  # all others fit decimal(38,18)
+    return F.when(long & t.rlike(FLOAT) & ~t.rlike(r"(?i)nan|inf"), F.regexp_replace(t, "_", "").try_cast("decimal(38,0)"))
 
 
 def _number_text(value: Column, decimals: int | None, thousands: bool, kind: str) -> Column:

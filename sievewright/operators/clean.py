@@ -48,18 +48,25 @@ def _changed_text(df: DataFrame, op: Op) -> Column | None:
     return None
 
 
-def predicate(df: DataFrame, op: Op) -> Column:
-    """Whether a row matches a filter's condition; empty cells match nothing but emptiness."""
+ORDERED = ("gt", "gte", "lt", "lte")
+
+
+def bound(value: Column) -> Column:
+    """The value, computed once for each row: conditions on it are not pushed below, where every use would compute it again."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+def predicate(df: DataFrame, op: Op, cell: Column | None = None) -> Column:
+    """Whether a row matches a filter's condition; empty cells match nothing but emptiness. ``cell`` may stand for the field's text."""
     c = F.col(op.field)
     if op.condition in ("is_empty", "not_empty"):
         return cells.is_empty(c) if op.condition == "is_empty" else ~cells.is_empty(c)
-    text = text_of(df, op.field)
-    if op.condition in ("gt", "gte", "lt", "lte"):
-        numeric = cells.is_number(_kind(df, op.field))
+    text = text_of(df, op.field) if cell is None else cell
+    if op.condition in ORDERED:
         limit = F.lit(str(op.value).strip())
         out = F.lit(None).cast("boolean")
-        for value, bound in reversed(list(zip(cells.magnitudes(c.cast("string") if numeric else text), cells.magnitudes(limit), strict=True))):
-            same = {"gt": value > bound, "gte": value >= bound, "lt": value < bound, "lte": value <= bound}[op.condition]
+        for value, end in reversed(list(zip(cells.magnitudes(text), cells.magnitudes(limit), strict=True))):
+            same = {"gt": value > end, "gte": value >= end, "lt": value < end, "lte": value <= end}[op.condition]
             out = F.coalesce(same, out)
         out = out & F.lit(_kind(df, op.field) != "boolean")
     else:
@@ -193,9 +200,14 @@ def apply_op(df: DataFrame, op: Op, slot: int = 0, observe=None) -> DataFrame:
     if op.op == "filter":
         if observe is None and (bare := scan_filter(df, op)) is not None:
             return df.filter(bare)
-        matched = predicate(df, op)
+        if op.condition in ORDERED:
+            text = F.col(op.field).cast("string") if cells.is_number(_kind(df, op.field)) else text_of(df, op.field)
+            df = df.withColumn("__cell", bound(text))
+            matched = predicate(df, op, F.col("__cell"))
+        else:
+            matched = predicate(df, op)
         out = told(df.withColumn("__match", matched), name, matched=F.count_if("__match"))
-        return out.filter(F.col("__match") if op.filter_action == "keep" else ~F.col("__match")).drop("__match")
+        return out.filter(F.col("__match") if op.filter_action == "keep" else ~F.col("__match")).drop("__match", "__cell")
     keys = list(op.subset) or [c for c in df.columns if not c.startswith("_")]
     return first_rows(df, keys, file if op.scope == "file" else [], order)
 

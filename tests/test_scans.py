@@ -38,3 +38,14 @@ PYTHON = {"op_nfkc", "web_links", "web_records", "json_flatten", "json_diff", "f
 def test_built_in_plans(spark, name):
     plan = plan_of(catalog.QUERIES[name](spark, SF))
     assert not any(w in plan for w in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "CartesianProduct"))
+
+
+@pytest.mark.parametrize("name", ["clean_events", "op_number_format", "op_filter_large", "op_number_large", "con_priority"])
+def test_plans_compile(spark, name):
+    """No stage falls back to interpretation because its code is too large."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
