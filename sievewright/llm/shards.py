@@ -8,11 +8,14 @@ place without overwriting. Of two writers of one version one fails and commits a
 is, a compaction only if its shards are still there. Every ``CHECKPOINT`` versions a marker also names a table of all
 live shards, so a version is read from one such table and at most ``CHECKPOINT`` deltas. Readers only see whole versions.
 
+Every version has a schema: the columns of all arrivals so far, those of later ones after those of earlier ones; shards without a column read as null. A column of the same name
+must keep its type. Compaction and reading go by the version's schema, so no column of any arrival is lost.
+
 Nothing is deleted but by ``vacuum``: it drops versions that are neither among the latest ``keep`` nor young enough, and the shards that
-only these name. Folders no version ever named, such as another writer's work before its commit, are left alone.
+only these name. It lists the shards first, so what a crash leaves of them is deleted by the next one. Folders no version ever named, such as another writer's work before its commit, are left alone.
 
 Cases: nulls in any column, empty and long texts and repeated rows are stored as they are; an empty arrival commits a version
-without new shards; clashing column names cannot arise, a shard has the columns of the arrival; a version that was never
+without new shards; names that differ in case only are one column, with its first spelling; a column whose type changes raises ``ValueError`` before anything is committed; a version that was never
 committed or is vacuumed raises ``LookupError``.
 """
 
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from sievewright.llm import store
 
@@ -52,6 +56,15 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
+def widened(old: StructType, new: StructType) -> StructType:
+    """The old columns and, after them, new ones; one that is there already must have its type."""
+    known = {f.name.lower(): f for f in old.fields}
+    for f in new.fields:
+        if f.name.lower() in known and known[f.name.lower()].dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"column {f.name} is {known[f.name.lower()].dataType.simpleString()} in the store, not {f.dataType.simpleString()}")
+    return StructType([*old.fields, *(StructField(f.name, f.dataType) for f in new.fields if f.name.lower() not in known)])
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN, small_bytes: int = SMALL_BYTES):
         self.spark, self.path = spark, path.rstrip("/")
@@ -99,16 +112,27 @@ class ShardStore:
         gone = changed.filter("not added").select("path")
         return live.unionByName(changed.filter("added").drop("added")).join(gone, "path", "left_anti").select(*live.columns)
 
-    def _commit(self, added: DataFrame, removed: DataFrame | None = None, at: int | None = None) -> int:
+    def schema(self, version: int | None = None) -> StructType:
+        """The columns of a version (the latest if not named); none in an empty store."""
+        known = self.versions()
+        if version is None and not known:
+            return StructType([])
+        version = known[-1] if version is None else version
+        if version not in known:
+            raise LookupError(f"version {version} is not in the store")
+        return StructType.fromJson(self._marker(version)["schema"])
+
+    def _commit(self, added: DataFrame, removed: DataFrame | None = None, at: int | None = None, columns: StructType | None = None) -> int:
         """Write the delta, then put its marker in place as version ``at`` (the next one) unless someone else did."""
         known = self.versions()
         version, tag = (known[-1] + 1 if known else 0) if at is None else at, uuid.uuid4().hex[:12]
         where = f"{self.path}/_manifests/v{version:08d}-{tag}"
+        own = widened(self.schema(version - 1) if version else StructType([]), columns or StructType([]))
         delta = added.select(F.lit(True).alias("added"), "path", "bytes", "n_rows", "arrival")
         if removed is not None:
             delta = delta.unionByName(removed.select(F.lit(False).alias("added"), "path", "bytes", "n_rows", "arrival"))
         delta.write.parquet(where)
-        marker = {"version": version, "delta": where, "time": time.time()}
+        marker = {"version": version, "delta": where, "time": time.time(), "schema": own.jsonValue()}
         if version % CHECKPOINT == 0:
             changed = self.spark.read.schema(DELTA).parquet(where)
             before = self.manifest(version - 1) if version else self.spark.createDataFrame([], MANIFEST)
@@ -138,14 +162,14 @@ class ShardStore:
                 raise FileExistsError(f"{name} already exists: another writer committed it") from e
             raise
 
-    def _committed(self, added: DataFrame, removed: DataFrame | None = None) -> int | None:
+    def _committed(self, added: DataFrame, removed: DataFrame | None = None, columns: StructType | None = None) -> int | None:
         """Commit, again on top of others' versions where these came first; None if shards to remove are gone by then."""
         while True:
             known = self.versions()
             if removed is not None and removed.join(self.manifest(), "path", "left_anti").limit(1).count():
                 return None
             try:
-                return self._commit(added, removed, known[-1] + 1 if known else 0)
+                return self._commit(added, removed, known[-1] + 1 if known else 0, columns)
             except FileExistsError:
                 continue
 
@@ -158,8 +182,9 @@ class ShardStore:
 
     def append(self, rows: DataFrame) -> int:
         where, known = f"{self.path}/data/a-{uuid.uuid4().hex[:12]}", self.versions()
+        widened(self.schema(), rows.schema)
         rows.write.parquet(where)
-        return self._committed(self._shards(where, known[-1] + 1 if known else 0, rows.schema))
+        return self._committed(self._shards(where, known[-1] + 1 if known else 0, rows.schema), columns=rows.schema)
 
     def tier(self, size: int) -> int:
         """Tier of a file size; the last tier is final."""
@@ -177,10 +202,16 @@ class ShardStore:
         due = [r.tier for r in open_.groupBy("tier").count().filter(F.col("count") >= self.fan_in).orderBy("tier").limit(1).collect()]
         return open_.filter(F.col("tier") == due[0]).orderBy("arrival", "path").limit(MERGE_FILES).drop("tier").collect() if due else []
 
-    def compact(self, schema) -> int | None:
-        """Merge every tier that is due, smallest first, each in one job and one commit; the last version made."""
+    def compact(self, schema: StructType | None = None) -> int | None:
+        """Merge every tier that is due, smallest first, each in one job and one commit; the last version made.
+
+        Merged shards have the columns of the store; a ``schema`` that lacks some of them is refused.
+        """
+        if schema is not None and (lost := {f.name.lower() for f in self.schema().fields} - {f.name.lower() for f in schema.fields}):
+            raise ValueError(f"compaction would lose {', '.join(sorted(lost))}")
         done = None
         while files := self._due():
+            schema = self.schema()
             where = f"{self.path}/data/c-{uuid.uuid4().hex[:12]}"
             with settings(self.spark, spark__sql__files__maxPartitionBytes=str(self.target), spark__sql__files__openCostInBytes="0", spark__sql__files__minPartitionNum="1"):
                 self.spark.read.schema(schema).parquet(*[f.path for f in files]).write.parquet(where)
@@ -199,6 +230,7 @@ class ShardStore:
         kept = known[known.index(kept[0]) :] if kept else known  # versions stay without gaps
         dropped = [v for v in known if v < kept[0]] if kept else []
         if not dropped:
+            self._sweep()
             return []
         hadoop, fs = self._fs()
         named = None  # all shards the dropped versions name; those of the first kept version and later additions stay
@@ -208,18 +240,36 @@ class ShardStore:
                 added = added.unionByName(self.spark.read.schema(MANIFEST).parquet(markers[v]["whole"]).select("path"))
             named = added if named is None else named.unionByName(added)
         dead = named.distinct().join(self.manifest(kept[0]).select("path"), "path", "left_anti")
-        paths = [r.path for r in dead.toLocalIterator()]
+        dead.write.parquet(f"{self.path}/_dead/{uuid.uuid4().hex[:12]}")  # first the list: what a crash leaves is found by the next vacuum
         if "whole" not in markers[kept[0]]:  # the first version that stays must be readable by itself
             whole = f"{markers[kept[0]]['delta']}-whole"
             self.manifest(kept[0]).write.mode("overwrite").parquet(whole)
             self._put(f"v{kept[0]:08d}", markers[kept[0]] | {"whole": whole}, over=True)
         for v in dropped:
             fs.delete(hadoop.Path(f"{self.path}/_commits/v{v:08d}"), False)
-        for path in paths:
-            fs.delete(hadoop.Path(path), False)
+        self._sweep()
         return dropped
 
-    def read(self, schema, version: int | None = None) -> DataFrame:
+    def _sweep(self) -> None:
+        """Delete the shards that vacuums have listed and no version names."""
+        hadoop, fs = self._fs()
+        for listed in fs.globStatus(hadoop.Path(f"{self.path}/_dead/*")) or []:
+            where, left = listed.getPath().toString(), self._named()
+            if fs.exists(hadoop.Path(f"{where}/_SUCCESS")):
+                for r in self.spark.read.schema("path string").parquet(where).join(left, "path", "left_anti").toLocalIterator():
+                    fs.delete(hadoop.Path(r.path), False)
+            fs.delete(listed.getPath(), True)
+
+    def _named(self) -> DataFrame:
+        """The paths that any version names."""
+        known = self.versions()
+        live = self.manifest(known[0]).select("path") if known else self.spark.createDataFrame([], "path string")
+        deltas = [self._marker(v)["delta"] for v in known[1:]]
+        return live.unionByName(self.spark.read.schema(DELTA).parquet(*deltas).filter("added").select("path")).distinct() if deltas else live
+
+    def read(self, schema: StructType | None = None, version: int | None = None) -> DataFrame:
+        """The rows of a version (the latest if not named), with all its columns or those of ``schema``."""
+        schema = self.schema(version) if schema is None else schema
         paths = [r.path for r in self.manifest(version).select("path").collect()]  # one row per file, as Spark's own file index
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -246,5 +296,5 @@ def sharded(docs: DataFrame, path: str | None = None, n_arrivals: int = 4, targe
     kept = ShardStore(spark, path or store.new_path(spark, "shards"), target_bytes)
     for rows in arrivals(docs, n_arrivals):
         kept.append(rows)
-        kept.compact(docs.schema)
-    return kept, kept.read(docs.schema)
+        kept.compact()
+    return kept, kept.read()

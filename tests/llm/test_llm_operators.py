@@ -627,7 +627,7 @@ def test_long_lists_and_groups_in_parts(spark, monkeypatch):
     for (i, _), g in zip(rows, wide_groups(rows), strict=True):
         want[g].add(i)
     assert groups() == sorted(map(sorted, want.values()))
-    monkeypatch.setattr(simhash, "LIST_ROWS", 8), monkeypatch.setattr(simhash, "SALTS", 3)
+    monkeypatch.setattr(simhash, "LIST_ROWS", 8), monkeypatch.setattr(simhash, "GROUP_ROWS", 8), monkeypatch.setattr(simhash, "SALTS", 3)
     assert groups() == sorted(map(sorted, want.values()))
 
 
@@ -805,6 +805,41 @@ def test_two_writers_lose_nothing_and_versions_stay(spark, docs, tmp_path, monke
     assert one.read(docs.schema).count() == docs.count() + 3
 
 
+def test_columns_that_differ_between_arrivals(spark, tmp_path):
+    one = shards.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, fan_in=2)
+    assert one.schema().fields == [] and one.append(spark.createDataFrame([(1, "a")], "id long, t string")) == 0
+    one.append(spark.createDataFrame([(2, 0.5)], "id long, extra double"))
+    one.append(spark.createDataFrame([("c", 3)], "T string, id long"))
+    want = [(1, "a", None), (2, None, 0.5), (3, "c", None)]
+    with pytest.raises(ValueError):
+        one.compact(spark.createDataFrame([], "id long, t string").schema)
+    assert sorted(map(tuple, one.read().collect())) == want and one.read().columns == ["id", "t", "extra"]
+    last = one.compact()
+    assert last is not None and one.manifest().count() == 1 and sorted(map(tuple, one.read().collect())) == want
+    assert [len(one.schema(v).fields) for v in range(3)] == [2, 3, 3] and one.read(version=0).columns == ["id", "t"]
+    with pytest.raises(ValueError):
+        one.append(spark.createDataFrame([("x",)], "id string"))
+    assert one.versions()[-1] == last
+
+
+def test_crash_in_vacuum_leaks_nothing(spark, tmp_path, monkeypatch):
+    import os
+
+    one = shards.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, fan_in=2)
+    for n in range(3):
+        one.append(spark.createDataFrame([(n,)], "id long"))
+    one.compact()
+    files = lambda: sum(n.endswith(".parquet") for d, _, names in os.walk(f"{tmp_path}/s/data") for n in names)
+    before = files()
+    monkeypatch.setattr(shards.ShardStore, "_sweep", lambda self: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        one.vacuum(keep=1, age=0)
+    monkeypatch.undo()
+    assert files() == before and len(one.versions()) == 1  # the markers are gone, the shards are not
+    assert one.vacuum(keep=1, age=0) == [] and files() < before and sorted(r.id for r in one.read().collect()) == [0, 1, 2]
+    assert not os.listdir(f"{tmp_path}/s/_dead")
+
+
 def test_a_compaction_that_lost_its_shards_is_dropped(spark, docs, tmp_path):
     one = shards.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, fan_in=2)
     for n in range(2):
