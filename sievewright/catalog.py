@@ -147,7 +147,14 @@ constrained("con_type_int", f"SELECT event_id, 'type' AS kind FROM {EVENTS} WHER
 constrained("con_type_float", f"SELECT event_id, 'type' AS kind FROM {EVENTS} WHERE event_id % 7 = 0", "number", Constraint("type", type="float"))
 constrained("con_type_bool", f"SELECT event_id, 'type' AS kind FROM {EVENTS} WHERE trim(number) NOT IN ('0', '1')", "number", Constraint("type", type="bool"))
 constrained("con_format_date", f"SELECT event_id, 'format' AS kind FROM {EVENTS} WHERE length(day) < 10", "day", Constraint("format", format="date"))
-constrained("con_format_url", r"SELECT page_id, 'format' AS kind FROM pages WHERE NOT regexp_full_match(url, 'https?://[^\s/$.?#].[^\s]*', 'i')", "url", Constraint("format", format="url"), source=plain("pages", "page_id"), key="page_id")
+def broken_urls(spark, sf_dir):
+    """Pages' addresses, of which some lost a slash, their scheme or got a blank."""
+    i = F.col("page_id")
+    return plain("pages", "page_id")(spark, sf_dir).withColumn("url", F.when(i % 5 == 0, F.replace("url", F.lit("://"), F.lit(":/"))).when(i % 5 == 1, F.replace("url", F.lit("http"), F.lit("ftp"))).when(i % 5 == 2, F.concat("url", F.lit(" x"))).when(i % 5 == 3, F.upper("url")).otherwise(F.col("url")))
+
+
+constrained("con_format_url", r"""SELECT page_id, 'format' AS kind FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN replace(url, '://', ':/') WHEN 1 THEN replace(url, 'http', 'ftp') WHEN 2 THEN url || ' x' WHEN 3 THEN upper(url) ELSE url END AS url FROM pages)
+    WHERE NOT regexp_full_match(url, 'https?://[^\s/$.?#].[^\s]*', 'i')""", "url", Constraint("format", format="url"), source=broken_urls, key="page_id")
 constrained("con_unique", "SELECT event_id, 'unique' AS kind FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n > 1", "user_id", Constraint("unique"))
 constrained("con_priority", "SELECT event_id, kind FROM (SELECT event_id, CASE WHEN gap = '' THEN 'non_null' WHEN gap NOT IN ('click', 'view', 'purchase') THEN 'enum' WHEN length(gap) > 4 THEN 'length' END AS kind FROM " + EVENTS + ") WHERE kind IS NOT NULL", "gap", Constraint("length", max_length=4), Constraint("enum", values=("click", "view", "purchase")), Constraint("non_null"))
 
@@ -859,3 +866,70 @@ def prof_merged_state(spark, sf_dir):
         store.refresh([run], lambda _, run=run: orders.filter(F.col("o_orderstatus") == run))
     rounded = [F.round(c, d).alias(c) for c, d in (("mean_length", 6), ("mean", 4), ("stddev", 4))]
     return store.profile().select("field", "n", "n_empty", "min_length", "max_length", rounded[0], "n_numbers", *rounded[1:], "least", "most")
+
+
+# helpers of collection, by whole tables
+
+
+@query("web_link_scores", """SELECT page_id, CAST(CASE WHEN length(t) >= 12 THEN 2 WHEN length(t) >= 6 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(url, '/\\d{4}[/-]?\\d{2}|\\d{5,}|\\.s?html?\\b') THEN 2 ELSE 0 END
+    - CASE WHEN regexp_matches(lower(url), '/(login|signup|about|tag|category|search|page)\\b') THEN 3 ELSE 0 END AS INTEGER) AS score FROM (SELECT page_id, url, substr(url, 1, CAST(page_id % 20 AS BIGINT)) AS t FROM pages)""")
+def web_link_scores(spark, sf_dir):
+    """The rules of an article link on every address, with a text of varying length."""
+    pages_ = table(spark, sf_dir, "pages")
+    text = F.substring(F.col("url"), F.lit(1), (F.col("page_id") % 20).cast("int"))
+    return pages_.select("page_id", records.link_score(text, F.col("url")).alias("score"))
+
+
+@query("web_same_site", """SELECT a.page_id, regexp_replace(regexp_replace(lower(regexp_extract(coalesce(a.url, ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)), ':.*$', ''), '^www\\.', '')
+    = regexp_replace(regexp_replace(lower(regexp_extract(coalesce(b.url, ''), '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)), ':.*$', ''), '^www\\.', '') AS same FROM pages a JOIN pages b ON b.page_id = a.page_id // 2""")
+def web_same_site(spark, sf_dir):
+    """Whether a page is on the same site as that of half its number."""
+    pages_ = table(spark, sf_dir, "pages").select("page_id", "url")
+    other = pages_.select(F.col("page_id").alias("half"), F.col("url").alias("other"))
+    return pages_.withColumn("half", F.floor(F.col("page_id") / 2)).join(other, "half").select("page_id", urls.same_site(F.col("url"), F.col("other")).alias("same"))
+
+
+@query("web_times_normalised", "SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS published_at, event_type AS label FROM events")
+def web_times_normalised(spark, sf_dir):
+    """All columns that are times by their names, to local time."""
+    e = table(spark, sf_dir, "events")
+    return urls.normalise_times(e.select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("published_at"), F.col("event_type").alias("label")))
+
+
+@query("json_tabulated", "SELECT n_regionkey, CAST(n_nationkey AS VARCHAR) AS k, CAST(n_nationkey * 2 AS VARCHAR) AS twice FROM nation")
+def json_tabulated(spark, sf_dir):
+    """Each region's nations as one JSON array, and back as rows."""
+    lists = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 2).alias("twice")))).alias("text"))
+    return lists.select("n_regionkey", F.inline(records.tabulated(F.col("text"), ["k", "twice"])))
+
+
+@query("list_expanded", "SELECT min(event_id) AS event_id, user_id % 50 AS entry FROM events GROUP BY user_id % 50")
+def list_expanded(spark, sf_dir):
+    """Lists of entries as rows, the first of each entry in order."""
+    lists = table(spark, sf_dir, "events").select("event_id", F.array(*[F.struct((F.col("user_id") % 50).alias("key"))] * 2).alias("items"))
+    return tables.expanded(lists, "items", "key", "event_id").select("event_id", F.col("entry.key").alias("entry"))
+
+
+@query("prof_findings", """WITH c AS (SELECT lang, count(*) FILTER (doc_id % 2 = 0) AS b, count(*) FILTER (doc_id % 2 = 1) AS a FROM documents GROUP BY lang)
+    SELECT lang, nullif(b, 0) AS n_before, nullif(a, 0) AS n_after, CASE WHEN b = 0 THEN 'added' WHEN a = 0 THEN 'removed' ELSE 'worse' END AS finding FROM c WHERE b = 0 OR a = 0 OR a - b > 2""")
+def prof_findings(spark, sf_dir):
+    """Documents with odd against those with even numbers: languages that grew by more than two."""
+    docs = table(spark, sf_dir, "documents")
+    part = lambda r: docs.filter(F.col("doc_id") % 2 == r).groupBy("lang").agg(F.count("*").alias("n"))
+    return profile.findings(profile.compared(part(0), part(1), ["lang"], ["n"]), "n", 2)
+
+
+@query("tile_pixels", f"""SELECT c_custkey, round(px / (256 * pow(2, z)) * pi() * 6378137 * 2 - pi() * 6378137, 3) AS mx, round(pi() * 6378137 - py / (256 * pow(2, z)) * pi() * 6378137 * 2, 3) AS my,
+    CAST(c_custkey % 256 AS DOUBLE) * 256 + c_custkey % 251 + (c_custkey % 7) / 256.0::DOUBLE - 32768 AS height FROM (SELECT *, x * 256 + 128 AS px, y * 256 + 64 AS py FROM {XY})""")
+def tile_pixels(spark, sf_dir):
+    """A pixel of each customer's tile in metres, and heights from colours."""
+    key, z = F.col("c_custkey"), F.col("z")
+    mx, my = mercator.pixel_to_mercator(F.col("x") * 256 + 128, F.col("y") * 256 + 64, z)
+    height = mercator.terrarium_height((key % 256).cast("double"), key % 251, key % 7)
+    return tiled(spark, sf_dir).select("c_custkey", F.round(mx, 3).alias("mx"), F.round(my, 3).alias("my"), height.alias("height"))
+
+
+@query("page_list_links")
+def page_list_links(spark, sf_dir):
+    """Selectors of article links and of the next page, suggested for every page."""
+    return pages.suggested_links(table(spark, sf_dir, "pages"))

@@ -196,9 +196,9 @@ def json_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return cut.join(hidden, [key, "pointer"], "left_anti").drop("above")
 
 
-def tabulated(c: Column, fields: list[str], rows: int = 200) -> Column:
-    """Array of objects as at most ``rows`` structs of strings."""
-    return F.slice(F.from_json(c, "array<struct<" + ",".join(f"`{f}`:string" for f in fields[:40]) + ">>"), 1, rows)
+def tabulated(c: Column, fields: list[str]) -> Column:
+    """Array of objects as structs of strings, all its objects with the named fields; null where the text is no array."""
+    return F.from_json(c, "array<struct<" + ",".join(f"`{f}`:string" for f in fields) + ">>")
 
 
 # triples

@@ -107,12 +107,13 @@ def search(rows: DataFrame, needle: str, columns: list[str]) -> DataFrame:
     return rows.filter(F.lower(F.concat_ws("\x1f", *columns)).contains(needle.lower()))
 
 
-def expanded(rows: DataFrame, items: str, key: str, most: int | None = None) -> DataFrame:
-    """One row per array entry, the first of each key."""
+def expanded(rows: DataFrame, items: str, key: str, order: str | None = None, most: int | None = None) -> DataFrame:
+    """One row per array entry, the first of each key in the order of rows and of entries; with ``most`` the first so many of them."""
     flat = rows.select(*[c for c in rows.columns if c != items], F.posexplode(items).alias("__i", "entry"))
-    one = flat.withColumn("__key", F.col(f"entry.{key}"))
-    first = one.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("__i"))).filter("__n = 1").drop("__n", "__key", "__i")
-    return first.limit(most) if most else first
+    place = F.struct(*([order] if order else []), "__i")
+    first = flat.withColumn("__key", F.col(f"entry.{key}")).groupBy("__key").agg(F.min_by(F.struct(*[c for c in flat.columns if c != "__i"]), place).alias("__row"), F.min(place).alias("__place"))
+    first = first.orderBy("__place").limit(most) if most else first
+    return first.select("__row.*")
 
 
 def distinct_names(rows: DataFrame, name: str, order: str) -> DataFrame:

@@ -125,7 +125,7 @@ def jdbc_scan(spark: SparkSession, url: str, table: str, properties: dict[str, s
     """A table behind JDBC, in ``parts`` ranges of a numeric column if one is named."""
     if column is None:
         return spark.read.jdbc(url, table, properties=properties)
-    low, high = spark.read.jdbc(url, f"(SELECT min({column}) AS lo, max({column}) AS hi FROM {table}) b", properties=properties).first()
+    low, high = spark.read.jdbc(url, f"(SELECT min({_named(column)}) AS lo, max({_named(column)}) AS hi FROM {table}) b", properties=properties).first()
     return spark.read.jdbc(url, table, column=column, lowerBound=low or 0, upperBound=high or 1, numPartitions=parts, properties=properties)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sievewright.functions import encodings
+from sievewright.sources import packages, work
 
 # File endings by kind, and the default patterns of discovery.
 ENDINGS = {"csv": "csv", "tsv": "csv", "txt": "csv", "xlsx": "xlsx", "xlsm": "xlsx", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet"}
@@ -313,6 +314,29 @@ def read(spark: SparkSession, i: list[Input], **options) -> DataFrame:
     return READERS[i[0].kind](spark, i, **options)
 
 
+RUN_FILES = ("data.xlsx", "data.csv", "data.json", "data.jsonl")
+
+
+def read_run(spark: SparkSession, path: str, staging: str | None = None) -> DataFrame:
+    """The rows of an earlier run's result as text: a JSON array of objects, JSON lines, CSV, a workbook, or a ZIP that holds one of ``RUN_FILES``.
+
+    A ZIP's entry is unpacked into ``staging`` (a folder that executors share; a work folder if not given). An archive without one of these files and a document that is no array
+    have no rows.
+    """
+    ending = path.rsplit(".", 1)[-1].lower()
+    if ending == "zip":
+        folder = (staging or work.new_path(spark, "run-file")).removeprefix("file://")
+        found = {e["path"].rsplit("/", 1)[-1]: e["path"] for e in packages.unpacked(path.removeprefix("file://"), folder, frozenset(f".{n.rsplit('.', 1)[-1]}" for n in RUN_FILES))}
+        name = next((found[n] for n in RUN_FILES if n in found), None)
+        return read_run(spark, f"file://{folder}/{name}") if name else spark.createDataFrame([], StructType([]))
+    if ending == "json":
+        objects = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json(F.regexp_replace("value", "^\ufeff", ""), "array<string>")).alias("_row", "line"))
+        members = objects.filter(F.trim("line").startswith("{")).withColumn("m", F.from_json("line", "map<string,string>"))
+        keys = [r[0] for r in members.select(F.posexplode(F.map_keys("m")).alias("at", "k")).groupBy("k").agg(F.min("at").alias("at")).orderBy("at", "k").select("k").collect()]  # one row a column
+        return members.select(*[F.element_at("m", k).alias(k) for k in keys], F.col("_row").cast("long"))
+    return read(spark, [Input(path.rsplit("/", 1)[-1], path, 0)])
+
+
 def inspect(spark: SparkSession, item: Input, rows: int = 20, **options) -> dict:
     """Header, sample rows and an estimate of the row count from the sample's mean size."""
     df = read(spark, [item], **options)

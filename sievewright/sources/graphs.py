@@ -94,6 +94,54 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return one.withColumns({"west": F.array_min(numbers), "east": F.array_max(numbers), "south": F.array_min(lats), "north": F.array_max(lats)})
 
 
+# Kinds of values that a graph database's client tells apart, each by an ``is_`` and an ``as_`` method; those of time have ISO forms.
+SCALARS, TIMES, MANY, GRAPH = ("bool", "int", "double", "string"), {"time": "time", "date": "date", "datetime": "datetime"}, ("list", "set"), {"vertex": "node", "edge": "relationship", "path": "path"}
+
+
+def decoded(value):
+    """A client's typed value as plain Python, ready for JSON; empty and null are None, what is of no known kind is ""."""
+    told = lambda kind, prefix="is": getattr(value, f"{prefix}_{kind}", lambda: None)()
+    if value is None or isinstance(value, bool | int | float | str):
+        return value
+    if told("empty") or told("null"):
+        return None
+    if kind := next(filter(told, SCALARS), None):
+        return told(kind, "as")
+    if kind := next(filter(told, TIMES), None):
+        moment = told(TIMES[kind], "as")
+        return moment.isoformat() if hasattr(moment, "isoformat") else str(moment)
+    if kind := next(filter(told, MANY), None):
+        items = [decoded(v) for v in told(kind, "as")]
+        return items if kind == "list" else sorted(items, key=lambda v: (str(type(v)), str(v)))
+    if told("map"):
+        return {str(k): decoded(v) for k, v in told("map", "as").items()}
+    kind = next(filter(told, GRAPH), None)
+    return _graph_part(told(GRAPH[kind], "as"), kind) if kind else ""
+
+
+def _graph_part(part, kind: str):
+    """Nodes, relationships and paths by what their objects offer."""
+    if kind == "vertex":
+        return {"id": decoded(part.get_id()), "tags": {t: {k: decoded(v) for k, v in part.properties(t).items()} for t in part.tags()}}
+    if kind == "edge":
+        return {"s": decoded(part.start_vertex_id()), "d": decoded(part.end_vertex_id()), "type": part.edge_name(), "rank": part.ranking(), "properties": {k: decoded(v) for k, v in part.properties().items()}}
+    return {"nodes": [_graph_part(n, "vertex") for n in part.nodes()], "edges": [_graph_part(e, "edge") for e in part.relationships()]}
+
+
+def decoded_rows(client: Callable[[str], Iterator[dict]], names: list[str]) -> Callable[[str], Iterator[dict]]:
+    """A client for ``scanned`` whose typed values become text: strings as they are, all else as JSON, null as null."""
+
+    def shown(value) -> str | None:
+        plain = decoded(value)
+        return plain if plain is None or isinstance(plain, str) else json.dumps(plain, ensure_ascii=False, sort_keys=True)
+
+    def rows(part: str) -> Iterator[dict]:
+        for record in client(part):
+            yield {n: shown(record.get(n)) for n in names}
+
+    return rows
+
+
 def vertices(rows: DataFrame) -> DataFrame:
     """(v_id, tags, tags_info JSON) as vertices with a property map."""
     return rows.select(F.col("v_id").cast("string").alias("id"), F.split("tags", ",").alias("tags"), F.from_json("tags_info", "map<string,string>").alias("properties"))

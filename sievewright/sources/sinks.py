@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievewright.functions.cells import neutral_formula
 from sievewright.operators.clean import text_of
 from sievewright.operators.incremental import insert_or_ignore
+from sievewright.sources import work
 
 
 def as_text(df: DataFrame, neutral: bool = False) -> DataFrame:
@@ -44,10 +45,42 @@ def append_new(df: DataFrame, path: str, key: str, order: list[str]) -> dict[str
     return said
 
 
-def jdbc_append_new(df: DataFrame, url: str, table: str, key: str, order: list[str], properties: dict[str, str]) -> None:
-    """The same against a table behind JDBC (a driver jar must be on the class path)."""
-    store = df.sparkSession.read.jdbc(url, table, properties=properties).select(key)
-    insert_or_ignore(store, df, key, order)[0].write.jdbc(url, table, mode="append", properties=properties)
+def _statement(spark, url: str, properties: dict[str, str], *texts: str) -> None:
+    """Statements on the driver's own connection, in one transaction."""
+    jvm = spark.sparkContext._jvm
+    given = jvm.java.util.Properties()
+    for k, v in properties.items():
+        given.setProperty(k, v)
+    if properties.get("driver"):
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(properties["driver"])
+    connection = jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for text in texts:
+            statement.execute(text)
+        connection.commit()
+    finally:
+        connection.close()
+
+
+def jdbc_append_new(df: DataFrame, url: str, table: str, key: str, order: list[str], properties: dict[str, str], text_type: str = "TEXT") -> dict[str, int]:
+    """Insert-or-ignore into a table behind JDBC (a driver jar must be on the class path): its rows win, then the first of the batch.
+
+    Columns that the table lacks are added as text; its other columns stay null. Gives how many rows were inserted and how many were duplicates. The
+    new rows are written to the shared folder first, so what is counted is what is sent; a run that is repeated after a failure finds its rows in the table.
+    """
+    spark = df.sparkSession
+    there = spark.read.jdbc(url, table, properties=properties)
+    known = {c.lower() for c in there.columns}
+    if lacking := [c for c in df.columns if c.lower() not in known]:
+        quoted = lambda c: '"' + c.replace('"', '""') + '"'
+        _statement(spark, url, properties, *[f"ALTER TABLE {table} ADD COLUMN {quoted(c)} {text_type}" for c in lacking])
+    sent = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in lacking else F.col(f"`{c}`") for c in df.columns])
+    new = work.written(insert_or_ignore(there.select(key), sent, key, order)[0], "new-rows")
+    inserted, rows = new.count(), df.count()
+    new.write.jdbc(url, table, mode="append", properties=properties)
+    return {"inserted": inserted, "duplicates": rows - inserted}
 
 
 def column_names(names: list[str]) -> dict[str, str]:
