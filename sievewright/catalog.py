@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions import cells, encodings, mercator, patterns, urls
@@ -12,7 +12,7 @@ from sievewright.operators import clean, documents, generate, geometry, incremen
 from sievewright.operators.clean import ROW
 from sievewright.plans.config import Constraint, Fallback, FieldSpec, Generate, Op, Task
 from sievewright.plans.task import build
-from sievewright.sources import sinks, work
+from sievewright.sources import sections, sinks, work
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -933,3 +933,37 @@ def tile_pixels(spark, sf_dir):
 def page_list_links(spark, sf_dir):
     """Selectors of article links and of the next page, suggested for every page."""
     return pages.suggested_links(table(spark, sf_dir, "pages"))
+
+
+def sheet_lines(spark, sf_dir):
+    """Map sheets as text lines: one for each nation, with its customers as points and, two by two, as lines."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("sheet"), F.col("c_custkey").alias("k"))
+    sheets_ = c.select("sheet").distinct()
+    head = [F.struct(F.lit(i).cast("double").alias("at"), F.lit(sections.FORMAT if i == 4 else f"head {i}").alias("line")) for i in range(6)]
+    layer = lambda part, rows: rows.unionByName(sheets_.select("sheet", F.inline(F.array(*head)))).withColumn("part", F.lit(part))
+    number = F.row_number().over(Window.partitionBy("sheet").orderBy("k"))
+    placed = c.withColumn("i", number)
+    n = placed.groupBy("sheet").agg(F.max("i").alias("i"))
+    section = lambda kind, at: n.select("sheet", F.lit(float(at)).alias("at"), F.concat_ws(" ", F.lit(kind), F.col("i").cast("string")).alias("line"))
+    k = F.col("k").cast("string")
+    point = placed.select("sheet", (F.col("i") + 10.0).alias("at"), F.concat_ws(" ", F.col("i").cast("string"), k, (F.col("k") % 7).cast("string"), F.lit("0"), F.lit("0")).alias("line"))
+    first = placed.select("sheet", (F.col("i") + 1e7 + 10).alias("at"), F.concat_ws(" ", F.col("i").cast("string"), F.lit("3")).alias("line"))
+    rows = [F.concat_ws(" ", k, F.lit("1"), k).alias("line"), F.concat_ws(" ", F.lit("2"), F.lit("5.5"), F.lit("3")).alias("line")]
+    more = [placed.select("sheet", (F.col("i") + 1e7 + 10 + (j + 1) / 10).alias("at"), r) for j, r in enumerate(rows)]
+    zb = section("P", 10).unionByName(point).unionByName(section("L", 1e7)).unionByName(first).unionByName(more[0]).unionByName(more[1])
+    attribute = lambda base: placed.select("sheet", (F.col("i") + base + 10.0).alias("at"), F.concat_ws(" ", F.col("i").cast("string"), F.concat(F.lit("c"), k), F.concat(F.lit("name"), k), F.lit("note"), F.lit("x1"), F.lpad(k, 12, "0"), F.lit("T"), k, F.lit("0")).alias("line"))
+    sx = section("P", 10).unionByName(attribute(0)).unionByName(section("L", 1e7)).unionByName(attribute(1e7))
+    files_ = layer("ZB", zb).unionByName(layer("SX", sx)).withColumn("layer", F.lit("A"))
+    meta = sheets_.select("sheet", F.lit("").alias("layer"), F.lit("SMS").alias("part"), F.inline(F.array(*[F.struct(F.lit(float(i)).alias("at"), t.alias("line")) for i, t in enumerate((F.concat(F.lit("1 " + sections.ORIGIN_X + " "), "sheet"), F.lit("2 " + sections.ORIGIN_Y + " -32767"), F.lit("3 " + sections.SCALE + " 2"), F.lit("4 " + sections.ZONE + " 20")))])))
+    every = files_.unionByName(meta)
+    return every.withColumn("n", F.row_number().over(Window.partitionBy("sheet", "layer", "part").orderBy("at")) - 1).select("sheet", "layer", "part", "n", "line")
+
+
+@query("section_features", """
+    WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS sheet, c_nationkey AS o, c_custkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer)
+    SELECT sheet, 'P' AS kind, i AS seq, 'name' || k AS name, lpad(CAST(k AS VARCHAR), 12, '0') AS gid, 'x1' AS extra, k AS ptr, CAST(o + 2 * k AS DOUBLE) AS x, CAST(2 * (k % 7) AS DOUBLE) AS y, CAST(0 AS INTEGER) AS n_points, CAST(NULL AS DOUBLE) AS last_x, 'CGCS2000 / Gauss-Kruger zone 20' AS crs FROM c
+    UNION ALL SELECT sheet, 'L', i, 'name' || k, lpad(CAST(k AS VARCHAR), 12, '0'), 'x1', k, NULL, NULL, 3, CAST(o + 2 * 5.5 AS DOUBLE), 'CGCS2000 / Gauss-Kruger zone 20' FROM c""")
+def section_features(spark, sf_dir):
+    """Attributes and geometry of text layers, joined by place."""
+    f = sections.features(sheet_lines(spark, sf_dir))
+    return f.select("sheet", "kind", "seq", "name", "gid", "extra", "ptr", F.col("anchor.x").alias("x"), F.col("anchor.y").alias("y"), F.size("points").alias("n_points"), F.when(F.col("kind") == "L", F.element_at("points", -1)["x"]).alias("last_x"), "crs")
