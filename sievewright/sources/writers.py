@@ -65,6 +65,10 @@ class PartWriter(DataSourceArrowWriter):
     def join(self, parts: Iterable[tuple[str, dict]], infos: list[dict], local: str) -> dict:
         raise NotImplementedError
 
+    def files(self, local: str) -> list[tuple[str, str]]:
+        """What ``join`` has made and where it goes; the last one makes the others count."""
+        return [(local, self.path)]
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         from pyspark import TaskContext
 
@@ -86,10 +90,12 @@ class PartWriter(DataSourceArrowWriter):
                     os.remove(f"{own}/part")
 
             told = self.join(parts(), [m.info for m in done], f"{own}/whole")
-            draft = f"{self.path}.{uuid.uuid4().hex}"
-            _copy(f"{own}/whole", draft)
-        fs, target = _at(self.path)
-        fs.move(_at(draft)[1], target)
+            drafts = [(f"{target}.{uuid.uuid4().hex}", target) for _, target in self.files(f"{own}/whole")]
+            for (local, _), (draft, _) in zip(self.files(f"{own}/whole"), drafts, strict=True):
+                _copy(local, draft)
+        for draft, target in drafts:
+            fs, place = _at(target)
+            fs.move(_at(draft)[1], place)
         fs, staging = _at(self.staging)
         with fs.open_output_stream(f"{staging}/told.json") as out:
             out.write(json.dumps(told).encode())
