@@ -12,8 +12,8 @@ one quarter the same. Neither loses a link, and a list so refined has 18 free bi
 ``similar_documents`` is the same search for texts of a given similarity (five-word shingles, 0.8), where a fingerprint's bits say too little: there a text has ``PLACES`` bytes,
 each the low byte of one min-hash of its shingles, and two texts share a positional byte about as often as they are similar. The inverted index keeps each text under the values at five byte
 positions, for each of the ``BANDS``; in a list, shared positional bytes are tallied per pair, pairs below ``SHARED`` fall away, the rest are candidates. Candidates
-are verified by the Jaccard similarity of their whole shingle sets, so every link is right; of pairs at exactly 0.8 the index finds 99.4 % (the tests measure it). Lists of any length are
-worked on in parts of ``LIST_ROWS``: long posting lists are only tied together by their least members, part by part; what is tied together is then verified, long groups against one member, and those
+are verified by the Jaccard similarity of their whole shingle sets, so every link is right; of pairs at exactly 0.8 the index finds 99.4 % (the tests measure it). Lists and groups of any length are
+worked on in parts of ``LIST_ROWS`` and ``GROUP_ROWS``: long posting lists are only tied together by their least members, part by part; what is tied together is then verified, long groups against one member, and those
 unlike it against all others in blocks.
 
 Cases: null text counts as empty; texts without words have fingerprint zero and link like any other;
@@ -50,7 +50,7 @@ FIVES = list(combinations(range(8), 5))
 PLACES = 48
 BANDS = [tuple((i + d) % PLACES for d in (0, 1, 7, 17, 29)) for i in range(0, PLACES, 3)]
 SHARED = 28  # of a pair at 0.8 that shares a band, fewer than one in a thousand share fewer bytes
-LIST_BYTES = 1 << 25  # of shingle sets in one part of a group
+GROUP_ROWS, LIST_BYTES = 4096, 1 << 25  # texts, and bytes of shingle sets, in one part of a group
 SALTS = 256
 
 
@@ -358,58 +358,87 @@ def _members(docs: DataFrame, once: DataFrame, roots: DataFrame, shingle: int) -
     return texts.mapInArrow(run, "root binary, node binary, sketch binary, shingles binary").dropDuplicates(["node"])
 
 
+def _asked(asks: list[bool], joined: list[bool], near) -> list[tuple[int, int]]:
+    """Links of the asking rows of a block, only those that join what was apart; rows that are ``joined`` are so from the start."""
+    at = list(range(len(asks)))
+
+    def find(i: int) -> int:
+        while at[i] != i:
+            at[i] = at[at[i]]
+            i = at[i]
+        return i
+
+    first = next((i for i, j in enumerate(joined) if j), 0)
+    for i, j in enumerate(joined):
+        at[i] = first if j else i
+    out = []
+    for i in np.flatnonzero(asks).tolist():
+        apart = np.array([j for j in range(len(asks)) if find(j) != find(i)], np.int64)
+        for j in near(i, apart):
+            if find(j) != find(i):  # one link into each set of rows is enough
+                out.append((i, j))
+                at[find(j)] = find(i)
+    return out
+
+
 def _compared(rows: DataFrame, keys: list[str], similarity: float, asking: bool) -> DataFrame:
-    """Links (a, b) inside each group of rows with the same keys: a spanning forest, or with ``asking`` of each asking row to all that it is linked with."""
+    """Links (a, b) inside each group of rows with the same keys, no more than join what is linked: a spanning forest, or with ``asking`` links of the rows that ask (``asks``) only."""
     spark = rows.sparkSession
-    named = rows.withColumn("key", F.struct(*keys)).select(F.xxhash64("key").alias("hash"), F.to_json("key").alias("key"), "node", "sketch", "shingles", "asks")
+    named = rows.withColumn("key", F.struct(*keys)).select(F.xxhash64("key").alias("hash"), F.to_json("key").alias("key"), "node", "sketch", "shingles", "asks", "joined")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in store.whole_keys(batches, "key"):
-            key, node, asks = (table.column(c).to_pylist() for c in ("key", "node", "asks"))
+            key, node, asks, joined_ = (table.column(c).to_pylist() for c in ("key", "node", "asks", "joined"))
             raw, sets, a, b = _read(table), [np.frombuffer(v, np.uint32) for v in table.column("shingles").to_pylist()], [], []
             at = [i for i in range(len(key)) if not i or key[i] != key[i - 1]]
             for s, e in zip(at, [*at[1:], len(key)], strict=True):
-                near = _near(raw[s:e], sets[s:e], similarity)
+                own, some = raw[s:e], sets[s:e]
                 if asking:
-                    links = [(i, int(j)) for i in range(e - s) if asks[s + i] for j in near(i, np.array([j for j in range(e - s) if j != i and (j > i or not asks[s + j])], np.int64))]
+                    links = _asked(asks[s:e], joined_[s:e], lambda i, rest, own=own, some=some: (j for j in _maybe(own, i, rest).tolist() if alike(some[i], some[j], similarity)))
                 else:
-                    links = _tree(e - s, near)
+                    links = _tree(e - s, _near(own, some, similarity))
                 a += [node[s + i] for i, _ in links]
                 b += [node[s + j] for _, j in links]
             yield _pairs(a, b)
 
     dealt = named.repartition(store.partitions(spark), "hash").sortWithinPartitions("hash", "key")
-    return dealt.select("key", "node", "sketch", "shingles", "asks").mapInArrow(run, "a binary, b binary")
+    return dealt.select("key", "node", "sketch", "shingles", "asks", "joined").mapInArrow(run, "a binary, b binary")
 
 
 def verified(members: DataFrame, similarity: float) -> DataFrame:
     """Links between nodes that are tied together and as similar as asked, enough of them to join what is linked.
 
-    Small groups are compared in one task. Of larger ones every part is compared with the group's least node; the nodes unlike it, in parts too, with every part.
+    Small groups are compared in one task. Of larger ones every part is compared with the group's least node; the nodes unlike it, in parts too, with every part, where
+    one link to those like it is enough.
     """
+    no, yes = F.lit(False), F.lit(True)
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"), F.min("node").alias("first"))
-    parts = F.greatest(F.ceil(F.col("n") / LIST_ROWS), F.ceil(F.col("bytes") / LIST_BYTES))
+    parts = F.greatest(F.ceil(F.col("n") / GROUP_ROWS), F.ceil(F.col("bytes") / LIST_BYTES))
     sizes = store.written(sizes.select("root", parts.alias("parts"), "first"), "group-sizes")
     large = sizes.filter("parts > 1")
-    small = members.join(large.select("root"), "root", "left_anti").withColumn("asks", F.lit(False))
+    small = members.join(large.select("root"), "root", "left_anti").withColumns({"asks": no, "joined": no})
     links = _compared(small, ["root"], similarity, False)
     if not large.limit(1).count():
         return links
     big = members.join(large, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     big = store.written(big, "large-groups")
-    columns = ["root", "part", "node", "sketch", "shingles", "asks"]
-    first = big.filter(F.col("node") == F.col("first"))
-    ask = first.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).withColumn("asks", F.lit(True)).select(columns)
-    others = big.filter(F.col("node") != F.col("first")).withColumn("asks", F.lit(False))
-    stars = store.written(_compared(ask.unionByName(others.select(columns)), ["root", "part"], similarity, True), "stars")
-    left = others.join(stars.select(F.col("b").alias("node")), "node", "left_anti")
-    shares = left.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / LIST_ROWS), F.ceil(F.sum(F.length("shingles")) / LIST_BYTES)).alias("shares"))
+    columns = ["root", "part", "node", "sketch", "shingles", "asks", "joined"]
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    first = big.filter(F.col("node") == F.col("first")).withColumns({"part": each("parts"), "asks": yes, "joined": no})
+    others = big.filter(F.col("node") != F.col("first"))
+    stars = store.written(_compared(first.select(columns).unionByName(others.withColumns({"asks": no, "joined": no}).select(columns)), ["root", "part"], similarity, True), "stars")
+    like = stars.select(F.col("b").alias("like")).distinct()
+    others = store.written(others.join(like, F.col("node") == F.col("like"), "left").withColumn("joined", F.col("like").isNotNull()).drop("like"), "like-the-first")
+    left = others.filter("NOT joined")
+    shares = left.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum(F.length("shingles")) / LIST_BYTES)).alias("shares"))
     shares = store.written(shares.withColumnRenamed("root", "of"), "left-sizes")
     block = [*columns, "share"]
-    lefts = left.join(shares, F.col("root") == F.col("of")).withColumn("share", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shares")))
-    asks = lefts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).withColumn("asks", F.lit(True)).select(block)
-    asked = others.join(shares, F.col("root") == F.col("of")).withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1))).select(block)
-    rest = _compared(asks.unionByName(asked), ["root", "part", "share"], similarity, True)
+    asks = left.join(shares, F.col("root") == F.col("of")).withColumn("share", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shares")))
+    asks = asks.withColumns({"own": F.col("part"), "part": each("parts"), "asks": yes}).filter(F.col("own") != F.col("part"))
+    asked = others.join(shares, F.col("root") == F.col("of")).withColumn("share", each("shares"))
+    # a row that asks is in its own part already, in its share as asking and in the others as asked
+    asked = asked.withColumn("asks", ~F.col("joined") & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("shares")) == F.col("share")))
+    rest = _compared(asks.select(block).unionByName(asked.select(block)), ["root", "part", "share"], similarity, True)
     return links.unionByName(stars).unionByName(rest)
 
 

@@ -631,6 +631,20 @@ def test_long_lists_and_groups_in_parts(spark, monkeypatch):
     assert groups() == sorted(map(sorted, want.values()))
 
 
+def test_links_of_a_large_group_grow_with_it(spark, monkeypatch):
+    """A chain of near copies of which few are like the first: every part is asked, but only links that join something are given."""
+    words, rows = [f"w{i}" for i in range(200)], []
+    for i in range(120):  # each differs from the one before by a word, so the ends are unlike
+        words = [*words[1:], f"n{i}"]
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 16)
+    counted, plain = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: counted.append(edges.count()) or plain(edges))
+    assert len({bytes(r.root) for r in simhash.similar_documents(frame).collect()}) == 1
+    assert counted[1] <= 120 * (120 // 16 + 2) < len(true_links(rows))
+
+
 def test_sketches():
     texts = pa.array(["a b c d e f g", "", "a b c d e f g a b c d e f g", "a b c", "A b C"])
     hashed, doc, made = simhash.shingles(texts, 5)
