@@ -9,12 +9,12 @@ only a spanning forest of its links, never all pairs. Lists above ``LIST_ROWS``
 positions (five in all, in every way) and, where still long, by a quarter of the other 24 bits: three different bits leave
 one quarter the same. Neither loses a link, and a list so refined has 18 free bits, 2**18 distinct fingerprints at most.
 
-``similar_documents`` is the same search for texts of a given similarity (five-word shingles, 0.8), where a fingerprint's bits say too little: there a text has ``PLACES`` bytes,
-each the low byte of one min-hash of its shingles, and two texts share a positional byte about as often as they are similar. The inverted index keeps each text under the values at five byte
-positions, for each of the ``BANDS``; in a list, shared positional bytes are tallied per pair, pairs below ``SHARED`` fall away, the rest are candidates. Candidates
-are verified by the Jaccard similarity of their whole shingle sets, so every link is right; of pairs at exactly 0.8 the index finds 99.4 % (the tests measure it). Lists and groups of any length are
-worked on in parts of ``LIST_ROWS`` and ``GROUP_ROWS``: long posting lists are only tied together by their least members, part by part; what is tied together is then verified, long groups against one member, and those
-unlike it against all others in blocks.
+``similar_documents`` is the same search for texts of a given similarity (five-word shingles, 0.8). There 64 bits say too little, so a SimHash has ``PLACES`` bytes: every distinct
+shingle votes on eight bits of each. Texts at 0.8 keep a bit in 85 of 100 cases, so a byte in 27. The inverted index keeps each text under the values at two byte positions and the upper half of a third,
+for each of the ``BANDS``; a list gives a forest of those of its texts whose leading ``HEAD`` bytes differ in at most ``HEAD_BITS`` bits. Of what this ties together shared positional bytes are tallied per pair, pairs
+below ``SHARED`` fall away, and the rest are verified by the Jaccard similarity of their whole shingle sets, so every link is right; of pairs at exactly 0.8 the index finds 99.9 % by simulation, of texts of eight and nine
+words that share four of five shingles 96 % (the tests measure it). Lists and groups of any length are worked on in parts of ``LIST_ROWS`` and ``GROUP_ROWS``: long posting lists are tied together by their least
+members, part by part, which loses nothing, as all that is tied is compared afterwards; long groups are compared with one member, and those unlike it with all others in blocks.
 
 Cases: null text counts as empty; texts without words have fingerprint zero and link like any other;
 repeated rows share everything; a null doc_id takes part but never names a component, unless alone (then the
@@ -25,7 +25,7 @@ smallest doc_id (null last), of several such the one with the least SHA-256 of i
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -46,10 +46,12 @@ TRIPLES = [t for half in ((0, 1, 2, 3), (4, 5, 6, 7)) for t in combinations(half
 FIVES = list(combinations(range(8), 5))
 
 
-# Min-hash bytes, and the five positions of each band (no two bands share more than two).
-PLACES = 48
-BANDS = [tuple((i + d) % PLACES for d in (0, 1, 7, 17, 29)) for i in range(0, PLACES, 3)]
-SHARED = 28  # of a pair at 0.8 that shares a band, fewer than one in a thousand share fewer bytes
+# Bytes of a wide SimHash, and the positions under which it is kept: two whole bytes and the upper half of a third (no two bands share more than one).
+PLACES = 128
+BANDS = [(i, (i + a) % PLACES, (i + b) % PLACES) for a, b in ((1, 7), (17, 45)) for i in range(PLACES)]
+HEAD, HEAD_BITS = 16, 40  # of 128 bits, pairs at 0.8 differ in 19 +- 4, unlike texts in 64 +- 6
+SHARED = 12  # pairs at 0.8 share 34 +- 5 bytes, unlike texts 0.5 +- 0.7; fewer than one in a thousand pairs of the shortest texts share fewer
+BUCKETS = 1 << 16
 GROUP_ROWS, LIST_BYTES = 4096, 1 << 25  # texts, and bytes of shingle sets, in one part of a group
 SALTS = 256
 
@@ -83,15 +85,17 @@ def fingerprints(column, shingle: int = SHINGLE) -> np.ndarray:
 
 def _bit_sums(hashed: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """How often each bit is set in each row's hashes: bytes of up to 255 rows are added eight at a time inside one machine word."""
-    step = 1 << 15
-    totals = np.zeros((n, 64), np.int64)
-    raw = hashed.astype(">u8").view(np.uint8).reshape(-1, 8)
+    hashed = hashed.reshape(len(hashed), -1)
+    width = hashed.shape[1]  # several words for each shingle give as many times 64 bits
+    step = max(1, (1 << 15) // width)
+    totals = np.zeros((n, 64 * width), np.int64)
+    raw = hashed.astype(">u8").view(np.uint8)
     for s in range(0, len(hashed), step):
         e = min(s + step, len(hashed))
         lanes = np.unpackbits(raw[s:e], axis=1).view(np.uint64)
         own = doc[s:e]
         cuts = np.union1d(np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])), np.arange(0, e - s, 255))
-        np.add.at(totals, own[cuts], np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).reshape(len(cuts), 64))
+        np.add.at(totals, own[cuts], np.add.reduceat(lanes, cuts, axis=0).view(np.uint8).reshape(len(cuts), -1))
     return totals
 
 
@@ -224,21 +228,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return once.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _distinct(hashed: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Each row (upper half) with each of its shingles' 32-bit hashes (lower half) once, ascending."""
+    return np.unique((doc.astype(np.uint64) << np.uint64(32)) | (hashed >> np.uint64(32)))
+
+
 def sketches(hashed: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """PLACES bytes for each row: the low bytes of its min-hashes, of as many functions."""
-    seeds = mix(np.arange(1, PLACES + 1, dtype=np.uint64))
-    out, step = np.full((n, PLACES), 2**64 - 1, np.uint64), 1 << 13
-    for s in range(0, len(hashed), step):
-        own = doc[s : s + step]
-        cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        least = np.minimum.reduceat(mix(hashed[s : s + step, None] ^ seeds), cuts, axis=0)
-        out[own[cuts]] = np.minimum(out[own[cuts]], least)
-    return out.astype(np.uint8)
+    """The wide SimHash of each row, PLACES bytes: a bit is 1 if set for over half the row's distinct shingles; all are 1 without shingles."""
+    both = _distinct(hashed, doc)
+    own, low, step = (both >> np.uint64(32)).astype(np.int64), both & np.uint64(0xFFFFFFFF), 1 << 15
+    seeds = mix(np.arange(1, PLACES // 8 + 1, dtype=np.uint64))
+    totals, made = np.zeros((n, 8 * PLACES), np.int32), np.bincount(own, minlength=n)
+    for s in range(0, len(low), step):
+        rows = own[s : s + step]
+        totals[rows[0] : rows[-1] + 1] += _bit_sums(mix(low[s : s + step, None] ^ seeds), rows - rows[0], rows[-1] - rows[0] + 1)
+    out = np.packbits(2 * totals > made[:, None], axis=1)
+    out[made == 0] = 255
+    return out
 
 
 def shingle_sets(hashed: np.ndarray, doc: np.ndarray, n: int) -> list[np.ndarray]:
     """The distinct 32-bit hashes of each row's shingles, ascending."""
-    both = np.unique((doc.astype(np.uint64) << np.uint64(32)) | (hashed >> np.uint64(32)))
+    both = _distinct(hashed, doc)
     return np.split(both.astype(np.uint32), np.searchsorted(both >> np.uint64(32), np.arange(1, n)))
 
 
@@ -299,7 +310,19 @@ def _pairs(a: list, b: list) -> pa.RecordBatch:
 
 
 def _tied(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that tie together all candidates: forests of the short posting lists, and of the long ones stars around the least node of each part."""
+    """Pairs (a, b) of heads of SimHashes that tie together all candidates.
+
+    Near copies share many lists and would be tied again in each. So an eighth of the bands comes first, and the others give only what joins two heads that those have left apart.
+    """
+    label = F.xxhash64(F.coalesce("root", "head")).alias("label")
+    early = store.written(_ties(nodes.select("sketch", "head", F.xxhash64("head").alias("label")), range(0, len(BANDS), 8)), "early-ties")
+    roots = components(early).select(F.col("node").alias("of"), "root")
+    labelled = nodes.join(roots, F.col("head") == F.col("of"), "left").select("sketch", "head", label)
+    return early.unionByName(_ties(store.written(labelled, "labelled"), [n for n in range(len(BANDS)) if n % 8])).distinct()
+
+
+def _ties(nodes: DataFrame, bands: Iterable[int]) -> DataFrame:
+    """Pairs (a, b) of heads with different labels: forests of the short posting lists, and of the long ones stars around the least head of each part."""
     spark = nodes.sparkSession
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,38 +330,70 @@ def _tied(nodes: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 1 << 12):
                 rows = batch.slice(at, 1 << 12)
                 raw = _read(rows).astype(np.int64)
-                for n, places in enumerate(BANDS):
-                    key = np.full(len(raw), n, np.int64)
-                    for p in places:
-                        key = (key << 8) | raw[:, p]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), rows.column("node"), rows.column("sketch")], ["key", "node", "sketch"])
+                for n, (i, j, half) in ((n, BANDS[n]) for n in bands):
+                    key = (n << 20) | (raw[:, i] << 12) | (raw[:, j] << 4) | (raw[:, half] >> 4)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), rows.column("head"), rows.column("label")], ["key", "head", "label"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in store.whole_keys(batches, "key"):
-            key, node = table.column("key").to_numpy(), table.column("node").to_pylist()
+            key, raw, label = table.column("key").to_numpy(), _read(table, "head"), table.column("label").to_numpy()
+            heads = raw.view(np.uint64)
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size, raw, a, b = np.diff(np.append(at, len(key))), _read(table), [], []
-            for s, n in zip(at[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-                own = raw[s : s + n]
-                for i, j in _tree(n, lambda i, rest, own=own: _maybe(own, i, rest)):
-                    a.append(node[s + i]), b.append(node[s + j])
-            yield _pairs(a, b)
-
-    postings = nodes.mapInArrow(post, "key long, node binary, sketch binary")
-    counts = postings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST_ROWS)
-    long = store.written(counts.select("key"), "long-lists")
-    some = bool(long.limit(1).count())
-    short = postings.join(long, "key", "left_anti") if some else postings
+            size = np.diff(np.append(at, len(key)))
+            two = at[size == 2]
+            two = two[_differ(heads[two], heads[two + 1]) <= HEAD_BITS]
+            a, b = two.tolist(), (two + 1).tolist()
+            for s, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                if (label[s : s + n] == label[s]).all():
+                    continue
+                own = heads[s : s + n]
+                for i, j in _tree(n, lambda i, rest, own=own: rest[_differ(own[rest], own[i]) <= HEAD_BITS]):
+                    a.append(s + i), b.append(s + j)
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            ends = np.sort(np.stack([label[a], label[b]], axis=1), axis=1)
+            once = np.unique(ends, axis=0, return_index=True)[1] if len(ends) else []
+            once = [i for i in once if label[a[i]] != label[b[i]]]
+            yield _pairs([v.tobytes() for v in raw[a[once]]], [v.tobytes() for v in raw[b[once]]])
+
+    postings = nodes.mapInArrow(post, "key long, head binary, label long")
+    long = _long_keys(postings)
+    short = postings if long is None else postings.join(long, "key", "left_anti")
     ties = short.repartition(store.partitions(spark), "key").sortWithinPartitions("key").mapInArrow(match, "a binary, b binary")
-    if some:
-        parted = postings.join(long, "key", "left_semi").select("key", "node", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
-        least = store.written(parted.groupBy("key", "salt").agg(F.min("node").alias("least")), "least-of-parts")
-        inside = parted.join(least, ["key", "salt"]).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    if long is not None:
+        parted = postings.join(long, "key", "left_semi").select("key", "head", F.pmod(F.xxhash64("head"), F.lit(SALTS)).alias("salt"))
+        least = store.written(parted.groupBy("key", "salt").agg(F.min("head").alias("least")), "least-of-parts")
+        inside = parted.join(least, ["key", "salt"]).select(F.col("least").alias("a"), F.col("head").alias("b"))
         across = least.join(least.groupBy("key").agg(F.min("least").alias("first")), "key").select(F.col("first").alias("a"), F.col("least").alias("b"))
         ties = ties.unionByName(inside).unionByName(across)
     return ties.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _long_keys(postings: DataFrame) -> DataFrame | None:
+    """Keys of posting lists above LIST_ROWS, if there are any. Only lists in buckets above it are counted one by one."""
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS))
+    over = F.col("n") > LIST_ROWS
+    full = store.written(postings.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).filter(over).select("bucket"), "full-buckets")
+    if not full.limit(1).count():
+        return None
+    counts = postings.withColumn("bucket", bucket).join(full, "bucket", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    long = store.written(counts.filter(over).select("key"), "long-lists")
+    return long if long.limit(1).count() else None
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits rows of words differ."""
+    return np.bitwise_count(a ^ b).sum(axis=1)
+
+
+def _groups(nodes: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that are tied to another: by their heads, or by the same one."""
+    roots = components(_tied(nodes)).select(F.col("node").alias("of"), "root")
+    rooted = nodes.select("node", "head").join(roots, F.col("head") == F.col("of"), "left").select("node", F.coalesce("root", "head").alias("root"))
+    rooted = store.written(rooted, "tied")
+    several = rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    return rooted.join(several, "root", "left_semi").select("node", "root")
+
+
 def _members(docs: DataFrame, once: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
     """(root, node, sketch, shingles) of every node that is tied to another; the texts of one row of each are read again."""
     chosen = once.groupBy("node").agg(F.min(F.struct("k", "sha")).alias("row")).join(roots.select("node", F.col("root").alias("of")), "node")
@@ -445,9 +500,8 @@ def verified(members: DataFrame, similarity: float) -> DataFrame:
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per document: k and sha (its row's key), doc_id, its node, and root, which all documents joined by links share."""
     once = store.written(_sketched(docs, shingle), "sketches")
-    nodes = once.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    tied = components(_tied(nodes))
-    members = store.written(_members(docs, once, tied, shingle), "members")
+    nodes = once.groupBy("node").agg(F.first("sketch").alias("sketch")).withColumn("head", F.substring("sketch", 1, HEAD))
+    members = store.written(_members(docs, once, _groups(store.written(nodes, "nodes")), shingle), "members")
     links = verified(members, similarity).filter("a <> b")
     roots = components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select(F.col("node").alias("of"), "root")
     out = once.select("k", "sha", "doc_id", "node").join(roots, F.col("node") == F.col("of"), "left")
