@@ -11,7 +11,7 @@ one quarter the same. Neither loses a link, and a list so refined has 18 free bi
 
 ``similar_documents`` is the same search for texts of a given similarity (five-word shingles, 0.8). There 64 bits say too little, so a SimHash has ``PLACES`` bytes: every distinct
 shingle votes on eight bits of each. Texts at 0.8 keep a bit in 85 of 100 cases, so a byte in 27. The inverted index keeps each text under the values at two byte positions and the upper half of a third,
-for each of the ``BANDS``; a list gives a forest of those of its texts whose leading ``HEAD`` bytes differ in at most ``HEAD_BITS`` bits. Of what this ties together shared positional bytes are tallied per pair, pairs
+for each of the ``BANDS``; a list ties together those of its texts whose leading ``HEAD`` bytes differ in at most ``HEAD_BITS`` bits. Of what this ties together shared positional bytes are tallied per pair, pairs
 below ``SHARED`` fall away, and the rest are verified by the Jaccard similarity of their whole shingle sets, so every link is right; of pairs at exactly 0.8 the index finds 99.9 % by simulation, of texts of eight and nine
 words that share four of five shingles 96 % (the tests measure it). Lists and groups of any length are worked on in parts of ``LIST_ROWS`` and ``GROUP_ROWS``: long posting lists are tied together by their least
 members, part by part, which loses nothing, as all that is tied is compared afterwards; long groups are compared with one member, and those unlike it with all others in blocks.
@@ -49,6 +49,8 @@ FIVES = list(combinations(range(8), 5))
 # Bytes of a wide SimHash, and the positions under which it is kept: two whole bytes and the upper half of a third (no two bands share more than one).
 PLACES = 128
 BANDS = [(i, (i + a) % PLACES, (i + b) % PLACES) for a, b in ((1, 7), (17, 45)) for i in range(PLACES)]
+# Bands that are tied together before the next ones: 2, 30 and 224 of them.
+WAVES = [range(0, len(BANDS), 128), [n for n in range(0, len(BANDS), 8) if n % 128], [n for n in range(len(BANDS)) if n % 8]]
 HEAD, HEAD_BITS = 16, 40  # of 128 bits, pairs at 0.8 differ in 19 +- 4, unlike texts in 64 +- 6
 SHARED = 12  # pairs at 0.8 share 34 +- 5 bytes, unlike texts 0.5 +- 0.7; fewer than one in a thousand pairs of the shortest texts share fewer
 BUCKETS = 1 << 16
@@ -310,19 +312,39 @@ def _pairs(a: list, b: list) -> pa.RecordBatch:
 
 
 def _tied(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of heads of SimHashes that tie together all candidates.
+    """(node, root) of the heads of SimHashes that are tied to another: root is the least of all heads that are tied together, directly or not.
 
-    Near copies share many lists and would be tied again in each. So an eighth of the bands comes first, and the others give only what joins two heads that those have left apart.
+    Near copies share many lists and would be tied again in each. So the bands come in waves, few of them first, and what is tied already counts as one in the next wave.
     """
-    label = F.xxhash64(F.coalesce("root", "head")).alias("label")
-    early = store.written(_ties(nodes.select("sketch", "head", F.xxhash64("head").alias("label")), range(0, len(BANDS), 8)), "early-ties")
-    roots = components(early).select(F.col("node").alias("of"), "root")
-    labelled = nodes.join(roots, F.col("head") == F.col("of"), "left").select("sketch", "head", label)
-    return early.unionByName(_ties(store.written(labelled, "labelled"), [n for n in range(len(BANDS)) if n % 8])).distinct()
+    spark, own = nodes.sparkSession, F.xxhash64("head")
+    labelled, roots = nodes.select("sketch", "head", own.alias("label")), None
+    for bands in WAVES:
+        path = store.new_path(spark, "tied-heads")
+        with store.scope(spark):  # the wave's work tables go when its roots are written
+            if roots is not None:
+                of = roots.select(F.col("node").alias("of"), "root")
+                labelled = nodes.join(of, own == F.col("of"), "left").select("sketch", "head", F.coalesce("root", own).alias("label"))
+                labelled = store.written(labelled, "labelled")
+            more = components(store.written(_ties(labelled, bands), "ties"))
+            (more if roots is None else _joined_further(roots, more)).write.parquet(path)
+        roots = spark.read.schema("node long, root long").parquet(path)
+    heads = nodes.select("head", own.alias("node")).distinct().join(roots, "node").select("head", F.col("root").alias("label"))
+    least = heads.groupBy("label").agg(F.min("head").alias("root"))
+    return heads.join(least, "label").select(F.col("head").alias("node"), "root")
+
+
+def _joined_further(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) of both, where ``more`` joins roots of ``roots`` with each other and with nodes that it lacks."""
+    further = more.select(F.col("node").alias("of"), F.col("root").alias("further"))
+    moved = roots.join(further, F.col("root") == F.col("of"), "left").select("node", F.coalesce("further", "root").alias("root"))
+    return moved.unionByName(more.join(roots.select("node"), "node", "left_anti"))
 
 
 def _ties(nodes: DataFrame, bands: Iterable[int]) -> DataFrame:
-    """Pairs (a, b) of heads with different labels: forests of the short posting lists, and of the long ones stars around the least head of each part."""
+    """Pairs (a, b) of labels that a posting list ties together, each once: stars around the least label of what is tied in a short list, and of the long ones around that of each part.
+
+    Heads with the same label (a hash of the head, later of what it is tied to) count as tied; two heads with clashing hashes are thus compared in vain, never lost.
+    """
     spark = nodes.sparkSession
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,33 +358,35 @@ def _ties(nodes: DataFrame, bands: Iterable[int]) -> DataFrame:
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in store.whole_keys(batches, "key"):
-            key, raw, label = table.column("key").to_numpy(), _read(table, "head"), table.column("label").to_numpy()
-            heads = raw.view(np.uint64)
+            key, heads, label = table.column("key").to_numpy(), _read(table, "head").view(np.uint64), table.column("label").to_numpy()
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(at, len(key)))
             two = at[size == 2]
             two = two[_differ(heads[two], heads[two + 1]) <= HEAD_BITS]
-            a, b = two.tolist(), (two + 1).tolist()
+            a, b = [label[two]], [label[two + 1]]
             for s, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                if (label[s : s + n] == label[s]).all():
+                some = label[s : s + n]
+                if (some == some[0]).all():
                     continue
-                own = heads[s : s + n]
+                own, top = heads[s : s + n], np.arange(n)
                 for i, j in _tree(n, lambda i, rest, own=own: rest[_differ(own[rest], own[i]) <= HEAD_BITS]):
-                    a.append(s + i), b.append(s + j)
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
-            ends = np.sort(np.stack([label[a], label[b]], axis=1), axis=1)
-            once = np.unique(ends, axis=0, return_index=True)[1] if len(ends) else []
-            once = [i for i in once if label[a[i]] != label[b[i]]]
-            yield _pairs([v.tobytes() for v in raw[a[once]]], [v.tobytes() for v in raw[b[once]]])
+                    top[j] = top[i]
+                least = some.copy()
+                np.minimum.at(least, top, some)
+                a.append(least[top]), b.append(some)
+            ends = np.sort(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=1)
+            ends = np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0], pa.int64()), pa.array(ends[:, 1], pa.int64())], ["a", "b"])
 
     postings = nodes.mapInArrow(post, "key long, head binary, label long")
     long = _long_keys(postings)
     short = postings if long is None else postings.join(long, "key", "left_anti")
-    ties = short.repartition(store.partitions(spark), "key").sortWithinPartitions("key").mapInArrow(match, "a binary, b binary")
+    ties = short.repartition(store.partitions(spark), "key").sortWithinPartitions("key").mapInArrow(match, "a long, b long")
     if long is not None:
-        parted = postings.join(long, "key", "left_semi").select("key", "head", F.pmod(F.xxhash64("head"), F.lit(SALTS)).alias("salt"))
-        least = store.written(parted.groupBy("key", "salt").agg(F.min("head").alias("least")), "least-of-parts")
-        inside = parted.join(least, ["key", "salt"]).select(F.col("least").alias("a"), F.col("head").alias("b"))
+        parted = postings.join(long, "key", "left_semi").select("key", "label").distinct().withColumn("salt", F.pmod(F.xxhash64("label"), F.lit(SALTS)))
+        parted = store.written(parted, "long-list-labels")
+        least = store.written(parted.groupBy("key", "salt").agg(F.min("label").alias("least")), "least-of-parts")
+        inside = parted.join(least, ["key", "salt"]).select(F.col("least").alias("a"), F.col("label").alias("b"))
         across = least.join(least.groupBy("key").agg(F.min("least").alias("first")), "key").select(F.col("first").alias("a"), F.col("least").alias("b"))
         ties = ties.unionByName(inside).unionByName(across)
     return ties.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -387,7 +411,7 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _groups(nodes: DataFrame) -> DataFrame:
     """(node, root) of the nodes that are tied to another: by their heads, or by the same one."""
-    roots = components(_tied(nodes)).select(F.col("node").alias("of"), "root")
+    roots = _tied(nodes).select(F.col("node").alias("of"), "root")
     rooted = nodes.select("node", "head").join(roots, F.col("head") == F.col("of"), "left").select("node", F.coalesce("root", "head").alias("root"))
     rooted = store.written(rooted, "tied")
     several = rooted.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
