@@ -1,13 +1,14 @@
 """Benchmark decontamination: q-gram lemma filter in diagonal bands, then banded alignment.
 
 Text and items are compared by code points, A-Z lower-cased and white-space runs as one space. An item
-of m characters may differ by ``budget(m)`` edits. k edits destroy at most k*Q of its m-Q+1 q-grams, so
-an occurrence shares at least m-Q+1-k*Q of them on diagonals that drift by at most k: it lies inside
+of m characters may differ by ``budget(m)`` edits. k edits destroy at most k of its m//Q disjoint q-grams, so
+an occurrence holds at least m//Q-k of them on diagonals that drift by at most k: it lies inside
 one of the overlapping bands of width 2k. Frequent grams may be left out of the index if the bound
 is lowered by their number. Bands that reach the bound are verified by alignment within the band.
 
-The items are a stated query set: they reach the driver one after another and are cut into blocks of at most ``BLOCK_CHARS``
-characters (one longer item is a block of its own), each matched against all documents.
+The items are a stated query set: each different text is matched once, for all items that have it. The texts reach the driver one after
+another and are cut into blocks of at most ``BLOCK_CHARS`` characters (one longer text is a block of its own), each matched against all
+documents. A gram's hits are counted in runs of about ``RUN_HITS``, so memory does not grow with the number of items that share it.
 
 Cases: null or empty items and texts match nothing; items too short for the lemma have a smaller
 budget (none below Q characters: these are searched exactly); repeated rows of either table give repeated results; a
@@ -16,11 +17,12 @@ null doc_id or item_id is reported as null; empty tables give no rows; other col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import store
@@ -30,6 +32,8 @@ Q = 8
 EDIT_SHARE = 0.1
 BLOCK_CHARS = 4_000_000
 MAP_BITS = 22
+OFTEN = 20
+RUN_HITS = 1 << 20
 OUTSIDE = 0xFFFFFFFF  # no code point: equal to no character of an item
 
 
@@ -97,36 +101,38 @@ def edit_distance(item: np.ndarray, region: np.ndarray, width: int, most: int) -
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE):
+    def __init__(self, items: list[tuple[object, str]], share: float = EDIT_SHARE):
         self.items = [(i, p) for i, t in items if len(p := normalised(t or ""))]
         self.long = [(n, p) for n, (_, p) in enumerate(self.items) if len(p) >= Q]
         self.short = [(n, p) for n, (_, p) in enumerate(self.items) if len(p) < Q]
         gram, item, place = [], [], []
         for n, p in self.long:
-            g = grams(p)
-            gram.append(g), item.append(np.full(len(g), n)), place.append(np.arange(len(g)))
+            at = np.arange(len(p) // Q) * Q
+            gram.append(grams(p)[at]), item.append(np.full(len(at), n)), place.append(at)
         gram, item, place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((gram, np.uint64), (item, np.int64), (place, np.int64)))
         _, inverse, count = np.unique(gram, return_inverse=True, return_counts=True)
         often, keep = count[inverse] if len(gram) else count, np.ones(len(gram), bool)
         self.k, self.least = np.zeros(len(self.items), np.int64), np.zeros(len(self.items), np.int64)
         for n, p in self.long:
-            mine = np.flatnonzero(item == n) if len(self.long) < 2 else np.arange(*np.searchsorted(item, [n, n + 1]))
+            mine = np.arange(*np.searchsorted(item, [n, n + 1]))
             self.k[n] = budget(len(p), share)
-            bound = len(mine) - self.k[n] * Q
-            drop = mine[np.argsort(-often[mine], kind="stable")][: max(0, int(bound * 3 // 4))]
-            drop = drop[often[drop] > 1]
+            bound = len(mine) - self.k[n]
+            drop = mine[np.argsort(-often[mine], kind="stable")][: int(bound // 3)]
+            drop = drop[often[drop] > OFTEN]
             keep[drop] = False
             self.least[n] = bound - len(drop)
+        self.reach = max((len(p) + 2 * max(1, int(self.k[n])) for n, p in self.long), default=0)  # all hits of a band lie within
         gram, item, place = gram[keep], item[keep], place[keep]
         order = np.argsort(gram, kind="stable")
         self.post_item, self.post_place = item[order], place[order]
         self.gram, self.first = np.unique(gram[order], return_index=True)
         self.first = np.append(self.first, len(gram))
+        self.whole: dict[int, np.ndarray] = {}  # all grams of the items that were verified
         self.map = np.zeros(1 << MAP_BITS, bool)
         self.map[self.gram >> np.uint64(64 - MAP_BITS)] = True
 
-    def match(self, column) -> list[tuple[int, int, int, int, int]]:
-        """(row, item_id, least edits, start, end) for every row and item that match; code points of the original."""
+    def match(self, column) -> list[tuple[int, object, int, int, int]]:
+        """(row, the item's name, least edits, start, end) for every row and item that match; code points of the original."""
         data, bounds = flat(column)
         if not len(data) or not self.items:
             return []
@@ -162,6 +168,32 @@ class Matcher:
         inside = hit + Q <= rows[row + 1]
         hit, nth, row = hit[inside], nth[inside], row[inside]
         size = self.first[nth + 1] - self.first[nth]
+        for run, until in self._runs(hit, size):
+            self._verify(text, g, rows, hit[run], nth[run], row[run], size[run], until, best, offer)
+        return self._out(best)
+
+    def _runs(self, hit: np.ndarray, size: np.ndarray) -> Iterator[tuple[slice, int]]:
+        """Runs of hits with about ``RUN_HITS`` postings, each with all hits within reach of those before the place ``until``."""
+        total, at = np.cumsum(size), 0
+        while at < len(hit):
+            end = max(int(np.searchsorted(total, total[at] - size[at] + RUN_HITS, "right")), int(np.searchsorted(hit, hit[at] + self.reach)))
+            until = int(hit[end]) if end < len(hit) else int(hit[-1]) + 1
+            yield slice(at, int(np.searchsorted(hit, until + self.reach))), until
+            at = end
+
+    def _least_edits(self, n: int, region: np.ndarray) -> int:
+        """Edits that it takes at least to destroy the item's grams that the region lacks, overlapping ones too; one edit destroys grams at Q places in a row."""
+        if n not in self.whole:
+            self.whole[n] = grams(self.items[n][1])
+        whole, region = self.whole[n], np.sort(region)
+        lacks = np.flatnonzero(region[np.searchsorted(region[:-1], whole)] != whole).tolist() if len(region) else list(range(len(whole)))
+        edits = at = 0
+        while at < len(lacks):
+            edits, at = edits + 1, bisect_left(lacks, lacks[at] + Q)
+        return edits
+
+    def _verify(self, text: np.ndarray, g: np.ndarray, rows: np.ndarray, hit: np.ndarray, nth: np.ndarray, row: np.ndarray, size: np.ndarray, until: int, best: dict, offer: Callable[..., None]) -> None:
+        """Offer what is found in the bands that reach the bound and have a hit before the place ``until``."""
         post = np.repeat(self.first[nth] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         hit, row = np.repeat(hit, size), np.repeat(row, size)
         item = self.post_item[post]
@@ -170,17 +202,18 @@ class Matcher:
         band = diagonal // width
         pair = row * len(self.items) + item
         order = np.lexsort((band, pair))
-        pair, band = pair[order], band[order]
+        pair, band, hit = pair[order], band[order], hit[order]
         new = np.concatenate([[True], (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])])
         at = np.flatnonzero(new)
         count = np.diff(np.append(at, len(pair)))
-        pair, band = pair[at], band[at]
+        pair, band, begin = pair[at], band[at], hit[at]
         follows = np.zeros(len(at), np.int64)  # the overlapping band also holds the next cell's grams
         if len(at) > 1:
             next_to = (pair[1:] == pair[:-1]) & (band[1:] == band[:-1] + 1)
             follows[:-1][next_to] = count[1:][next_to]
+            begin[:-1][next_to] = np.minimum(begin[:-1], begin[1:])[next_to]
         item = pair % len(self.items)
-        for i in np.flatnonzero(count + follows >= self.least[item]).tolist():
+        for i in np.flatnonzero((count + follows >= self.least[item]) & (begin < until)).tolist():
             n, r = int(item[i]), int(pair[i]) // len(self.items)
             p, k, w = self.items[n][1], int(self.k[n]), max(1, int(self.k[n]))
             if (r, n) in best and best[r, n][0] == 0:
@@ -192,26 +225,29 @@ class Matcher:
             exact = region.tobytes().find(p.tobytes())
             if exact >= 0 and exact % 4 == 0:
                 offer(r, n, 0, left + exact // 4, left + exact // 4 + len(p))
-            elif k:
+            elif k and self._least_edits(n, g[left : max(left, right - Q + 1)]) <= k:
                 edits, s, e = edit_distance(p, np.pad(region, (left - a, b - right), constant_values=OUTSIDE), 2 * w + 2 * k, k)
                 if edits <= k:
                     offer(r, n, edits, max(left, a + s), min(right, a + e))
-        return self._out(best)
 
-    def _out(self, best: dict) -> list[tuple[int, int, int, int, int]]:
+    def _out(self, best: dict) -> list[tuple[int, object, int, int, int]]:
         return [(r, self.items[n][0], *span) for (r, n), span in sorted(best.items())]
 
 
-def _blocks(items: DataFrame, key: str, text: str, most: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
-    """The query set in blocks of at most ``most`` characters, partition after partition; one block if it is empty."""
-    rows = items.select(F.col(key).cast("bigint").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    block, chars, some = [], 0, False
+def _text_key(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def _blocks(items: DataFrame, text: str, most: int | None = None) -> Iterator[list[tuple[str, str]]]:
+    """The different texts of the query set under their keys, in blocks of at most ``most`` characters, partition after partition; one block if it is empty."""
+    rows = items.select(_text_key(text).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).dropDuplicates(["k"])
+    block, chars, some, most = [], 0, False, most or BLOCK_CHARS
     for r in rows.toLocalIterator():
         if block and chars + len(r.t) + 16 > most:
             yield block
             block, chars = [], 0
         some = True
-        block.append((r.i, r.t))
+        block.append((r.k, r.t))
         chars += len(r.t) + 16
     if block or not some:
         yield block
@@ -220,7 +256,7 @@ def _blocks(items: DataFrame, key: str, text: str, most: int = BLOCK_CHARS) -> I
 def contaminated(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE, key: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document and benchmark item found in it: its least edits and where."""
     out = None
-    for block in _blocks(items, key, text):
+    for block in _blocks(items, text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -228,18 +264,19 @@ def contaminated(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE, k
             for batch in batches:
                 for rows in slices(batch):
                     found = matcher.match(rows.column("text"))
-                    cols = list(zip(*found, strict=True)) or [[]] * 5
-                    yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "item_id", "edits", "start", "end"])
+                    at, texts, *spans = list(zip(*found, strict=True)) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at, pa.int64())), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in spans)], ["doc_id", "k", "edits", "start", "end"])
 
-        part = store.texts(docs).mapInArrow(run, "doc_id long, item_id long, edits long, start long, end long")
+        part = store.texts(docs).mapInArrow(run, "doc_id long, k string, edits long, start long, end long")
         out = part if out is None else out.unionByName(part)
-    return out
+    named = items.select(_text_key(text).alias("k"), F.col(key).cast("bigint").alias("item_id"))
+    return out.join(named, "k").select("doc_id", "item_id", "edits", "start", "end")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
     """The documents in which no benchmark item is found, with all their columns; tested in place."""
     out = docs
-    for block in _blocks(items, "item_id", "text"):
+    for block in _blocks(items, "text"):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -825,6 +826,33 @@ def test_planted_passages_of_the_benchmark(spark, docs, rows):
     assert inside <= {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
 
 
+def test_many_items_of_one_vocabulary(spark, rows, monkeypatch):
+    rng = random.Random(6)
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items = [*enumerate(bench), *((1000 + i, " ".join(rng.sample(w := bench[i % len(bench)].split(), len(w)))) for i in range(3000))]
+    matcher, texts = decontam.Matcher(items), pa.array([t for _, t in rows])
+    tracemalloc.start()
+    found = matcher.match(texts)
+    peak = tracemalloc.get_traced_memory()[1] / texts.nbytes
+    tracemalloc.stop()
+    assert {(n, i) for n, (_, t) in enumerate(rows) for i, x in enumerate(bench) if x in t} <= {(n, i) for n, i, e, *_ in found if not e}
+    assert peak < 120  # bytes for each byte of text
+    monkeypatch.setattr(decontam, "RUN_HITS", 50)
+    assert matcher.match(texts) == found
+
+
+def test_copies_of_items_are_matched_once(spark, monkeypatch):
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(len(value)) or broadcast(self, value))
+    text = "the passage of the items"
+    items = spark.createDataFrame([*((i, text) for i in range(40)), (None, text), (3, text), (50, "another passage that no text has"), (51, None)], "item_id long, text string")
+    frame = spark.createDataFrame([(1, f"some words before {text} and after"), (2, None)], "doc_id long, text string")
+    hits = Counter((r.doc_id, r.item_id, r.edits) for r in decontam.contaminated(frame, items).collect())
+    assert hits == Counter([*((1, i, 0) for i in range(40)), (1, None, 0), (1, 3, 0)])
+    assert [r.doc_id for r in decontam.keep_clean(frame, items).collect()] == [2]
+    assert sent == [3, 3]
+
+
 # shards
 
 
